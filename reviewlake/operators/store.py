@@ -88,8 +88,11 @@ def set_status(table: DataFrame, ids: DataFrame | list, status: str, now: Column
 
 
 def update(table: DataFrame, changes: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """Partial update: only values of ``changes`` that are not null replace the old ones."""
-    new = changes.select(id_col, *[F.col(f).alias(f"__new_{f}") for f in fields])
+    """Partial update: only values of ``changes`` that are not null replace the old ones.
+
+    Of several changes to one id the largest value of each field counts.
+    """
+    new = changes.groupBy(id_col).agg(*[F.max(f).alias(f"__new_{f}") for f in fields])
     return table.join(new, id_col, "left").select(*[F.coalesce(f"__new_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns])
 
 

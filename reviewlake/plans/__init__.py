@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL, Query
 
-MODULES = ("issues",)
+MODULES = ("issues", "store", "code")
 
 
 def _load() -> None:

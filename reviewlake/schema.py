@@ -22,23 +22,16 @@ ISSUE = T.StructType(
     ]
 )
 
-REVIEW_SESSION = T.StructType.fromDDL(
-    "id BIGINT, session_id STRING, user_message STRING, code_directory STRING, code_patch STRING, git_commit STRING, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
-)
-CURATED_ISSUE = T.StructType.fromDDL(
-    "id BIGINT, session_id BIGINT, pattern_id BIGINT, project_path STRING, file_path STRING, start_line INT, end_line INT, code_snippet STRING, problem_phenomenon STRING, root_cause STRING, solution STRING, severity STRING, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
-)
-ISSUE_PATTERN = T.StructType.fromDDL(
-    "id BIGINT, title STRING, error_type STRING, severity STRING, language STRING, framework STRING, error_description STRING, problematic_pattern STRING, solution STRING, file_pattern STRING, class_pattern STRING, tags STRING, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
-)
-TASK = T.StructType.fromDDL("target STRING, action STRING, data MAP<STRING,STRING>")
-MESSAGE = T.StructType.fromDDL("id STRING, sender STRING, receiver STRING, content STRING, timestamp DOUBLE, message_type STRING")
-INGEST = T.StructType.fromDDL(
-    "version STRING, ingest_mode STRING, data ARRAY<STRUCT<"
+# The schemas below are DDL text: parsing it needs a session, which workers do not have.
+REVIEW_SESSION = ("id BIGINT, session_id STRING, user_message STRING, code_directory STRING, code_patch STRING, git_commit STRING, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP")
+CURATED_ISSUE = ("id BIGINT, session_id BIGINT, pattern_id BIGINT, project_path STRING, file_path STRING, start_line INT, end_line INT, code_snippet STRING, problem_phenomenon STRING, root_cause STRING, solution STRING, severity STRING, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP")
+ISSUE_PATTERN = ("id BIGINT, title STRING, error_type STRING, severity STRING, language STRING, framework STRING, error_description STRING, problematic_pattern STRING, solution STRING, file_pattern STRING, class_pattern STRING, tags STRING, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP")
+TASK = ("target STRING, action STRING, data MAP<STRING,STRING>")
+MESSAGE = ("id STRING, sender STRING, receiver STRING, content STRING, timestamp DOUBLE, message_type STRING")
+INGEST = ("version STRING, ingest_mode STRING, data ARRAY<STRUCT<"
     "pattern: STRUCT<title: STRING, error_type: STRING, severity: STRING, language: STRING, framework: STRING, error_description: STRING, problematic_pattern: STRING, solution: STRING, tags: STRING, status: STRING>, "
     "instances: ARRAY<STRUCT<session_meta: STRUCT<session_id: STRING, user_message: STRING, code_directory: STRING>, "
-    "issue: STRUCT<project_path: STRING, file_path: STRING, start_line: INT, end_line: INT, code_snippet: STRING, problem_phenomenon: STRING, root_cause: STRING, solution: STRING, severity: STRING, status: STRING>>>>>"
-)
+    "issue: STRUCT<project_path: STRING, file_path: STRING, start_line: INT, end_line: INT, code_snippet: STRING, problem_phenomenon: STRING, root_cause: STRING, solution: STRING, severity: STRING, status: STRING>>>>>")
 
 
 def severity_rank(severity: Column) -> Column:
