@@ -183,3 +183,11 @@ def remediation_effort(critical: Column, high: Column, total: Column) -> Column:
         .when(total >= 1, "1-2 days")
         .otherwise("0.5-1 day")
     )
+
+
+def cwe_type(cwe: Column) -> Column:
+    return lookup(cwe, CWE_TYPE, "security_vulnerability")
+
+
+def cwe_severity(cwe: Column) -> Column:
+    return lookup(cwe, CWE_SEVERITY, "medium")

@@ -115,6 +115,7 @@ def truncate(table: DataFrame, children: DataFrame | None = None, foreign: str |
 
 def vector_rows(patterns: DataFrame, embed_with: Callable[[Column], Column] = embed, layers: tuple[str, ...] = tuple(LAYERS)) -> DataFrame:
     """A vector object per pattern and layer: text, vector and the stored properties, null properties empty."""
+    patterns = patterns.withColumns({f: F.lit(None).cast("string") for lines in LAYERS.values() for _, f in lines if f not in patterns.columns})
     texts = F.create_map(*[x for layer in layers for x in (F.lit(layer), layer_text(layer))])
     exploded = patterns.select("*", F.explode(texts).alias("vector_layer", "text"))
     stored = ["error_type", "severity", "language", "framework", "status"]

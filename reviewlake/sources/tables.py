@@ -100,3 +100,10 @@ def files_sql() -> str:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sqlite_id"), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("layer"), F.col("label").cast("string")).alias("vector_layer"))
+
+
+def lookup_types(source):
+    """Analysis type that an event type stands for."""
+    return (
+        F.when(source.isin("click", "view"), "static_analysis").when(source == "error", "security_analysis").when(source == "purchase", "performance_analysis").otherwise("ai_analysis")
+    )
