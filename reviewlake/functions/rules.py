@@ -134,7 +134,7 @@ def number_of(key: Column, table: dict[str, float], default: float) -> Column:
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 10.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def risk_score(severity: Column, confidence: Column) -> Column:
@@ -145,7 +145,7 @@ def risk_score(severity: Column, confidence: Column) -> Column:
 
 def label_score(label: Column, confidence: Column) -> Column:
     """Score of a classifier's label: bad labels first, unknown ones near neutral."""
-    label, c = F.upper(label), clamp(confidence, 0.0, 1.0)
+    label, c = F.upper(label), clamp(F.coalesce(confidence, F.lit(0.0)), 0.0, 1.0)
     out = None
     for parts, base, slope in LABEL_SCORES:
         hit = F.lit(False)

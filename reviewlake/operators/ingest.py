@@ -37,7 +37,7 @@ def commit_files(spark: SparkSession, root: str) -> DataFrame:
 def source_texts(spark: SparkSession, root: str) -> DataFrame:
     """``(folder, commit, local_name, text)`` of the code files below ``root``; undecodable bytes are dropped."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    text = F.replace(F.decode("content", F.lit("UTF-8")), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     return rows.select(_parent(F.col("path"), 2).alias("folder"), _parent(F.col("path"), 1).alias("commit"), _parent(F.col("path"), 0).alias("local_name"), text.alias("text"))
 
 

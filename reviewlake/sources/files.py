@@ -23,7 +23,7 @@ def is_source(path: Column) -> Column:
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """``(path, content)`` of source files below ``root``; undecodable bytes are dropped."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(is_source(F.col("path")))
-    return rows.select("path", F.replace(F.decode("content", F.lit("UTF-8")), F.lit("�"), F.lit("")).alias("content"))
+    return rows.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("content"))
 
 
 def _folder(path: Column) -> Column:
