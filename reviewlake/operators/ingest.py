@@ -155,3 +155,14 @@ def cwe_records(rows: DataFrame) -> DataFrame:
         F.concat(F.lit("BigVul,"), kind).alias("tags"),
         F.lit("active").alias("status"),
     )
+
+
+def name_slice(rows: DataFrame, name: str, prefix: str, start: int, count: int) -> DataFrame:
+    """Rows whose name has the prefix, by name, from ``start`` on."""
+    return rows.filter(F.startswith(F.col(name), F.lit(prefix))).orderBy(name).offset(start).limit(count)
+
+
+def both_sides(keys: DataFrame, before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
+    """Texts before and after a change by key; a missing side is empty."""
+    joined = keys.join(before.withColumnRenamed("text", "before"), on, "left").join(after.withColumnRenamed("text", "after"), on, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("before", "after")})

@@ -290,20 +290,21 @@ def security_context(files: DataFrame, *keys: str, n: int = 5) -> DataFrame:
     return first.groupBy(*keys).agg(*[F.bool_or(_has(low, *words)).alias(flag) for flag, words in CONTEXT_WORDS.items()])
 
 
-# Hardening advice by what a file holds.
+# Hardening advice by what a file holds, and what must not be there.
 HARDENING = (
-    ("dynamic_execution", ("eval(", "exec("), "critical"),
-    ("injection", ("select ", "insert ", "update ", "delete "), "high"),
-    ("secrets", ("password", "secret", "api_key", "token"), "high"),
-    ("transport", ("http://",), "medium"),
-    ("deserialization", ("pickle.loads", "yaml.load("), "high"),
+    ("危险调用", ("exec(", "eval("), (), "high"),
+    ("命令执行", ("subprocess",), (), "medium"),
+    ("凭据处理", ("password",), ("hash",), "high"),
+    ("传输安全", ("http://",), (), "medium"),
+    ("调试配置", ("debug",), (), "low"),
 )
 
 
-def hardening(files: DataFrame) -> DataFrame:
+def hardening(files: DataFrame, most: int = 8) -> DataFrame:
+    """Rule-based advice for each file, in the order of the rules."""
     low = F.lower("content")
-    rows = F.array_compact(F.array(*[F.when(_has(low, *words), F.struct(F.lit(k).alias("position"), F.lit(category).alias("category"), F.lit(priority).alias("priority"))) for k, (category, words, priority) in enumerate(HARDENING)]))
-    return files.select("file_id", F.inline(rows))
+    rows = F.array_compact(F.array(*[F.when(_has(low, *words) & ~_has(low, *without), F.struct(F.lit(k).alias("position"), F.lit(category).alias("category"), F.lit(priority).alias("priority"))) for k, (category, words, without, priority) in enumerate(HARDENING)]))
+    return files.select("file_id", F.inline(F.slice(rows, 1, most)))
 
 
 def python_functions(files: DataFrame, n: int = 10) -> DataFrame:

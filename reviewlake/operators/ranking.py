@@ -127,3 +127,7 @@ def _scan(shared, k: int, exclude_self: bool, schema: T.StructType):
 def exact_distance(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     """Cosine distance of two tables' vectors that share a key."""
     return a.select(on, F.col("vector").alias("a")).join(b.select(on, F.col("vector").alias("b")), on).select(on, F.round(cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+def optimisation_bucket(severity: Column) -> Column:
+    return F.when(severity.isin("critical", "high"), "immediate_optimizations").otherwise("algorithmic_improvements")

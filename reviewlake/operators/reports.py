@@ -118,3 +118,22 @@ def history(messages: DataFrame, n: int = 5, cut: int = 100) -> DataFrame:
 def paths_in(text: Column) -> Column:
     """Unix and Windows paths that a text names, in order."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?:[A-Za-z]:[\\/]|/)[^\s\"'<>|，。]+)"), F.lit(1)))
+
+
+#: Fields that a report must have.
+REPORT_FIELDS = ("run_id", "requirement_id", "issues", "analysis_types")
+
+
+def report_errors(body: Column) -> Column:
+    """What keeps a JSON text from being a report, joined by semicolons; empty for a valid one."""
+    v = F.try_parse_json(body)
+    shape = lambda x: F.coalesce(F.schema_of_variant(x), F.lit(""))
+    get = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    missing = [F.when(get(k).isNull(), F.lit(f"missing {k}")) for k in REPORT_FIELDS]
+    no_list = F.when(get("issues").isNotNull() & ~F.startswith(shape(get("issues")), F.lit("ARRAY")), F.lit("issues no list"))
+    return F.when(~F.startswith(shape(v), F.lit("OBJECT")), "no JSON object").otherwise(F.array_join(F.array_compact(F.array(*missing, no_list)), "; "))
+
+
+def conversation_report(messages: DataFrame) -> DataFrame:
+    """Message counts of each conversation."""
+    return messages.groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("total_messages"), F.count_if(F.col("role") == "user").alias("user_requests"), F.count_if(F.col("role") == "assistant").alias("ai_responses"))

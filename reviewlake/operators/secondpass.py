@@ -15,22 +15,28 @@ TOP_K, THRESHOLD, GAP, MOST_FINDINGS, MOST_PATTERNS = 5, 0.78, 0.06, 5, 200
 def matches(error_type: Column, pattern_text: Column, description: Column, source: Column) -> Column:
     """The pattern's type or the first 32 characters of its text in the description, or its type in the source."""
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    kind, start = low(error_type), F.substring(low(pattern_text), 1, 32)
-    text, src = F.lower(F.coalesce(description, F.lit(""))), F.lower(F.coalesce(source, F.lit("")))
-    inside = lambda piece, whole: (piece != "") & F.contains(whole, piece)
-    return inside(kind, text) | inside(start, text) | inside(kind, src)
+    return _inside(low(error_type), F.substring(low(pattern_text), 1, 32), low(description), low(source))
+
+
+def _inside(kind: Column, start: Column, description: Column, source: Column) -> Column:
+    """The rule on prepared, lower-case pieces."""
+    held = lambda piece, whole: (piece != "") & F.contains(whole, piece)
+    return held(kind, description) | held(start, description) | held(kind, source)
 
 
 def text_evidence(issues: DataFrame, patterns: DataFrame, k: int = TOP_K, most_patterns: int = MOST_PATTERNS) -> DataFrame:
     """``(issue_ord, id, error_type, severity, solution)``: the first ``k`` patterns by id that match each issue.
 
     The rule reads the first ``most_patterns`` active patterns, a fixed number, as one broadcast array:
-    each issue filters it in place, so no pairs are made.
+    each issue filters it in place, so no pairs are made. Both sides are lower-cased once.
     """
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     active = patterns.filter("status = 'active'").orderBy("id").limit(most_patterns)
-    listed = active.agg(F.array_sort(F.collect_list(F.struct("id", "error_type", "error_description", "severity", "solution"))).alias("known"))
-    hits = F.filter("known", lambda p: matches(p["error_type"], p["error_description"], F.trim("description"), F.trim("source")))
-    found = issues.crossJoin(F.broadcast(listed)).select(F.col("ord").alias("issue_ord"), F.posexplode(F.slice(hits, 1, k)).alias("hit_ord", "h"))
+    known = F.struct("id", low("error_type").alias("kind"), F.substring(low("error_description"), 1, 32).alias("start"), "error_type", "severity", "solution")
+    listed = active.agg(F.array_sort(F.collect_list(known)).alias("known"))
+    texts = issues.select(F.col("ord").alias("issue_ord"), low("description").alias("__text"), low("source").alias("__source"))
+    hits = F.filter("known", lambda p: _inside(p["kind"], p["start"], F.col("__text"), F.col("__source")))
+    found = texts.crossJoin(F.broadcast(listed)).select("issue_ord", F.posexplode(F.slice(hits, 1, k)).alias("hit_ord", "h"))
     return found.select("issue_ord", "hit_ord", "h.id", "h.error_type", "h.severity", "h.solution")
 
 

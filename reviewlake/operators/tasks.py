@@ -190,7 +190,7 @@ def with_ids(tasks: DataFrame, pattern_ids: DataFrame, session_ids: DataFrame) -
     rows = tasks.crossJoin(F.broadcast(ids))
     issue = F.col("target") == "curated_issue"
     rows = rows.withColumn("data", F.when(issue & ~has("pattern_id") & F.col("__p").isNotNull(), put("pattern_id", F.col("__p"))).otherwise(F.col("data")))
-    rows = rows.withColumn("data", F.when(issue & ~value("session_id").rlike(r"^\d+$") & F.col("__s").isNotNull(), put("session_id", F.col("__s"))).otherwise(F.col("data")))
+    rows = rows.withColumn("data", F.when(issue & ~F.coalesce(value("session_id"), F.lit("")).rlike(r"^\d+$") & F.col("__s").isNotNull(), put("session_id", F.col("__s"))).otherwise(F.col("data")))
     return rows.select(*tasks.columns)
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, SQL, Query
 
-MODULES = ("issues", "store", "code", "knowledge")
+MODULES = ("issues", "store", "code", "knowledge", "more")
 
 
 def _load() -> None:

@@ -145,7 +145,12 @@ def c20(spark: SparkSession, sf: str) -> DataFrame:
     return lines.security_context(tables.files(spark, sf).withColumn("dir", F.split_part("path", F.lit("/"), F.lit(1))), "dir")
 
 
-@query("x57_hardening", W + " UNION ALL ".join(f"SELECT file_id, {k} AS position, '{c}' AS category, '{p}' AS priority FROM files WHERE {_has('lower(content)', *words)}" for k, (c, words, p) in enumerate(lines.HARDENING)))
+def _hardening_sql() -> str:
+    parts = [f"SELECT file_id, {k} AS position, '{c}' AS category, '{p}' AS priority FROM files WHERE {_has('lower(content)', *words)}" + "".join(f" AND NOT contains(lower(content), '{w}')" for w in without) for k, (c, words, without, p) in enumerate(lines.HARDENING)]
+    return W + " UNION ALL ".join(parts)
+
+
+@query("x57_hardening", _hardening_sql())
 def x57(spark: SparkSession, sf: str) -> DataFrame:
     return lines.hardening(tables.files(spark, sf))
 

@@ -171,3 +171,10 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: float
     if not done:
         query.stop()
     return bool(done)
+
+
+def completed_runs(expected: DataFrame, completed: DataFrame) -> DataFrame:
+    """``(run_id, complete)``: whether each run's expected and completed requirements are the same, by two anti-joins."""
+    keys = ["run_id", "requirement_id"]
+    open_ = expected.join(completed, keys, "left_anti").unionByName(completed.join(expected, keys, "left_anti")).select("run_id").distinct().withColumn("open", F.lit(True))
+    return expected.select("run_id").distinct().join(open_, "run_id", "left").select("run_id", F.col("open").isNull().alias("complete"))
