@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, texts_of
+from .common import arrow_schema, spread, texts_of
 
 #: Words whose encoding a worker remembers; it forgets all when full.
 CACHE_WORDS = 250_000
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:

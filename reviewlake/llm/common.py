@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,6 +31,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer partitions than there are cores; else ``df`` as it is.
+
+    Large tables have many partitions and are never moved. Only plain scans are looked at:
+    counting the partitions of other plans could run them.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution()
+    if re.search("Aggregate|Join|Window|Sort|Limit|Repartition|Exchange|Generate", plan.sparkPlan().toString()):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def map_batches(df: DataFrame, schema: T.StructType, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
     """Stream Arrow batches through ``f``, batch by batch, without a shuffle."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, ascii_lower, settle, texts_of, utf8
+from .common import arrow_schema, ascii_lower, settle, spread, texts_of, utf8
 
 WINDOW = 13
 #: A document is contaminated from one hit word in this many.
@@ -189,7 +189,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_wor
     """
     spark = docs.sparkSession
     names = docs.columns
-    state = docs.select("*", F.lit(0).cast("long").alias("__rl_words"), F.lit(0).cast("long").alias("__rl_hit"), F.array().cast("array<long>").alias("__rl_spans"), F.array().cast("array<string>").alias("__rl_items"))
+    state = spread(docs).select("*", F.lit(0).cast("long").alias("__rl_words"), F.lit(0).cast("long").alias("__rl_hit"), F.array().cast("array<long>").alias("__rl_spans"), F.array().cast("array<string>").alias("__rl_items"))
     for k, automaton in enumerate(_automata(benchmark, window, shard_words)):
         if k:
             state = settle(state)

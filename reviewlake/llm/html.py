@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema
+from .common import arrow_schema, spread
 
 # Element names.
 BLOCK_TAGS = frozenset(
@@ -263,4 +263,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) if h else "" for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, target.field(2).type)], schema=target)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Kinds in the order that breaks ties between spans with the same start.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -113,7 +115,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Digest per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = find(docs.select("doc_id", "text"))
+    found = find(spread(docs.select("doc_id", "text")))
     count = lambda k: F.size(F.filter("__rl_base", lambda s: s["rank"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_text_of(F.col("__rl_base")), 256).alias("base_sha256"), _text_of(F.col("__rl_spans")).alias("spans"))
 
@@ -123,7 +125,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Overlapping spans give one mark. Columns as in ``docs``; ``n_chars``, if there, follows the text.
     """
-    found = find(docs)
+    found = find(spread(docs))
     text = F.col("text")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 

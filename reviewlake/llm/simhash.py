@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, map_batches, settle, texts_of, utf8
+from .common import batch_of, map_batches, settle, spread, texts_of, utf8
 from .components import connected_components
 
 RADIUS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = np.array([fingerprint(t) for t in texts_of(batch.column(1))], dtype=np.uint64)
         yield batch_of(schema, [batch.column(0), pa.array(fps.view(np.int64))])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), schema, run)
+    return map_batches(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), schema, run)
 
 
 def _block_keys(fp: F.Column) -> F.Column:

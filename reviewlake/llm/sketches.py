@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spread
+
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
@@ -122,7 +124,7 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Digest per document: doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     ahead = with_next(with_sketch(texts, "text", "sketch"), ["text", "sketch"])
     changed = ahead.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", "edited")
     both = with_sketch(changed, "edited", "edited_sketch")
