@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
 from .ranking import first_per
+from .store import with_fresh_ids
 
 
 def issue_key() -> list[Column]:
@@ -113,8 +114,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, fields: list[str]
     changes = last.select(key, *[F.col(f).alias(f"__new_{f}") for f in fields])
     updated = existing.join(changes, key, "left").select(*[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in existing.columns])
     fresh = last.join(existing.select(key).distinct(), key, "left_anti")
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("__top") + F.row_number().over(Window.orderBy("ord")))
+    numbered = with_fresh_ids(fresh, existing, id_col)
     missing = [c for c in existing.columns if c not in numbered.columns]
     return updated.unionByName(numbered.withColumns({c: F.lit(None).cast(existing.schema[c].dataType) for c in missing}).select(*existing.columns))
 

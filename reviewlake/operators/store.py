@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LAYERS, layer_text
@@ -50,11 +50,22 @@ DEFAULTS = {
 }
 
 
+def with_fresh_ids(rows: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:
+    """``rows`` with ids above the table's largest one, in the order of their unique ``ord``.
+
+    The id is that maximum plus the distance from the smallest ``ord``: no global sort, each
+    row by itself. Gaps in ``ord`` leave gaps in the ids.
+    """
+    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
+    first = rows.agg(F.min("ord").alias("__first"))
+    placed = rows.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(first))
+    return placed.withColumn(id_col, (F.col("__top") + 1 + F.col("ord") - F.col("__first")).cast(table.schema[id_col].dataType)).drop("__top", "__first")
+
+
 def insert(table: DataFrame, rows: DataFrame, target: str, now: Column | None = None, id_col: str = "id") -> DataFrame:
     """The table with ``rows`` added: ids follow the largest one in ``ord`` order, defaults and times filled in."""
     now = F.current_timestamp() if now is None else now
-    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    new = rows.crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("__top") + F.row_number().over(Window.orderBy("ord"))).cast(table.schema[id_col].dataType))
+    new = with_fresh_ids(rows, table, id_col)
     values = []
     for field in table.schema:
         given = F.col(field.name) if field.name in new.columns else F.lit(None)
