@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, spread, texts_of
 
-#: Words whose encoding a worker remembers; it forgets all when full.
-CACHE_WORDS = 250_000
+#: Words, and fragments, whose encoding a worker remembers; it forgets all when full.
+CACHE_WORDS = 150_000
 
 
 def default_path() -> str:
