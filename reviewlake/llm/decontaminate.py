@@ -169,15 +169,27 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """``(item, piece)``: the words of each item, long items in stretches that overlap by a window less one word.
+
+    A stretch starts only where a whole window is left, so every window lies inside one.
+    """
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(_WORD.pattern), F.lit(0))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words.alias("w")).filter(F.size("w") > 0)
+    n = F.size("w")
+    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(most)), lambda i: (i == 0) | (n - i >= window))
+    return rows.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, F.lit(most + window - 1)))).alias("piece"))
+
+
 def _automata(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[Automaton]:
-    """One automaton for each shard of items; an item longer than a shard goes to several, overlapping by a window."""
-    lower = F.lower(F.coalesce("text", F.lit("")))
-    sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.length(lower))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // (2 * shard_words)))
+    """One automaton for each shard of items, about ``shard_words`` words each; longer items go to several."""
+    pieces = _pieces(benchmark, window, max(window, shard_words // 4))
+    total = pieces.agg(F.sum(F.size("piece"))).first()[0] or 0
+    shards = max(1, -(-total // shard_words))
     for k in range(shards):
-        rows = sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).select("item", "text").collect()
-        yield Automaton([(r[0], words_of(r[1])) for r in rows], window)
+        rows = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(shards)) == k).collect()
+        yield Automaton([(r["item"], [utf8(w) for w in r["piece"]]) for r in rows], window)
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:

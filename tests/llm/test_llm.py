@@ -243,7 +243,7 @@ def test_scan_and_removal(spark):
     texts = [(1, "A " + item.upper() + " b"), (2, "pad " * 300 + "Short, ITEM! end"), (3, None), (4, ""), (5, "clean"), (5, "clean"), (None, "nameless—words")]
     df = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts], DOCS)
     named = [(k if k is not None else "null", t) for k, t in items]
-    for shard in (1_000_000, 20):
+    for shard in (1_000_000, 20, 4):
         state = decontaminate.match(df.select("doc_id", "text"), benchmark, shard_words=shard)
         got = {(r.doc_id, r["__rl_words"], r["__rl_hit"], tuple(r["__rl_items"])) for r in state.collect()}
         want = set()
@@ -263,6 +263,18 @@ def test_scan_and_removal(spark):
     assert decontaminate.scan(df, benchmark.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_long_items_over_several_shards(spark):
+    r = random.Random(8)
+    long = [f"w{k}" for k in range(90)]
+    items = [(1, " ".join(long)), (2, " ".join(long[40:60]))]
+    texts = [" ".join(["z", *long[a : a + r.randint(10, 30)], "z", *long[b : b + 13]]) for a in range(0, 80, 3) for b in (r.randrange(77),)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate._pieces(benchmark, 13, 13).filter("item = '1'").count() > 3
+    got = {x.doc_id: (x["__rl_words"], x["__rl_hit"], len(x["__rl_items"])) for x in decontaminate.match(df, benchmark, shard_words=30).collect()}
+    assert got == {k: brute_scan(t, items)[:3] for k, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf, name):
     df = queries.queries()[name](spark, sf)
