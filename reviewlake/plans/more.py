@@ -495,3 +495,32 @@ def w10(spark: SparkSession, sf: str) -> DataFrame:
     if not runs.run_available(stream, out, scratch(spark, "stream-state")):
         raise TimeoutError("the stream did not end in time")
     return spark.read.parquet(out).groupBy("requirement_id").agg(F.count("*").alias("n"))
+
+
+@query("k25_k26_json_outputs", "SELECT ['review_session', 'issue_pattern', 'curated_issue', 'other'][p_partkey % 4 + 1] AS target, count(*) AS n FROM part GROUP BY target")
+def k25(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised tasks written as a builder's JSON output and read again."""
+    from .knowledge import raw_tasks
+
+    path = scratch(spark, "tasks")
+    reports.export_json(tasks.normalize(raw_tasks(spark, sf), "s"), path)
+    return spark.read.schema("ord long, target string, action string, data map<string,string>").json(path).groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query("k21_k22_markdown", "SELECT '# report' || chr(10) || '- **n**: 2' || chr(10) || '## items' || chr(10) || '- a' || chr(10) || '- b' AS text")
+def k21(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(1).select(F.lit(reports.as_markdown({"report": {"n": 2, "items": ["a", "b"]}})).alias("text"))
+
+
+@query("x08_changed_ranges", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS first, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS last FROM documents")
+def x08(spark: SparkSession, sf: str) -> DataFrame:
+    after = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("a new first line\n"), F.col("text")))
+    rows = tables.table(spark, sf, "documents").select("doc_id", ingest.changed_range(F.col("text"), after).alias("r"))
+    return rows.select("doc_id", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
+
+
+@query("c28_complexity_blocks", "SELECT event_id AS file_id, 'f' || json_extract_string(props, '$.k') AS name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS complexity FROM events")
+def c28(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    output = F.format_string('{"a.py":[{"name":"f%1$s","type":"function","lineno":1,"complexity":%1$s}]}', k)
+    return toolparse.radon(tables.table(spark, sf, "events").select(F.col("event_id").alias("file_id"), output.alias("output"))).select("file_id", "name", "complexity")
