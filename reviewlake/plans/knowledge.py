@@ -48,10 +48,11 @@ def x21(spark: SparkSession, sf: str) -> DataFrame:
     return store.vector_rows(tables.patterns(spark, sf)).select("sqlite_id", "vector_layer", "text")
 
 
-@query("x23_x24_embeddings", f"SELECT doc_id, list_transform({_EMBED.format(997, 389)}, lambda x: round(x, 6)) AS a, list_transform({_EMBED.format(991, 313)}, lambda x: round(x, 6)) AS b FROM (SELECT doc_id, t, {_SUM} AS s FROM (SELECT doc_id, text AS t FROM documents))")
+@query("x23_x24_embeddings", f"SELECT doc_id, round(a[1], 6) AS a_length, round(a[2], 6) AS a_one, round(a[3], 6) AS a_two, round(b[2], 6) AS b_one, round(b[3], 6) AS b_two FROM (SELECT doc_id, {_EMBED.format(997, 389)} AS a, {_EMBED.format(991, 313)} AS b FROM (SELECT doc_id, t, {_SUM} AS s FROM (SELECT doc_id, text AS t FROM documents)))")
 def x23(spark: SparkSession, sf: str) -> DataFrame:
-    rounded = lambda v: F.transform(vectors.embed(F.col("text"), v), lambda x: F.round(x, 6))
-    return tables.table(spark, sf, "documents").select("doc_id", rounded("A").alias("a"), rounded("B").alias("b"))
+    both = tables.table(spark, sf, "documents").select("doc_id", vectors.embed(F.col("text"), "A").alias("a"), vectors.embed(F.col("text"), "B").alias("b"))
+    at = lambda c, k: F.round(F.get(c, F.lit(k)), 6)
+    return both.select("doc_id", at("a", 0).alias("a_length"), at("a", 1).alias("a_one"), at("a", 2).alias("a_two"), at("b", 1).alias("b_one"), at("b", 2).alias("b_two"))
 
 
 @query("x25_cosine", f"WITH {_E} SELECT e.vec_id, {_DIST} AS distance FROM e q JOIN e ON e.vec_id = q.vec_id + 1")

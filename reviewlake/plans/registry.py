@@ -18,7 +18,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = sql
+            # a filtered count is a 64-bit number as in Spark; DuckDB's count_if is a 128-bit one
+            SQL[name] = sql.replace("count_if(", "count(*) FILTER (WHERE ")
         return f
 
     return register
