@@ -8,8 +8,8 @@ itself, once per worker, and their ids concatenated: the result equals encoding
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from .common import arrow_schema, spread, texts_of
 
@@ -49,8 +51,6 @@ class Encoder:
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.vocab.items()}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
@@ -58,6 +58,10 @@ class Encoder:
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pieces.replace(r"\s", r"\p{White_Space}"))
         self.symbols = byte_symbols()
+        #: The library's merging of a fragment that ends a word, and of one that does not.
+        self.last = Tokenizer.from_file(path).model
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.inner = BPE(vocab=self.vocab, merges=merges)
         inside = {(a, b) for t in self.vocab for s in [t.removesuffix(self.end)] for a, b in zip(s, s[1:], strict=False)}
         back = {c: b for b, c in enumerate(self.symbols)}
         #: joined[a, b]: some token holds byte a right before byte b.
@@ -67,7 +71,7 @@ class Encoder:
                 self.joined[back[a], back[b]] = True
         self.allowed = [frozenset(np.flatnonzero(r).tolist()) for r in self.joined]
         self._words: dict[str, tuple[bytes, bytes]] = {}
-        self._fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
+        self._fragments: dict[tuple[bytes, bool], tuple[bytes, bytes]] = {}
 
     def normalise(self, text: str) -> str:
         if text.isascii():
@@ -81,48 +85,35 @@ class Encoder:
         cuts = [0, *(i for i in range(1, len(word)) if word[i] not in allowed[word[i - 1]]), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def merge(self, fragment: bytes, ends_word: bool) -> tuple[int, ...]:
-        """Merge a fragment's symbols, lowest rank first and leftmost among equals."""
-        parts: list[str | None] = [self.symbols[b] for b in fragment]
-        if ends_word:
-            parts[-1] += self.end
-        if "".join(parts) in self.vocab and len(parts) == 1:
-            return (self.vocab[parts[0]],)
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.ranks
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := ranks.get((a, b))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if parts[i] is not None else n
-            if parts[i] != a or j >= n or parts[j] != b:
-                continue
-            parts[i], parts[j] = a + b, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := ranks.get((parts[i], parts[after[i]]))) is not None:
-                    heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
-            if before[i] >= 0 and (r := ranks.get((parts[before[i]], parts[i]))) is not None:
-                heapq.heappush(heap, (r, before[i], parts[before[i]], parts[i]))
-        return tuple(self.vocab[p] for p in parts if p is not None)
+    def merge(self, fragment: bytes, ends_word: bool) -> list[int]:
+        """Ids of a fragment by the merge table; only a fragment at a word's end takes the end mark."""
+        text = "".join([self.symbols[b] for b in fragment])
+        return [t.id for t in (self.last if ends_word else self.inner).tokenize(text)]
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
+    def packed(self, fragment: bytes, ends_word: bool) -> tuple[bytes, bytes]:
         """Ids as little-endian 32-bit integers and the tokens joined by spaces."""
-        ids: list[int] = []
+        ids = self.merge(fragment, ends_word)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids]).encode()
+
+    def word(self, word: str) -> tuple[bytes, bytes]:
+        """Packed ids and joined tokens of a word: those of its fragments, one after the other."""
         cut = self.fragments(word.encode("utf-8", "replace"))
-        for k, fragment in enumerate(cut):
-            key = (fragment, k == len(cut) - 1)
-            found = self._fragments.get(key)
-            if found is None:
-                if len(self._fragments) >= CACHE_WORDS:
-                    self._fragments.clear()
-                found = self._fragments[key] = self.merge(*key)
-            ids += found
+        if len(cut) == 1:
+            out = self.packed(cut[0], True)
+        else:
+            parts = []
+            for k, fragment in enumerate(cut):
+                key = (fragment, k == len(cut) - 1)
+                found = self._fragments.get(key)
+                if found is None:
+                    if len(self._fragments) >= CACHE_WORDS:
+                        self._fragments.clear()
+                    found = self._fragments[key] = self.packed(*key)
+                parts.append(found)
+            out = (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
         if len(self._words) >= CACHE_WORDS:
             self._words.clear()
-        self._words[word] = out = (np.array(ids, dtype="<u4").tobytes(), " ".join([self.tokens[i] for i in ids]).encode())
+        self._words[word] = out
         return out
 
     def encode(self, text: str) -> tuple[bytes, bytes]:

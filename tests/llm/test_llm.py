@@ -360,7 +360,7 @@ def test_cuts_are_forced():
         assert b"".join(parts) == raw
         whole = coder.merge(raw, True)
         split = [i for k, p in enumerate(parts) for i in coder.merge(p, k == len(parts) - 1)]
-        assert list(whole) == split
+        assert whole == split
 
 
 def test_bpe_edges(spark):
