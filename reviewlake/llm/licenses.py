@@ -154,7 +154,7 @@ class Scanner:
             for start, end in self.regions([i for i, w in enumerate(words) if w in counts], len(template)):
                 if end - start < least:
                     continue
-                for lo, hi in self._copies(words, start, end, template):
+                for lo, hi in self._copies(words, start, end, counts, len(template), least):
                     pairs = align(words[lo:hi], template)
                     if pairs and len(pairs) >= least and (best is None or len(pairs) > best[1]):
                         best = (len(pairs) / len(template), len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
@@ -162,16 +162,31 @@ class Scanner:
                 out.append((name, *best))
         return sorted(out, key=lambda f: (-f[2], -f[1], f[0]))
 
-    def _copies(self, words: list[str], start: int, end: int, template: list[str]) -> list[tuple[int, int]]:
-        """The stretch itself and, where it is much longer than the template, windows about its rarest word."""
-        if end - start <= 2 * len(template):
-            return [(start, end)]
-        here = Counter(words[start:end])
-        rare = min((w for w in set(template) if here[w]), key=lambda w: (here[w], template.index(w)))
-        at, n = template.index(rare), len(template)
-        slack = max(SLACK, n // 4)
-        spots = [i for i in range(start, end) if words[i] == rare]
-        return [(start, end)] * (end - start <= 20 * n) + [(max(start, i - at - slack), min(end, i - at + n + slack)) for i in spots]
+    def _copies(self, words: list[str], start: int, end: int, counts: Counter, size: int, least: float) -> Iterator[tuple[int, int]]:
+        """Overlapping windows of two template lengths, the last one up to the end, then the stretch itself.
+
+        Every copy of up to one and a half template lengths lies whole in a window. A window whose
+        words, in any order, do not reach ``least`` words of the template cannot be covered and is left out.
+        """
+        width, step = 2 * size, max(1, size // 2)
+        if end - start > width:
+            here: Counter = Counter()
+            common, a, b = 0, start, start
+            for lo in [*range(start, end - width, step), end - width]:
+                for w in words[b : lo + width]:
+                    if w in counts:
+                        common += here[w] < counts[w]
+                        here[w] += 1
+                for w in words[a:lo]:
+                    if w in counts:
+                        here[w] -= 1
+                        common -= here[w] < counts[w]
+                a, b = lo, lo + width
+                if common >= least:
+                    yield lo, lo + width
+        here = Counter(w for w in words[start:end] if w in counts)
+        if sum(min(n, here[w]) for w, n in counts.items()) >= least:
+            yield start, end
 
 
 _FIND = T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_matched", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])

@@ -1,0 +1,19 @@
+"""Corpus operators at sizes and on forms where less than the whole job would do unseen."""
+
+from __future__ import annotations
+
+import random
+
+from reviewlake.llm import licenses
+
+
+def test_worn_copy_in_a_stretch_of_any_length():
+    s = licenses.Scanner()
+    mit = licenses.TEMPLATES["MIT"]
+    worn = "Consent" + mit.removeprefix("Permission")
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choice(["the", "of", "to", "and", "in", "river", "stone"]) for _ in range(n))
+    for before, after in ((0, 0), (400, 100), (2000, 900), (2000, 9000), (9000, 37)):
+        found = {f[0]: f for f in s.finds(f"{prose(before)} {worn} {prose(after)}")}
+        assert found["MIT"][2] >= 162 and found["MIT"][3] <= before + 1 and found["MIT"][4] >= before + 163
+    assert "MIT" not in {f[0] for f in s.finds(prose(20_000))}
