@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from reviewlake.llm import licenses
+from reviewlake.llm import licenses, toxicity
 
 
 def test_worn_copy_in_a_stretch_of_any_length():
@@ -17,3 +17,38 @@ def test_worn_copy_in_a_stretch_of_any_length():
         found = {f[0]: f for f in s.finds(f"{prose(before)} {worn} {prose(after)}")}
         assert found["MIT"][2] >= 162 and found["MIT"][3] <= before + 1 and found["MIT"][4] >= before + 163
     assert "MIT" not in {f[0] for f in s.finds(prose(20_000))}
+
+
+def scorer_of(bad):
+    r = random.Random(1)
+    syllables = ["the", "an", "er", "on", "st", "re", "ing", "ed", "ou", "ly"]
+    clean = ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(400)]
+    rows = [(k, " ".join(r.choices(clean, k=20) + ([r.choice(bad)] if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(400)]
+    return toxicity.train(rows), clean
+
+
+def test_insults_in_tokens_of_any_length():
+    bad = ["moron", "stupid", "loser", "trash"]
+    scorer, clean = scorer_of(bad)
+    r = random.Random(2)
+    for word in bad:
+        for n in (1, 8, 40):
+            others = r.choices(clean, k=n)
+            digits = " ".join("1234567890"[k % 10] for k in range(n)) + " " + " ".join(word)
+            joined = r.choice(",/-_").join([*others, word.replace("o", "0").replace("s", "5"), *others])
+            spaced = " ".join("".join([*others, word, *others]))
+            for said in (digits, joined, spaced):
+                assert word in [w for t in toxicity.tokens(said) for w in toxicity.restore(t, scorer.model)], said
+                assert scorer.score(said) >= 0.3
+
+
+def test_settled_starts_leave_the_best_path(monkeypatch):
+    model = toxicity.CharModel(toxicity.Counter({"idiot": 5, "adapt": 3, "lilt": 2, "toad": 2}))
+    r = random.Random(3)
+    for _ in range(60):
+        token = "".join(r.choice("i1do0t@a4pl|. ") for _ in range(150)).strip()
+        got = []
+        for settled in (1, 64, 10**9):
+            monkeypatch.setattr(toxicity, "SETTLED", settled)
+            got.append((toxicity.decode(token, model), toxicity.decode(token, model, breaks=True)))
+        assert len(set(got)) == 1
