@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from reviewlake.llm import licenses, toxicity
+from reviewlake.llm import languagemodel, licenses, toxicity
 
 
 def test_worn_copy_in_a_stretch_of_any_length():
@@ -52,3 +52,14 @@ def test_settled_starts_leave_the_best_path(monkeypatch):
             monkeypatch.setattr(toxicity, "SETTLED", settled)
             got.append((toxicity.decode(token, model), toxicity.decode(token, model, breaks=True)))
         assert len(set(got)) == 1
+
+
+def test_a_large_filter_passes_in_ranges(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(300).cache()
+    score = lambda: {r.doc_id: r for r in languagemodel.score(docs).collect()}
+    whole = score()
+    seen = []
+    passed = languagemodel._passed
+    monkeypatch.setattr(languagemodel, "_passed", lambda rows, model: seen.append(len(model.bloom.data)) or passed(rows, model))
+    monkeypatch.setattr(languagemodel, "FILTER_BYTES", 1 << 15)
+    assert score() == whole and len(seen) > 1
