@@ -213,6 +213,13 @@ def f08(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("ord", F.array_join(F.array_sort(F.map_keys("data")), ",").alias("keys"))
 
 
+@query("f08_all_fields")
+def f08_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept fields of every task; deletes keep their list of ids too."""
+    rows = tasks.normalize(raw_tasks(spark, sf), "s")
+    return rows.select("ord", "target", "action", F.array_join(F.array_sort(F.map_keys("data")), ",").alias("keys"))
+
+
 @query("f09_needs_confirm", "SELECT true AS need_confirm")
 def f09(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.needs_confirm(tasks.normalize(raw_tasks(spark, sf), "s"))
@@ -236,6 +243,13 @@ def u05(spark: SparkSession, sf: str) -> DataFrame:
     return done.groupBy(tasks.lookup(F.col("target"), tasks.TARGET_ALIASES, "").alias("target")).agg(F.count("*").alias("n"))
 
 
+@query("u05_all_tasks")
+def u05_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As u05_complete_tasks, of every pattern task."""
+    done = tasks.complete(raw_tasks(spark, sf).filter("target = 'pattern'"), "words", "s")
+    return done.groupBy(tasks.lookup(F.col("target"), tasks.TARGET_ALIASES, "").alias("target")).agg(F.count("*").alias("n"))
+
+
 @query("f12_validation", "SELECT level, message FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'error' END AS level, 'task[' || p_partkey || '] invalid target: other' AS message FROM part WHERE p_partkey % 4 = 3 UNION ALL SELECT 'error', 'task[' || p_partkey || '] invalid target: other' FROM part WHERE p_partkey % 4 = 3 AND p_size % 2 = 1) WHERE level IS NOT NULL")
 def f12(spark: SparkSession, sf: str) -> DataFrame:
     rows = tasks.normalize(raw_tasks(spark, sf), "s").filter("target = 'other'").withColumn("action", F.lit("upsert"))

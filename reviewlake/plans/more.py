@@ -13,6 +13,7 @@ from ..sources import tables
 from ..sources.scratch import scratch
 from ..sources.tables import ISSUES_SQL
 from ..streaming import runs
+from .code import tool_outputs
 from .issues import with_issues
 from .registry import query
 
@@ -142,6 +143,14 @@ def f10(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "documents").crossJoin(F.broadcast(one)).filter(hit).agg(F.count("*").alias("n"))
 
 
+@query("f10_all_patterns")
+def f10_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that match, for every benchmark row; a row without any is left out."""
+    known = tables.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("known"))
+    hit = secondpass.matches(F.lit("The AND"), F.col("known"), F.col("text"), F.lit("source"))
+    return tables.table(spark, sf, "documents").join(known, hit).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
 _REPORTS = ('{"run_id": "r", "requirement_id": 1, "issues": [], "analysis_types": []}', '{"run_id": "r", "issues": {}}', "no json", "[1]")
 
 
@@ -255,6 +264,12 @@ def t04(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter("file_id % 5 = 0").select("file_id", "position", "severity_score")
 
 
+@query("t04_all_bottlenecks")
+def t04_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every position of every file; SQL of the line analytics would be too slow."""
+    return lines.bottlenecks(tables.files(spark, sf))
+
+
 @query("t08_optimisation_buckets", with_issues("SELECT requirement_id, CASE WHEN severity IN ('critical', 'high') THEN 'immediate_optimizations' ELSE 'algorithmic_improvements' END AS bucket, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY score DESC, ord) AS rn FROM issues) WHERE rn <= 5 GROUP BY ALL"))
 def t08(spark: SparkSession, sf: str) -> DataFrame:
     first = ranking.first_per(tables.issues(spark, sf), ["requirement_id"], [F.desc("score"), F.col("ord")], 5)
@@ -297,6 +312,14 @@ def c31(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.scan_summary(style.unionByName(tools), "file_id").filter("file_id % 5 = 4").select("file_id", "total_issues", "quality_score")
 
 
+@query("c31_whole_scan")
+def c31_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All style codes of all files and the issues of all tool outputs; SQL of both would be too slow."""
+    style = lines.style_check(tables.files(spark, sf)).select("file_id", F.lit("style").alias("source"), "severity")
+    tools = toolparse.all_issues(tool_outputs(spark, sf)).select("file_id", F.lit("security").alias("source"), "severity")
+    return aggregate.scan_summary(style.unionByName(tools), "file_id")
+
+
 # answers
 
 _ANSWERS = (
