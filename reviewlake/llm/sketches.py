@@ -1,9 +1,10 @@
 """Threshold-scaled document fingerprints with built-in functions only.
 
-A sketch holds every five-word shingle hash below a fixed fraction of the hash space, so its
-size follows the text, sketches merge by union, and containment can be estimated between
-very unequal documents. A text none of whose hashes falls below the bound keeps its smallest
-one, so that no text with words has an empty sketch; ``merged`` keeps to that rule.
+A sketch holds every five-word shingle hash below a fixed fraction of the hash space (of all of
+it, as set), so its size follows the text, sketches merge by union, and containment can be
+estimated between very unequal documents. At a smaller fraction a text none of whose hashes falls
+below the bound keeps its smallest one, so that no text with words has an empty sketch;
+``merged`` keeps to that rule.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import spread
 
 SHINGLE = 5
-#: One hash in so many is kept.
-SCALE = 8
+#: One hash in so many is kept; at one all are, and likeness is exact for short texts too.
+SCALE = 1
 _BOUND = -(1 << 63) + (1 << 64) // SCALE
 #: Rows of a stretch of the id order that one task sorts.
 STRETCH = 1024
@@ -33,6 +34,8 @@ def shingle_hashes(tokens: Column) -> Column:
 
 
 def _scaled(hashes: Column) -> Column:
+    if SCALE == 1:
+        return F.sort_array(F.array_distinct(hashes))
     low = F.filter(hashes, lambda h: h < _BOUND)
     return F.when((F.size(low) > 0) | (F.size(hashes) == 0), F.sort_array(F.array_distinct(low))).otherwise(F.array(F.array_min(hashes)))
 
@@ -125,7 +128,8 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Digest per document: doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next."""
     texts = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    ahead = with_next(with_sketch(texts, "text", "sketch"), ["text", "sketch"])
+    # only texts are moved: sketches of all hashes are larger than they and made again after the shuffle
+    ahead = with_sketch(with_sketch(with_next(texts, ["text"]), "text", "sketch"), "next_text", "next_sketch")
     changed = ahead.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", "edited")
     both = with_sketch(changed, "edited", "edited_sketch")
     return both.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from reviewlake.llm import languagemodel, licenses, toxicity
+from reviewlake.llm import languagemodel, licenses, sketches, toxicity
 
 
 def test_worn_copy_in_a_stretch_of_any_length():
@@ -63,3 +63,18 @@ def test_a_large_filter_passes_in_ranges(spark, sf, monkeypatch):
     monkeypatch.setattr(languagemodel, "_passed", lambda rows, model: seen.append(len(model.bloom.data)) or passed(rows, model))
     monkeypatch.setattr(languagemodel, "FILTER_BYTES", 1 << 15)
     assert score() == whole and len(seen) > 1
+
+
+def test_short_texts_keep_their_likeness(spark):
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice("abcdefghijklmnop") * 3 + str(r.randrange(50)) for _ in range(r.randint(12, 40)))) for k in range(200)]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    got = {x.doc_id: x for x in sketches.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, t) in enumerate(rows):
+        q = len(t) // 4
+        a, b = shingles(t), shingles(t[: len(t) - q] + rows[(k + 1) % len(rows)][1][:q])
+        assert abs(got[i].near_edited - len(a & b) / len(a | b)) < 1e-9
