@@ -78,3 +78,14 @@ def test_short_texts_keep_their_likeness(spark):
         q = len(t) // 4
         a, b = shingles(t), shingles(t[: len(t) - q] + rows[(k + 1) % len(rows)][1][:q])
         assert abs(got[i].near_edited - len(a & b) / len(a | b)) < 1e-9
+
+
+def test_doubled_letters_are_decoded():
+    bad = ["moron", "stupid", "loser", "trash"]
+    scorer, clean = scorer_of(bad)
+    r = random.Random(7)
+    for word in bad:
+        for said in ("".join(c * 2 for c in word), *("".join(c * r.choice([1, 2]) for c in word) for _ in range(8))):
+            assert word in [w for t in toxicity.tokens(said) for w in toxicity.restore(t, scorer.model)], said
+            assert scorer.score("the " + said + " on") >= 0.3
+    assert max(scorer.score(" ".join(r.choices(clean, k=20))) for _ in range(100)) < 0.3
