@@ -66,6 +66,14 @@ def batch_of(schema: T.StructType, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that clashes with none of ``taken``, whatever its case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Whole texts, null as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -3,32 +3,35 @@
 The automaton of all normalised test items is built on the driver from a bounded number of
 item words and broadcast; every document streams its words through it in one pass, tracking
 the longest match that ends at each word. Benchmarks above the bound are split by item into
-shards, one pass each, so what is broadcast never grows with the data.
+shards, one pass over the texts each, so what is broadcast never grows with the data.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, ascii_lower, settle, spread, texts_of, utf8
+from .common import arrow_schema, ascii_lower, fresh, settle, spread, texts_of, utf8
 
 WINDOW = 13
 #: A document is contaminated from one hit word in this many.
 COVERAGE = 20
 #: Item words that one broadcast automaton may hold.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 
 #: Every byte that ends a word as a space, A-Z as a-z.
 _TABLE = bytes(c if chr(c).isdigit() and c < 128 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words before A-Z are made small.
+_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -70,10 +73,16 @@ class Automaton:
             if len(seq) < window:
                 short.setdefault(state, set()).add(n)
                 self.least = min(self.least, len(seq))
+        by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        #: For each state of a window or more, its suffix state that holds the last window alone; zero for the others.
+        self.top = [0] * len(self.link)
+        for v in by_length:
+            if self.length[v] >= window:
+                self.top[v] = self.top[self.link[v]] or v
         #: Short items that end at a state, shortest first: those of its proper suffixes and its own.
         self.short: dict[int, list[tuple[int, set[int]]]] = {}
         if short:
-            for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            for v in by_length:
                 found = self.short.get(self.link[v], [])
                 if v in short:
                     found = [*found, (self.length[v], short[v])]
@@ -112,6 +121,7 @@ class Automaton:
         """Merged spans ``[start, end)`` of the words inside an item's windows, and the items' numbers."""
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
+        tops: set[int] = set()
         if len(words) < self.least or not self.words:
             return spans, items
         ids = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int32, count=len(words))
@@ -119,7 +129,7 @@ class Automaton:
         edges = np.flatnonzero(known[1:] != known[:-1])
         starts, ends = edges[::2], edges[1::2]
         long_enough = ends - starts >= self.least
-        next_, link, length, window = self.next, self.link, self.length, self.window
+        next_, link, length, top, window = self.next, self.link, self.length, self.top, self.window
         for start, end in zip(starts[long_enough].tolist(), ends[long_enough].tolist(), strict=True):
             state = matched = 0
             for i, c in enumerate(ids[start:end].tolist(), start):
@@ -132,10 +142,7 @@ class Automaton:
                 matched += 1
                 back = 0
                 if matched >= window:
-                    at = state
-                    while length[link[at]] >= window:
-                        at = link[at]
-                    items |= self.items[at]
+                    tops.add(top[state])
                     back = matched
                 for n, who in self.short.get(state, ()):
                     if n <= matched:
@@ -146,15 +153,16 @@ class Automaton:
                     while spans and spans[-1][1] >= first:
                         first = min(first, spans.pop()[0])
                     spans.append((first, i + 1))
-        return spans, items
+        return spans, items.union(*map(self.items.__getitem__, tops))
 
 
+#: What a pass finds besides the columns it passes on, under names of its own.
 _FOUND = T.StructType(
     [
-        T.StructField("__rl_words", T.LongType()),
-        T.StructField("__rl_hit", T.LongType()),
-        T.StructField("__rl_spans", T.ArrayType(T.LongType())),
-        T.StructField("__rl_items", T.ArrayType(T.StringType())),
+        T.StructField("words", T.LongType()),
+        T.StructField("hit", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -192,60 +200,88 @@ def _automata(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[A
         yield Automaton([(r["item"], [utf8(w) for w in r["piece"]]) for r in rows], window)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with hidden columns: words, hit words, hit spans (flat word positions), items.
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, Column]:
+    """``docs`` with one more column, a struct: words, hit words, hit spans (flat word positions), items.
 
-    Null and empty texts have no words and no hits. Items without words have no windows; an
-    item whose id is null counts under the name "null"; items that repeat an id are one item.
-    All columns and rows of ``docs`` come back, repeated rows too.
+    Returns the rows and that column; its name clashes with none of ``docs``. Null and empty texts
+    have no words and no hits. Items without words have no windows; an item whose id is null counts
+    under the name "null"; items that repeat an id are one item. All columns and rows of ``docs``
+    come back, repeated rows too. With several shards the documents are written once, with a row
+    number; each shard reads only their texts and gives rows for those that it hits.
     """
     spark = docs.sparkSession
-    names = docs.columns
-    state = spread(docs).select("*", F.lit(0).cast("long").alias("__rl_words"), F.lit(0).cast("long").alias("__rl_hit"), F.array().cast("array<long>").alias("__rl_spans"), F.array().cast("array<string>").alias("__rl_items"))
-    for k, automaton in enumerate(_automata(benchmark, window, shard_words)):
-        if k:
-            state = settle(state)
-        schema = T.StructType([*docs.schema.fields, *_FOUND.fields])
+    name = fresh("found", docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _FOUND)])
+    automata = _automata(benchmark, window, shard_words)
+    first, second = next(automata), next(automata, None)
+    if second is None:
+        return spread(docs).mapInArrow(_pass(spark.sparkContext.broadcast(first), docs.columns.index("text"), len(docs.columns), arrow_schema(schema)), schema), F.col(name)
+    row = fresh("row", docs.columns)
+    kept = settle(spread(docs).withColumn(row, F.monotonically_increasing_id()))
+    found = T.StructType([T.StructField("row", T.LongType()), T.StructField("f", _FOUND)])
+    hits = None
+    for automaton in chain((first, second), automata):
         shared = spark.sparkContext.broadcast(automaton)
-        state = state.mapInArrow(_pass(shared, names, arrow_schema(schema)), schema)
-    return state
+        here = settle(kept.select(F.col(row).alias("row"), "text").mapInArrow(_pass(shared, 1, 1, arrow_schema(found)), found).filter("f.hit > 0").select("row", "f.spans", "f.items"))
+        shared.destroy()
+        hits = here if hits is None else hits.unionByName(here)
+    whole = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = whole.select(F.col("row").alias(row), F.struct(_union_of_spans(F.col("spans")).alias("spans"), "items").alias(name))
+    covered = F.aggregate(F.sequence(F.lit(0), F.size(F.col(name)["spans"]) - 2, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.get(F.col(name)["spans"], i + 1) - F.get(F.col(name)["spans"], i))
+    none = F.struct(F.lit(0).cast("long").alias("hit"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    count = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ANY_WORD), F.lit(0))).cast("long")
+    rest = F.when(F.col(name).isNull(), none).otherwise(F.struct(covered.alias("hit"), F.col(name)["spans"].alias("spans"), F.col(name)["items"].alias("items")))
+    out = kept.join(whole, row, "left").withColumn(name, F.struct(count.alias("words"), rest["hit"].alias("hit"), rest["spans"].alias("spans"), rest["items"].alias("items")))
+    return out.select(*docs.columns, name), F.col(name)
 
 
-def _pass(shared, names: list[str], schema: pa.Schema):
+def _flat_union(spans) -> list[int]:
+    """Merged spans of flat, possibly overlapping ones."""
+    flat = list(map(int, spans))
+    return [x for s in _merged(list(zip(flat[::2], flat[1::2], strict=True))) for x in s]
+
+
+def _union_of_spans(spans: Column) -> Column:
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(_flat_union)
+
+    return F.pandas_udf(run, T.ArrayType(T.LongType()))(spans)
+
+
+def _pass(shared, where: int, passed: int, schema: pa.Schema):
+    """Function of batches: their first ``passed`` columns, and what the automaton finds in the texts of column ``where``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
+        kind = schema.field(len(schema) - 1).type
         for batch in batches:
-            n_words, n_hit, all_spans, all_items = [], [], [], []
-            old_spans, old_items = batch.column(len(names) + 2).to_pylist(), batch.column(len(names) + 3).to_pylist()
-            for text, before, had in zip(texts_of(batch.column(names.index("text"))), old_spans, old_items, strict=True):
+            found = []
+            for text in texts_of(batch.column(where)):
                 words = words_of(text)
                 spans, items = automaton.hits(words)
-                if before:
-                    spans = _merged([*spans, *zip(before[::2], before[1::2], strict=True)])
-                n_words.append(len(words))
-                n_hit.append(sum(e - s for s, e in spans))
-                all_spans.append([x for s in spans for x in s])
-                all_items.append(sorted({*had, *(automaton.names[i] for i in items)}))
-            found = [pa.array(c, type=schema.field(len(names) + k).type) for k, c in enumerate((n_words, n_hit, all_spans, all_items))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found], schema=schema)
+                found.append({"words": len(words), "hit": sum(e - s for s, e in spans), "spans": [x for s in spans for x in s], "items": sorted(automaton.names[i] for i in items)})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(found, type=kind)], schema=schema)
 
     return run
 
 
-def is_contaminated(n_words: F.Column, n_hit: F.Column, coverage: int = COVERAGE) -> F.Column:
-    return (n_hit > 0) & (n_hit * coverage >= n_words)
+def is_contaminated(found: Column, coverage: int = COVERAGE) -> Column:
+    return (found["hit"] > 0) & (found["hit"] * coverage >= found["words"])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Digest per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = match(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
-    return found.select(
+    """Digest per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A row for every row of ``docs``, repeats and null ids too; other columns are not read.
+    """
+    rows, found = match(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    return rows.select(
         "doc_id",
-        F.col("__rl_words").alias("n_words"),
-        F.col("__rl_hit").alias("n_hit"),
-        F.size("__rl_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__rl_items"), 256).alias("items_sha256"),
-        is_contaminated(F.col("__rl_words"), F.col("__rl_hit")).alias("contaminated"),
+        found["words"].alias("n_words"),
+        found["hit"].alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", found["items"]), 256).alias("items_sha256"),
+        is_contaminated(found).alias("contaminated"),
     )
 
 
@@ -267,7 +303,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     schema = docs.schema
     target, n = arrow_schema(schema), len(docs.columns)
     where = docs.columns.index("text")
-    found = match(docs, benchmark, window).filter(~is_contaminated(F.col("__rl_words"), F.col("__rl_hit"), coverage)).drop("__rl_words", "__rl_hit", "__rl_items")
+    rows, found = match(docs, benchmark, window)
+    kept = rows.filter(~is_contaminated(found, coverage)).select(*docs.columns, found["spans"].alias(fresh("spans", docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,14 +314,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
             columns[where] = pa.array(new, type=target.field(where).type)
             yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    cut = found.mapInArrow(run, schema)
+    cut = kept.mapInArrow(run, schema)
     return cut.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """Documents below the coverage limit, unchanged; the others go whole."""
-    found = match(docs, benchmark, window)
-    return found.filter(~is_contaminated(F.col("__rl_words"), F.col("__rl_hit"), coverage)).select(*[F.col(c) for c in docs.columns])
+    rows, found = match(docs, benchmark, window)
+    return rows.filter(~is_contaminated(found, coverage)).select(*docs.columns)
 
 
 SCAN_SQL = r"""

@@ -244,8 +244,8 @@ def test_scan_and_removal(spark):
     df = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts], DOCS)
     named = [(k if k is not None else "null", t) for k, t in items]
     for shard in (1_000_000, 20, 4):
-        state = decontaminate.match(df.select("doc_id", "text"), benchmark, shard_words=shard)
-        got = {(r.doc_id, r["__rl_words"], r["__rl_hit"], tuple(r["__rl_items"])) for r in state.collect()}
+        rows, found = decontaminate.match(df.select("doc_id", "text"), benchmark, shard_words=shard)
+        got = {(r.doc_id, r.f["words"], r.f["hit"], tuple(r.f["items"])) for r in rows.select("doc_id", found.alias("f")).collect()}
         want = set()
         for i, t in texts:
             n, hit, _, digest = brute_scan(t, named)
@@ -271,7 +271,8 @@ def test_long_items_over_several_shards(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     assert decontaminate._pieces(benchmark, 13, 13).filter("item = '1'").count() > 3
-    got = {x.doc_id: (x["__rl_words"], x["__rl_hit"], len(x["__rl_items"])) for x in decontaminate.match(df, benchmark, shard_words=30).collect()}
+    rows, found = decontaminate.match(df, benchmark, shard_words=30)
+    got = {x.doc_id: (x.f["words"], x.f["hit"], len(x.f["items"])) for x in rows.select("doc_id", found.alias("f")).collect()}
     assert got == {k: brute_scan(t, items)[:3] for k, t in enumerate(texts)}
 
 
