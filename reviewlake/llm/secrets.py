@@ -4,6 +4,7 @@ Three fixed patterns give the base spans. Besides them, candidate strings are ju
 Shannon entropy of a window sliding over them: counts are updated for the character that
 enters and the one that leaves, against a threshold for the candidate's character class;
 allow-listed shapes are suppressed. Everything is a per-row expression: no shuffle.
+Time is linear in the text, and in the matches it holds.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import fresh, spread
 
 #: Kinds in the order that breaks ties between spans with the same start.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -23,57 +24,83 @@ HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 WINDOW = 20
+#: Signs that a candidate may hold.
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: A candidate holds a digit and a letter; the look-ahead only spares the others the match.
-_CANDIDATE_WITH_DIGIT = rf"(?=[A-Za-z+/_=-]*[0-9]){CANDIDATE}"
 #: Bits per character that some window must reach, by class.
 HEX_BITS, MIXED_BITS = 3.0, 3.7
 #: Shapes that are no secrets: UUIDs, plain words joined by marks, marked examples.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[A-Za-z]+([_/=-]+[A-Za-z]+)*[_/=-]*[0-9]{1,4}$",
+    r"^[A-Za-z][A-Za-z_/=-]*[0-9]{1,4}$",
     r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]",
 )
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint>>"
+#: Items that one pass over an array appends one by one; longer arrays are cut into blocks, so that time stays linear.
+BLOCK = 128
+#: Counts of a window, of five bits each, in one long; and the scale of whole-number weights.
+_PER_LONG, _SCALE = 12, 1 << 32
 
 
-def _matches(text: Column, pattern: str, rank: int, keep) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches for which ``keep(match)`` holds.
+def _blocks(items: Column) -> Column:
+    """A filled array in slices of ``BLOCK``."""
+    return F.transform(F.sequence(F.lit(1), F.size(items), F.lit(BLOCK)), lambda at: F.slice(items, at, BLOCK))
 
-    The pieces between the matches give the positions, in code points.
+
+def _with_matches(df: DataFrame, text: Column, pattern: str, rank: int, keep, name: str) -> DataFrame:
+    """``df`` with the spans of a pattern's leftmost non-overlapping matches for which ``keep(match)`` holds.
+
+    The pieces between the matches give the positions, in code points: within blocks first,
+    then moved by what the blocks before them hold. Each stage is a column, made once a row.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
+    taken = df.columns
+    found, pairs, blocks, local, moved = (fresh(f"{name}_{k}", taken) for k in range(5))
+    some = F.size(found) > 0
+    measured = F.zip_with(found, F.split(text, pattern, -1), lambda m, p: F.struct(F.char_length(p).cast("bigint").alias("gap"), F.char_length(m).cast("bigint").alias("size"), F.when(m.isNotNull(), keep(m)).alias("kept")))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["piece"])
-        stop = start + F.char_length(x["match"])
-        one = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), stop.cast("bigint").alias("stop")))
-        return F.struct(stop.cast("bigint").alias("at"), F.when(keep(x["match"]), F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        start = acc["at"] + x["gap"]
+        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("stop")))
+        return F.struct((start + x["size"]).alias("at"), F.when(x["kept"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    joined = F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
-    pairs = F.filter(joined, lambda x: x["match"].isNotNull())
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, zero, step)["spans"]).otherwise(F.array().cast(_SPAN))
+    staged = df.withColumn(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    staged = staged.withColumn(pairs, F.when(some, F.slice(measured, F.lit(1), F.size(found))))
+    staged = staged.withColumn(blocks, F.when(some, _blocks(F.col(pairs))))
+    staged = staged.withColumn(local, F.when(some, F.transform(blocks, lambda b: F.aggregate(b, zero, step))))
+    before = F.aggregate(local, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+    staged = staged.withColumn(moved, F.when(some, F.zip_with(local, F.slice(before, F.lit(1), F.size(local)), lambda x, o: F.transform(x["spans"], lambda s: F.struct((o + s["start"]).alias("start"), s["rank"].alias("rank"), (o + s["stop"]).alias("stop"))))))
+    return staged.withColumn(name, F.when(some, F.flatten(moved)).otherwise(F.array().cast(_SPAN))).drop(found, pairs, blocks, local, moved)
 
 
 def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """Largest entropy in bits of a window of an ASCII string, by incremental counts."""
-    codes = F.transform(F.split(candidate, ""), F.ascii)
-    weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
+    """Largest entropy in bits of a window of a string of ``SIGNS``, by incremental counts.
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = F.get(codes, i)
-        leaves = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-        n_in, n_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        moved = (F.get(weights, n_in + 1) - F.get(weights, n_in)) + F.when(leaves < 0, 0.0).otherwise(F.get(weights, n_out - 1) - F.get(weights, n_out))
-        total = acc["sum"] + F.when(leaves == enters, 0.0).otherwise(moved)
-        counts = F.transform(acc["counts"], lambda c, j: c + (j == enters).cast("int") - (j == leaves).cast("int"))
-        best = F.when(i >= window - 1, F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+    The entropy is log2(window) less the sum of c * log2(c) over the window's counts c, divided by
+    the window. A step takes one sign from the counts and adds one; counts are packed into a few
+    longs and the weights are whole numbers, so that nothing drifts over a long string.
+    """
+    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(SIGNS), c) - 1)
+    weights = F.array(*[F.lit(round(c * math.log2(c) * _SCALE) if c else 0).cast("bigint") for c in range(window + 2)])
+    slots = -(-len(SIGNS) // _PER_LONG)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), slots).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"), F.lit((1 << 62)).cast("bigint").alias("least"))
+    moves = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), window), codes), lambda a, z: F.struct(a.alias("enters"), z.alias("leaves")))
+    place = lambda code: F.call_function("div", code, F.lit(_PER_LONG)).cast("int")
+    shift = lambda code: code % _PER_LONG * 5
+    count = lambda acc, code: F.call_function("shiftright", F.get(acc["counts"], place(code)), shift(code)).bitwiseAND(F.lit(31)).cast("int")
+    unit = lambda code, j: F.when((code >= 0) & (place(code) == j), F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(code))).otherwise(F.lit(0).cast("bigint"))
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        n_in, n_out = count(acc, enters), count(acc, leaves)
+        added = F.get(weights, n_in + 1) - F.get(weights, n_in)
+        total = acc["sum"] + F.when(leaves == enters, F.lit(0).cast("bigint")).when(leaves < 0, added).otherwise(added + F.get(weights, n_out - 1) - F.get(weights, n_out))
+        counts = F.transform(acc["counts"], lambda c, j: c + unit(enters, j) - unit(leaves, j))
+        least = F.when(acc["n"] + 1 >= window, F.least(acc["least"], total)).otherwise(acc["least"])
+        return F.struct(counts.alias("counts"), total.alias("sum"), (acc["n"] + 1).alias("n"), least.alias("least"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step)["best"]
+    least = F.aggregate(F.filter(moves, lambda x: x["enters"].isNotNull()), zero, step)
+    return F.when(least["n"] >= window, F.lit(math.log2(window)) - least["least"] / (window * _SCALE)).otherwise(F.lit(-1.0))
 
 
 def _secretive(candidate: Column) -> Column:
@@ -85,59 +112,78 @@ def _secretive(candidate: Column) -> Column:
     return F.when(mixed & ~allowed, window_entropy(candidate) >= threshold).otherwise(False)
 
 
-def _ordered(spans: Column) -> Column:
-    return F.sort_array(spans)
-
-
 def _text_of(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__rl_base`` and ``__rl_spans``: sorted spans (start, kind rank, stop) of each whole text.
+def find(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Column, Column]:
+    """``docs`` with two more columns, whose names clash with none of its own, and those columns.
 
-    Null texts count as empty and have no spans; rows are independent of each other.
+    The first holds the sorted base spans (start, kind rank, stop) of each whole text, the second
+    those and the entropy spans, which may overlap base spans. Null texts count as empty and have no
+    spans; rows are independent of each other: repeats agree, null ids pass through.
     """
-    text = F.col("__rl_text")
-    staged = docs.withColumn("__rl_text", F.coalesce(F.col(text_col), F.lit("")))
-    base = F.concat(
-        _matches(text, ASSIGN, 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_ASSIGN),
-        # A run below the least length can hold no match that reaches it: the bound may stand in the pattern.
-        _matches(text, ACCESS.replace("+", f"{{{LEAST_ACCESS - 4},}}"), 1, lambda m: F.lit(True)),
-        _matches(text, HEX.replace("+", f"{{{LEAST_HEX},}}"), 2, lambda m: F.lit(True)),
-    )
-    staged = staged.withColumn("__rl_base", _ordered(base))
-    more = _matches(text, _CANDIDATE_WITH_DIGIT, 3, _secretive)
-    apart = F.filter(more, lambda s: ~F.exists(F.col("__rl_base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return staged.withColumn("__rl_spans", _ordered(F.concat("__rl_base", apart))).drop("__rl_text")
+    taken = docs.columns
+    text, base, spans = (fresh(name, taken) for name in ("whole", "base", "spans"))
+    kinds = [fresh(f"kind{k}", taken) for k in range(4)]
+    staged = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    whole, always = F.col(text), lambda m: F.lit(True)
+    staged = _with_matches(staged, whole, ASSIGN, 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_ASSIGN, kinds[0])
+    # A run below the least length can hold no match that reaches it: the bound may stand in the pattern.
+    staged = _with_matches(staged, whole, ACCESS.replace("+", f"{{{LEAST_ACCESS - 4},}}"), 1, always, kinds[1])
+    staged = _with_matches(staged, whole, HEX.replace("+", f"{{{LEAST_HEX},}}"), 2, always, kinds[2])
+    staged = _with_matches(staged, whole, CANDIDATE, 3, _secretive, kinds[3])
+    staged = staged.withColumn(base, F.sort_array(F.concat(*kinds[:3]))).withColumn(spans, F.sort_array(F.concat(*kinds)))
+    return staged.drop(text, *kinds), F.col(base), F.col(spans)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Digest per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = find(spread(docs.select("doc_id", "text")))
-    count = lambda k: F.size(F.filter("__rl_base", lambda s: s["rank"] == k)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_text_of(F.col("__rl_base")), 256).alias("base_sha256"), _text_of(F.col("__rl_spans")).alias("spans"))
+    """Digest per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    A row for every row of ``docs``, repeats and null ids too; null and empty texts have no spans;
+    other columns are not read.
+    """
+    found, base, spans = find(spread(docs.select("doc_id", "text")))
+    count = lambda k: F.size(F.filter(base, lambda s: s["rank"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(spans).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Every document with its secrets replaced by ``mark``; texts without secrets stay as they are.
 
-    Overlapping spans give one mark. Columns as in ``docs``; ``n_chars``, if there, follows the text.
+    Overlapping spans give one mark. Columns as in ``docs``, whatever their names; ``n_chars``, if
+    there, follows the text. Repeats and null ids pass through, null and empty texts stay.
     """
-    found = find(spread(docs))
-    text = F.col("text")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    found, _, spans = find(spread(docs))
+    taken = found.columns
+    blocks, tops, kept, parts, regions = (fresh(name, taken) for name in ("blocks", "tops", "kept", "parts", "regions"))
+    some, text = F.size(spans) > 0, F.col("text")
+    number = lambda n: F.lit(n).cast("bigint")
+    piece = "array<struct<start:bigint,stop:bigint>>"
+    # what stays: from the largest stop so far to the next start beyond it; block by block, then in one array
+    staged = found.withColumn(blocks, F.when(some, _blocks(spans)))
+    reach = F.aggregate(blocks, F.array(number(0)), lambda acc, b: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.array_max(F.transform(b, lambda s: s["stop"]))))))
+    staged = staged.withColumn(tops, F.when(some, reach))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"))
-
-    done = F.aggregate("__rl_spans", zero, step)
-    new = F.when(F.size("__rl_spans") > 0, F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))).otherwise(text)
-    out = found.withColumn("text", new)
+        one = F.array(F.struct(acc["at"].alias("start"), s["start"].alias("stop")))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    def stays(b: Column, top: Column) -> Column:
+        return F.aggregate(b, F.struct(top.alias("at"), F.array().cast(piece).alias("out")), step)["out"]
+
+    inner = F.flatten(F.zip_with(blocks, F.slice(tops, F.lit(1), F.size(blocks)), stays))
+    last = F.array(F.struct(F.element_at(tops, -1).alias("start"), F.char_length(text).cast("bigint").alias("stop")))
+    staged = staged.withColumn(kept, F.when(some, F.concat(inner, last))).withColumn(parts, F.when(some, _blocks(F.col(kept))))
+    # positions are counted from the start of a text: cut a block's stretch first, then its pieces from that
+    cut = lambda t, start, stop: F.substring(t, (start + 1).cast("int"), (stop - start).cast("int"))
+    opens = lambda b: F.get(b, F.lit(0))["start"]
+    staged = staged.withColumn(regions, F.when(some, F.transform(parts, lambda b: F.struct(cut(text, opens(b), F.element_at(b, -1)["stop"]).alias("text"), opens(b).alias("at"), b.alias("pieces")))))
+    pieces = F.flatten(F.transform(regions, lambda r: F.transform(r["pieces"], lambda p: cut(r["text"], p["start"] - r["at"], p["stop"] - r["at"]))))
+    out = staged.withColumn("text", F.when(some, F.array_join(pieces, mark)).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__rl_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -167,7 +213,7 @@ def scan_sql() -> str:
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {", ".join(ctes)},
 base AS (SELECT texts.doc_id, list_sort(list_concat(coalesce(k0.spans, []), coalesce(k1.spans, []), coalesce(k2.spans, []))) AS b, coalesce(k3.spans, []) AS more FROM texts {join}),
-spans AS (SELECT doc_id, b, list_sort(list_concat(b, list_filter(more, lambda s: len(list_filter(b, lambda y: y.s < s.e AND s.s < y.e)) = 0))) AS a FROM base)
+spans AS (SELECT doc_id, b, list_sort(list_concat(b, more)) AS a FROM base)
 SELECT doc_id, CAST(len(list_filter(b, lambda x: x.k = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(b, lambda x: x.k = 1)) AS BIGINT) AS n_access,
   CAST(len(list_filter(b, lambda x: x.k = 2)) AS BIGINT) AS n_hex, sha256(coalesce({said.format("b")}, '')) AS base_sha256, coalesce({said.format("a")}, '') AS spans
 FROM spans
