@@ -80,27 +80,28 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     the window. A step takes one sign from the counts and adds one; counts are packed into a few
     longs and the weights are whole numbers, so that nothing drifts over a long string.
     """
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(SIGNS), c) - 1)
-    weights = F.array(*[F.lit(round(c * math.log2(c) * _SCALE) if c else 0).cast("bigint") for c in range(window + 2)])
-    slots = -(-len(SIGNS) // _PER_LONG)
-    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), slots).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"), F.lit((1 << 62)).cast("bigint").alias("least"))
-    moves = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), window), codes), lambda a, z: F.struct(a.alias("enters"), z.alias("leaves")))
-    place = lambda code: F.call_function("div", code, F.lit(_PER_LONG)).cast("int")
-    shift = lambda code: code % _PER_LONG * 5
-    count = lambda acc, code: F.call_function("shiftright", F.get(acc["counts"], place(code)), shift(code)).bitwiseAND(F.lit(31)).cast("int")
-    unit = lambda code, j: F.when((code >= 0) & (place(code) == j), F.call_function("shiftleft", F.lit(1).cast("bigint"), shift(code))).otherwise(F.lit(0).cast("bigint"))
+    long = lambda n: F.lit(n).cast("bigint")
+    weights = F.array(*[long(round(c * math.log2(c) * _SCALE) if c else 0) for c in range(window + 2)])
+    #: where each sign is counted: a long of the packed counts, and the value of one in it
+    places = F.array(*[F.struct(F.lit(k // _PER_LONG).alias("slot"), long(32 ** (k % _PER_LONG)).alias("one")) for k in range(len(SIGNS))])
+    nowhere = F.struct(F.lit(-1).alias("slot"), long(1).alias("one"))
+    signs = F.transform(F.split(candidate, ""), lambda c: F.get(places, F.instr(F.lit(SIGNS), c) - 1))
+    moves = F.zip_with(signs, F.concat(F.array_repeat(nowhere, window), signs), lambda a, z: F.struct(a.alias("enters"), z.alias("leaves")))
+    empty = F.array_repeat(long(0), -(-len(SIGNS) // _PER_LONG))
+    zero = F.struct(empty.alias("counts"), long(0).alias("sum"), F.lit(0).alias("n"), long(1 << 62).alias("least"))
+    count = lambda acc, sign: F.call_function("div", F.get(acc["counts"], sign["slot"]), sign["one"]).bitwiseAND(long(31)).cast("int")
+    change = lambda sign, j: F.when(j == sign["slot"], sign["one"]).otherwise(long(0))
 
     def step(acc: Column, x: Column) -> Column:
         enters, leaves = x["enters"], x["leaves"]
         n_in, n_out = count(acc, enters), count(acc, leaves)
-        added = F.get(weights, n_in + 1) - F.get(weights, n_in)
-        total = acc["sum"] + F.when(leaves == enters, F.lit(0).cast("bigint")).when(leaves < 0, added).otherwise(added + F.get(weights, n_out - 1) - F.get(weights, n_out))
-        counts = F.transform(acc["counts"], lambda c, j: c + unit(enters, j) - unit(leaves, j))
+        added = acc["sum"] + F.get(weights, n_in + 1) - F.get(weights, n_in)
+        total = F.when(leaves["slot"] < 0, added).when(leaves == enters, acc["sum"]).otherwise(added + F.get(weights, n_out - 1) - F.get(weights, n_out))
+        counts = F.when(leaves == enters, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, j: c + change(enters, j) - change(leaves, j)))
         least = F.when(acc["n"] + 1 >= window, F.least(acc["least"], total)).otherwise(acc["least"])
         return F.struct(counts.alias("counts"), total.alias("sum"), (acc["n"] + 1).alias("n"), least.alias("least"))
 
-    least = F.aggregate(F.filter(moves, lambda x: x["enters"].isNotNull()), zero, step)
-    return F.when(least["n"] >= window, F.lit(math.log2(window)) - least["least"] / (window * _SCALE)).otherwise(F.lit(-1.0))
+    return F.aggregate(F.slice(moves, F.lit(1), F.char_length(candidate)), zero, step, lambda acc: F.when(acc["n"] >= window, F.lit(math.log2(window)) - acc["least"] / (window * _SCALE)).otherwise(F.lit(-1.0)))
 
 
 def _secretive(candidate: Column) -> Column:
