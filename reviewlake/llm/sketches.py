@@ -9,17 +9,19 @@ below the bound keeps its smallest one, so that no text with words has an empty
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import fresh, spread
 
 SHINGLE = 5
 #: One hash in so many is kept; at one all are, and likeness is exact for short texts too.
 SCALE = 1
 _BOUND = -(1 << 63) + (1 << 64) // SCALE
-#: Rows of a stretch of the id order that one task sorts.
-STRETCH = 1024
+#: Rows of a stretch of the id order, which is sorted by itself; the most stretches, beyond which they grow; rows sampled for each.
+STRETCH, MOST_STRETCHES, SAMPLED = 1024, 1 << 16, 4
 
 
 def words(text: Column) -> Column:
@@ -45,9 +47,10 @@ def with_sketch(df: DataFrame, text_col: str, name: str) -> DataFrame:
 
     The stages are separate columns so that words and hashes are computed once a row.
     """
-    staged = df.withColumn("__rl_words", words(F.coalesce(F.col(text_col), F.lit(""))))
-    staged = staged.withColumn("__rl_hashes", shingle_hashes(F.col("__rl_words"))).drop("__rl_words")
-    return staged.withColumn(name, _scaled(F.col("__rl_hashes"))).drop("__rl_hashes")
+    tokens, hashes = fresh("tokens", [*df.columns, name]), fresh("hashes", [*df.columns, name])
+    staged = df.withColumn(tokens, words(F.coalesce(F.col(text_col), F.lit(""))))
+    staged = staged.withColumn(hashes, shingle_hashes(F.col(tokens))).drop(tokens)
+    return staged.withColumn(name, _scaled(F.col(hashes))).drop(hashes)
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -69,53 +72,56 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _stretches(docs: DataFrame, rows: int) -> list[int]:
-    """Ids that open each stretch of the id order, all of them ids of the table."""
-    count, least = docs.agg(F.count("doc_id"), F.min("doc_id")).first()
+def _openings(keyed: DataFrame, rows: int) -> list[tuple[int, int]]:
+    """``(id, tie)`` of the rows that open a stretch: the least one and, from a bounded sample, about one in ``rows``.
+
+    All are rows of the table, and whole numbers throughout, so that ids of any size open a stretch.
+    """
+    count, least = keyed.agg(F.count("*"), F.min(F.struct("id", "tie"))).first()
     if not count:
         return []
-    parts = max(1, count // rows)
-    error = 0.25 / parts
-    found = docs.stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], error) if parts > 1 else []
-    return sorted({least, *(int(x) for x in found)})
+    parts = min(MOST_STRETCHES, max(1, count // rows))
+    share = SAMPLED * parts / count
+    drawn = sorted(map(tuple, (keyed if share >= 1 else keyed.sample(share, 7)).collect())) if parts > 1 else []
+    step = max(1, round(len(drawn) / parts))
+    return sorted({tuple(least), *drawn[step::step]})
 
 
-def _stretch_of(doc_id: Column, opens: list[int]) -> Column:
-    """Binary search of an id among the opening ids."""
-    table = F.array(*map(F.lit, opens)) if len(opens) < 200 else F.from_json(F.lit(str(opens)), "array<bigint>")
-    zero = F.struct(F.lit(0).alias("lo"), F.lit(len(opens)).alias("hi"))
+def _stretch_of(key: Column, table: Column, size: int) -> Column:
+    """Binary search of a key among the opening ones: the number of the last that is not above it."""
+    zero = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
         middle = F.shiftright(acc["lo"] + acc["hi"], 1)
-        right = F.get(table, middle) <= doc_id
+        right = F.get(table, middle) <= key
         return F.when(acc["hi"] - acc["lo"] <= 1, acc).otherwise(F.struct(F.when(right, middle).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(middle).alias("hi")))
 
-    steps = max(1, len(opens).bit_length() + 1)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, halve)["lo"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size.bit_length() + 1)), zero, halve)["lo"]
 
 
 def with_next(docs: DataFrame, columns: list[str], rows: int = STRETCH) -> DataFrame:
     """``docs`` with ``next_<column>``: the values of the row after it by doc_id, of the first row after the last.
 
-    The id order is cut into stretches at quantiles; each stretch is sorted by itself, and the
-    row that opens a stretch also closes the one before, so one shuffle on the stretch does.
-    Rows of equal id follow each other by text hash; rows without an id come first.
+    The id order is cut into stretches, each sorted by itself; the row that opens a stretch also
+    closes the one before, so one shuffle on the stretch does. Rows of equal id follow each other
+    by text hash and are dealt to several stretches by it; rows without an id come first. Rows
+    alike in both are repeats, which follow each other in any order.
     """
-    low = -(1 << 63)
-    keyed = docs.withColumn("__rl_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(low))).withColumn("__rl_tie", F.xxhash64("text"))
-    opens = _stretches(keyed.select(F.col("__rl_id").alias("doc_id")), rows)
+    part, guest, role, key = (fresh(name, [*docs.columns, *(f"next_{c}" for c in columns)]) for name in ("part", "guest", "role", "key"))
+    pair = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("tie"))
+    opens = _openings(docs.select(pair.alias("key")).select("key.*"), rows)
     if not opens:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    at = keyed.withColumn("__rl_stretch", _stretch_of(F.col("__rl_id"), opens))
-    opening = F.col("__rl_id") == F.get(F.from_json(F.lit(str(opens)), "array<bigint>"), F.col("__rl_stretch"))
-    before = F.pmod(F.col("__rl_stretch") - 1, F.lit(len(opens)))
-    own = F.struct(F.col("__rl_stretch").alias("__rl_part"), F.lit(False).alias("__rl_guest"))
-    guest = F.struct(before.alias("__rl_part"), F.lit(True).alias("__rl_guest"))
-    dealt = at.withColumn("__rl_role", F.explode(F.when(opening, F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select(*docs.columns, "__rl_id", "__rl_tie", "__rl_role.__rl_part", "__rl_role.__rl_guest")
-    order = Window.partitionBy("__rl_part").orderBy("__rl_guest", "__rl_id", "__rl_tie")
+    table = F.from_json(F.lit(json.dumps([{"id": i, "tie": t} for i, t in opens])), "array<struct<id:bigint,tie:bigint>>")
+    at = docs.withColumn(key, pair)
+    at = at.withColumn(part, _stretch_of(F.col(key), table, len(opens)))
+    own = F.struct(F.col(part).alias(part), F.lit(False).alias(guest))
+    before = F.struct(F.pmod(F.col(part) - 1, F.lit(len(opens))).alias(part), F.lit(True).alias(guest))
+    dealt = at.withColumn(role, F.explode(F.when(F.col(key) == F.get(table, F.col(part)), F.array(own, before)).otherwise(F.array(own))))
+    dealt = dealt.select(*docs.columns, key, f"{role}.{part}", f"{role}.{guest}")
+    order = Window.partitionBy(part).orderBy(guest, key)
     nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
-    return dealt.select(*docs.columns, "__rl_guest", *nexts).filter(~F.col("__rl_guest")).drop("__rl_guest")
+    return dealt.select(*docs.columns, guest, *nexts).filter(~F.col(guest)).drop(guest)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -126,7 +132,11 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Digest per document: doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next."""
+    """Digest per document: doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next.
+
+    A row for every row of ``docs``, repeats and null ids too, in the order that ``with_next`` names;
+    null and empty texts have no shingles. A single row is its own next. Other columns are not read.
+    """
     texts = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     # only texts are moved: sketches of all hashes are larger than they and made again after the shuffle
     ahead = with_sketch(with_sketch(with_next(texts, ["text"]), "text", "sketch"), "next_text", "next_sketch")
