@@ -95,64 +95,59 @@ def argument_errors(tool: Column, payload: Column, schemas: dict[str, dict[str,
 def _steps(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)`` of the first calls that depend on others; null level on a cycle.
 
-    Calls without known dependencies have level 0 and are not listed. Each round settles the
-    calls whose dependencies are settled, so rounds follow the longest chain of references.
+    Calls without known dependencies have level 0 and are not listed. Each round strikes out the
+    dependencies that the last one settled, and a call settles with its last one. A round writes
+    the new calls and the dependencies still open; rounds follow the longest chain of references.
     """
     named = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("payload", F.lit(_REFERENCE), F.lit(1)))).alias("needs"))
     ids = calls.select("conv_id", F.col("call_id").alias("needs"))
-    edges = settle(named.join(ids, ["conv_id", "needs"], "left_semi"))
-    if edges.isEmpty():
-        return edges.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0)
-    waiting = edges.select("conv_id", "call_id").distinct()
-    levels = edges.select("conv_id", F.col("needs").alias("call_id")).distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    levels, open_ = settle(levels), edges
-    done = levels
-    while not levels.isEmpty():
-        got = open_.join(done.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left")
-        ready = got.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("have"), F.max("level").alias("top")).filter("n = have")
-        levels = settle(ready.select("conv_id", "call_id", (F.col("top") + 1).alias("level")))
-        done = settle(done.unionByName(levels))
-        open_ = settle(open_.join(levels, ["conv_id", "call_id"], "left_anti"))
-    cyclic = open_.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-    return done.filter("level > 0").unionByName(cyclic)
+    waits = settle(named.join(ids, ["conv_id", "needs"], "left_semi"))
+    calls_of = lambda edges: edges.select("conv_id", "call_id").distinct()
+    new = waits.select("conv_id", F.col("needs").alias("call_id")).distinct().join(calls_of(waits), ["conv_id", "call_id"], "left_anti")
+    levels, level = waits.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0), 0
+    while not new.isEmpty():
+        left = settle(waits.join(new.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti"))
+        new, level, waits = settle(calls_of(waits).join(calls_of(left), ["conv_id", "call_id"], "left_anti")), level + 1, left
+        levels = levels.unionByName(new.withColumn("level", F.lit(level)))
+    return levels.unionByName(calls_of(waits).withColumn("level", F.lit(None).cast("int")))
 
 
 def link(conversations: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
     """conv_id, turn, ord, kind, call_id, tool, linked, valid, errors, step, canonical.
 
-    A row per turn (kind message or result, ord 0) and per call (ord from 1). A call is linked
-    to the first result of its identifier in the conversation, a result to the first call;
-    later calls and results of the same identifier are unlinked duplicates, as are those whose
-    conversation or identifier is null. step is twice a call's topological level, one more for
+    A row per turn (kind message or result, ord 0) and per call (ord from 1). The first call of an
+    identifier in a conversation is linked to the first of its results that is not on an earlier
+    turn, and that result to it; other calls and results of the same identifier are unlinked
+    duplicates, as are those whose conversation or identifier is null. Calls at one place are
+    ordered by tool and arguments; of like rows one is the first. step is twice a call's topological level, one more for
     its result; null for messages, unlinked results and calls on a cycle. Text that is no JSON
     object is a plain message; null text and role count as empty. Ties on the turn are one turn.
     """
-    found = settle(events(conversations))
+    found = settle(events(conversations).withColumn("n", F.monotonically_increasing_id()))
     marked = found.filter(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    place = F.struct("turn", "ord", "payload")
-    firsts = marked.groupBy("conv_id", "call_id").agg(
-        F.min(F.when(F.col("kind") == "call", place)).alias("first_call"),
-        F.min(F.when(F.col("kind") == "result", place)).alias("first_result"),
-    )
-    steps = _steps(firsts.filter("first_call is not null").select("conv_id", "call_id", F.col("first_call.payload").alias("payload")))
+    keys = ["conv_id", "call_id"]
+    is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
+    place = F.struct("turn", "ord", "tool", "payload", "n")  # n tells only repeats apart
+    first_calls = marked.filter(is_call).groupBy(*keys).agg(F.min(place).alias("first_call"))
+    answers = marked.filter(is_result).join(first_calls, keys).filter(F.col("turn") >= F.col("first_call.turn"))
+    firsts = first_calls.join(answers.groupBy(*keys).agg(F.min(place).alias("first_result")), keys, "left")
+    steps = _steps(first_calls.select("conv_id", "call_id", F.col("first_call.payload").alias("payload")))
     partners = firsts.join(steps.withColumn("dependent", F.lit(True)), ["conv_id", "call_id"], "left").withColumn("level", F.when(F.col("dependent"), F.col("level")).otherwise(0)).drop("dependent")
     known = marked.join(partners, ["conv_id", "call_id"], "left")
     others = found.filter(F.col("call_id").isNull() | F.col("conv_id").isNull() | F.col("turn").isNull())
-    is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     mine = F.when(is_call, F.col("first_call")).otherwise(F.col("first_result"))
-    first = (mine["turn"] == F.col("turn")) & (mine["ord"] == F.col("ord"))
+    first = F.coalesce(mine["n"] == F.col("n"), F.lit(False))
     known = known.withColumn("first", first).withColumn("linked", first & F.col("first_call").isNotNull() & F.col("first_result").isNotNull())
-    known = known.select("conv_id", "turn", "ord", "kind", "call_id", "tool", "payload", "canonical", "first", "linked", "level", "first_call", F.col("first_result.payload").alias("result"))
-    known = known.withColumn("has_call", F.col("first_call").isNotNull()).drop("first_call")
-    empty = {"first": F.lit(False), "linked": F.lit(False), "level": F.lit(None).cast("int"), "result": F.lit(None).cast("string"), "has_call": F.lit(False)}
-    rows = known.unionByName(others.withColumns(empty))
+    known = known.select("conv_id", "turn", "ord", "kind", "call_id", "tool", "payload", "canonical", "first", "linked", "level", F.col("first_result.payload").alias("result"), F.col("first_call.turn").alias("called"))
+    empty = {"first": F.lit(False), "linked": F.lit(False), "level": F.lit(None).cast("int"), "result": F.lit(None).cast("string"), "called": F.lit(None).cast(found.schema["turn"].dataType)}
+    rows = known.unionByName(others.drop("n").withColumns(empty))
     errors = F.when(
         is_call,
         F.concat(
             argument_errors(F.col("tool"), F.col("payload"), SCHEMAS if schemas is None else schemas),
             F.when(F.col("call_id").isNull(), F.array(F.lit("no id"))).when(~F.col("first"), F.array(F.lit("repeated id"))).when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")),
         ),
-    ).when(is_result & ~F.col("linked"), F.array(F.when(F.col("has_call"), "repeated result").otherwise("no call"))).otherwise(F.array().cast("array<string>"))
+    ).when(is_result & ~F.col("linked"), F.array(F.when(F.col("called").isNull(), "no call").when(F.col("turn") < F.col("called"), "before its call").otherwise("repeated result"))).otherwise(F.array().cast("array<string>"))
     call_json = F.to_json(
         F.to_variant_object(
             F.struct(
