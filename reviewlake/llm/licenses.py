@@ -138,11 +138,7 @@ class Scanner:
         yield start, last + 1
 
     def finds(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """``(license, coverage, matched words, first word, end word)`` of each template found, best first.
-
-        Of several stretches that reach a template, the one of largest coverage counts, the
-        earliest among equals.
-        """
+        """``(license, coverage, matched words, first word, end word)`` of each copy of each template, best first."""
         words = words_of(text)
         known = self.vocabulary.intersection(words)
         out = []
@@ -150,43 +146,72 @@ class Scanner:
             least = self.coverage * len(template)
             if sum(n for w, n in counts.items() if w in known) < least:
                 continue  # it cannot be covered
-            best = None
             for start, end in self.regions([i for i, w in enumerate(words) if w in counts], len(template)):
-                if end - start < least:
-                    continue
-                for lo, hi in self._copies(words, start, end, counts, len(template), least):
-                    pairs = align(words[lo:hi], template)
-                    if pairs and len(pairs) >= least and (best is None or len(pairs) > best[1]):
-                        best = (len(pairs) / len(template), len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
-            if best:
-                out.append((name, *best))
-        return sorted(out, key=lambda f: (-f[2], -f[1], f[0]))
-
-    def _copies(self, words: list[str], start: int, end: int, counts: Counter, size: int, least: float) -> Iterator[tuple[int, int]]:
-        """Overlapping windows of two template lengths, the last one up to the end, then the stretch itself.
-
-        Every copy of up to one and a half template lengths lies whole in a window. A window whose
-        words, in any order, do not reach ``least`` words of the template cannot be covered and is left out.
+                if end - start >= least:
+                    out += [(name, n / len(template), n, first, stop) for n, first, stop in self._copies(words, start, end, template, counts, least)]
+        return sorted(out, key=lambda f: (-f[2], -f[1], f[0], f[3]))
+
+    def _copies(self, words: list[str], start: int, end: int, template: list[str], counts: Counter, least: float) -> Iterator[tuple[int, int, int]]:
+        """``(matched words, first, end)`` of the copies in a stretch, one after the other.
+
+        A window of two template lengths moves on by half a length, or to the end of the copy that it
+        found, so every copy of up to one and a half lengths lies whole in a window. A window whose
+        words, in any order, do not reach ``least`` words of the template cannot be covered and is
+        passed over. Where no window is covered the stretch is aligned whole.
         """
-        width, step = 2 * size, max(1, size // 2)
-        if end - start > width:
-            here: Counter = Counter()
-            common, a, b = 0, start, start
-            for lo in [*range(start, end - width, step), end - width]:
-                for w in words[b : lo + width]:
-                    if w in counts:
-                        common += here[w] < counts[w]
-                        here[w] += 1
-                for w in words[a:lo]:
-                    if w in counts:
-                        here[w] -= 1
-                        common -= here[w] < counts[w]
-                a, b = lo, lo + width
-                if common >= least:
-                    yield lo, lo + width
-        here = Counter(w for w in words[start:end] if w in counts)
-        if sum(min(n, here[w]) for w, n in counts.items()) >= least:
-            yield start, end
+        width, step = 2 * len(template), max(1, len(template) // 2)
+        here: Counter = Counter()
+        common, a, b, lo, none = 0, start, start, start, True
+        while lo < end:
+            hi = min(end, lo + width)
+            for w in words[b:hi]:
+                if w in counts:
+                    common += here[w] < counts[w]
+                    here[w] += 1
+            for w in words[a:lo]:
+                if w in counts:
+                    here[w] -= 1
+                    common -= here[w] < counts[w]
+            a, b = lo, max(b, hi)
+            found = self._copy(words, lo, hi, end, template, least) if common >= least else None
+            if found:
+                none = False
+                yield found
+                lo = found[2]
+            elif hi == end:
+                break
+            else:
+                lo = min(lo + step, end - width)
+        if none and end - start > width and (pairs := align(words[start:end], template)) and len(pairs) >= least:
+            yield len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1
+
+    def _copy(self, words: list[str], lo: int, hi: int, end: int, template: list[str], least: float) -> tuple[int, int, int] | None:
+        """The first copy in a window, from its first to its last aligned word, or none."""
+
+        def matched(a: int, b: int) -> list[tuple[int, int]]:
+            return [(a + i, j) for i, j in align(words[a:b], template)]
+
+        pairs = matched(lo, hi)
+        if not pairs or len(pairs) < least:
+            return None
+        # what the window cut off, then the shortest stretch that matches as much: its end first, then its start
+        whole = matched(pairs[0][0], min(end, pairs[0][0] + 2 * len(template)))
+        pairs = max(pairs, whole, key=len)
+        low, high = pairs[0][0] + len(pairs), pairs[-1][0] + 1
+        while low < high:
+            middle = (low + high) // 2
+            if len(found := matched(pairs[0][0], middle)) >= len(pairs):
+                pairs, high = found, min(middle, found[-1][0] + 1)
+            else:
+                low = middle + 1
+        low, high = pairs[0][0], pairs[-1][0] + 1 - len(pairs)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(found := matched(middle, pairs[-1][0] + 1)) >= len(pairs):
+                pairs, low = found, max(middle, found[0][0])
+            else:
+                high = middle - 1
+        return len(pairs), pairs[0][0], pairs[-1][0] + 1
 
 
 _FIND = T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_matched", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
@@ -195,8 +220,9 @@ _FIND = T.StructType([T.StructField("license", T.StringType()), T.StructField("c
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, n_matched, first_word, end_word, n_licenses, licenses of every whole text.
 
-    The plain columns are those of the best find (most matched words, then coverage, then
-    name), null without any; ``licenses`` lists all finds. Null and empty texts have none.
+    The plain columns are those of the best find (most matched words, then coverage, name and
+    place), null without any; ``licenses`` lists all finds, each copy of a notice for itself, and
+    ``n_licenses`` counts the different ones. Null and empty texts have none.
     Texts are scanned one by one: repeats agree, null ids pass through, other columns are not read.
     """
     schema = T.StructType([docs.schema["doc_id"], *_FIND.fields, T.StructField("n_licenses", T.LongType()), T.StructField("licenses", T.ArrayType(_FIND))])
@@ -208,7 +234,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
         for batch in batches:
             found = [scanner.finds(t) for t in texts_of(batch.column(1))]
             best = [f[0] if f else (None,) * 5 for f in found]
-            columns = [batch.column(0), *(pa.array([b[k] for b in best], target.field(k + 1).type) for k in range(5)), pa.array([len(f) for f in found], pa.int64()), pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], target.field(7).type)]
+            columns = [batch.column(0), *(pa.array([b[k] for b in best], target.field(k + 1).type) for k in range(5)), pa.array([len({x[0] for x in f}) for f in found], pa.int64()), pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], target.field(7).type)]
             yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)

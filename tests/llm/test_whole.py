@@ -89,3 +89,47 @@ def test_doubled_letters_are_decoded():
             assert word in [w for t in toxicity.tokens(said) for w in toxicity.restore(t, scorer.model)], said
             assert scorer.score("the " + said + " on") >= 0.3
     assert max(scorer.score(" ".join(r.choices(clean, k=20))) for _ in range(100)) < 0.3
+
+
+def test_every_copy_of_a_notice_is_found():
+    s = licenses.Scanner()
+    r = random.Random(6)
+    isc, mit = licenses.TEMPLATES["ISC"], licenses.TEMPLATES["MIT"]
+    n = len(licenses.words_of(isc))
+    for copies in (1, 2, 3, 7):
+        for gap in (0, 3, 40, 500):
+            pad = " ".join(r.choice(["the", "of", "river", "stone"]) for _ in range(gap))
+            found = [f for f in s.finds(f" {pad} ".join([isc] * copies)) if f[0] == "ISC"]
+            assert sorted((f[3], f[4]) for f in found) == [(k * (n + gap), k * (n + gap) + n) for k in range(copies)]
+            assert all(f[1] == 1.0 for f in found)
+    both = [f[0] for f in s.finds(f"{mit} {isc} {mit}")]
+    assert both.count("MIT") == 2 and both.count("ISC") == 1
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_coverage_by_brute_force():
+    """Patience alignment of worn copies against the longest common subsequence, which it cannot pass."""
+    s = licenses.Scanner()
+    r = random.Random(12)
+    for k in range(60):
+        name, template = r.choice([t for t in s.templates if len(t[1]) > 40])
+        worn = [w for w in template if r.random() > 0.06]
+        for _ in range(r.randint(0, 12)):
+            worn.insert(r.randrange(len(worn)), r.choice(["foo", "bar", r.choice(template)]))
+        best = longest_common(worn, template)
+        got = len(licenses.align(worn, template))
+        assert 0.97 * best <= got <= best
+        found = {f[0]: f for f in s.finds(" ".join(worn))}
+        if got >= s.coverage * len(template):
+            assert found[name][2] >= 0.97 * best
+        elif best < s.coverage * len(template):
+            assert name not in found
