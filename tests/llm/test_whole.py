@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
+from collections import Counter
 
 from reviewlake.llm import languagemodel, licenses, sketches, toxicity
 
@@ -133,3 +136,35 @@ def test_coverage_by_brute_force():
             assert found[name][2] >= 0.97 * best
         elif best < s.coverage * len(template):
             assert name not in found
+
+
+def test_model_scores_by_brute_force(spark, sf):
+    """Scores from exact counts on the quantised scale, and the prior of best left-out likelihood among those offered."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(400).cache()
+    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), b"\n"]) for r in docs.collect()]
+    training = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    words, pairs = Counter(w for t in training for w in t), Counter(p for t in training for p in zip(t, t[1:], strict=False))
+    n, v = sum(words.values()), len(words)
+
+    def middle(count):
+        low = 2 ** (count.bit_length() - 1)
+        return (low + max(low, 2 * low - 1)) / 2 if count else 0.0
+
+    def log_p(t, prior, less):
+        """Log probability of each token after the first, with its own occurrence left out or not."""
+        out = []
+        for a, b in zip(t, t[1:], strict=False):
+            seen, before = middle(pairs[a, b]), max(middle(words[a]), middle(pairs[a, b]))
+            seen, before = max(0.0, seen - less), max(0.0, before - less)
+            out.append(math.log10((seen + prior * (middle(words[b]) + 1) / (n + v + 1)) / (max(before, seen) + prior)))
+        return out
+
+    likely = {prior: sum(sum(log_p(t, prior, 1.0)) for t in training) for prior in languagemodel.PRIORS}
+    got = {r.doc_id: r.score for r in languagemodel.score(docs).collect()}
+    fits = []
+    for prior in languagemodel.PRIORS:
+        want = {i: math.log10((middle(words[t[0]]) + 1) / (n + v + 1)) + sum(log_p(t, prior, 0.0)) for i, t in rows}
+        if all(abs(got[i] - w) < 0.02 * abs(w) + 0.5 for i, w in want.items()):
+            fits.append(prior)
+    # false hits of the filter may tip the balance between priors that are as good as each other
+    assert len(fits) == 1 and likely[fits[0]] > 1.005 * max(likely.values())
