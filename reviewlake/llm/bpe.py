@@ -24,8 +24,8 @@ from tokenizers.models import BPE
 
 from .common import arrow_schema, spread, texts_of
 
-#: Words, and fragments, whose encoding a worker remembers; it forgets all when full.
-CACHE_WORDS = 150_000
+#: Words, and fragments, whose encoding a worker remembers, and bytes of them; it forgets all when either is full.
+CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20
 
 
 def default_path() -> str:
@@ -72,6 +72,7 @@ class Encoder:
         self.allowed = [frozenset(np.flatnonzero(r).tolist()) for r in self.joined]
         self._words: dict[str, tuple[bytes, bytes]] = {}
         self._fragments: dict[tuple[bytes, bool], tuple[bytes, bytes]] = {}
+        self._size = 0
 
     def normalise(self, text: str) -> str:
         if text.isascii():
@@ -106,13 +107,15 @@ class Encoder:
                 key = (fragment, k == len(cut) - 1)
                 found = self._fragments.get(key)
                 if found is None:
-                    if len(self._fragments) >= CACHE_WORDS:
-                        self._fragments.clear()
                     found = self._fragments[key] = self.packed(*key)
+                    self._size += len(fragment) + len(found[0]) + len(found[1])
                 parts.append(found)
             out = (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
-        if len(self._words) >= CACHE_WORDS:
+        self._size += len(word) + len(out[0]) + len(out[1])
+        if len(self._words) + len(self._fragments) >= 2 * CACHE_WORDS or self._size > CACHE_BYTES:
             self._words.clear()
+            self._fragments.clear()
+            self._size = 0
         self._words[word] = out
         return out
 
