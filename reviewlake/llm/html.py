@@ -2,12 +2,15 @@
 
 A page is read as a flat run of text blocks. Each has its own and its neighbours' word count
 and link density, and what its open elements say about it; a decision tree, grown here from
-a small labelled table, tells article blocks from the rest.
+a small labelled table of pages, tells article blocks from the rest. Where elements say
+nothing, word counts and link densities of the block and its neighbours decide. Reading a
+page takes time in proportion to it: markup that never ends is looked for once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,15 +37,24 @@ BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline captcha comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback follow footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination paging paywall popup promo promoted promotion recommended related replies reply reviews search share sharing sidebar signup sitemap skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget".split()
 )
 _IMPLIED_END = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements that an implied end does not reach beyond.
+_NOTHING: frozenset[str] = frozenset()
+_HOLDS = frozenset("ul ol dl table div article section main body select".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+#: A tag whose quotes never close: it ends at the next >.
+_LOOSE = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>|(?P<text>[^<]+|<)", re.S)
+_OPENS = re.compile(r"</?[a-zA-Z]")
+_ATTR = re.compile(r"""(?<![^\s=/>"'])([^\s=/>"']++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
+#: A character reference to a number beyond all code points.
+_TOO_LARGE = re.compile(r"&#0*+(?:[1-9][0-9]{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
+#: Elements open at once; those inside more are read as part of what they are in.
+DEEPEST = 512
 _SPACE = re.compile(r"[\s ]+")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*(?:/[^>]*)?>", re.I) for tag in RAW_TAGS}
 
@@ -80,34 +92,50 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     #: name, dropped, boilerplate, in an article
     stack: list[tuple[str, bool, bool, bool]] = []
+    opened: defaultdict[str, int] = defaultdict(int)
+    beyond: defaultdict[str, int] = defaultdict(int)
     parts: list[str] = []
-    state = {"linked": 0, "links": 0, "heading": False}
+    linked, heading = 0, ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def flush() -> None:
+        nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
             top = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(text, len(text.split(" ")), state["linked"], top[2], top[3], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])))
-        state["linked"] = 0
-
-    def pop(index: int) -> None:
-        for name, *_ in stack[index:]:
-            if name == "a":
-                state["links"] -= 1
-        del stack[index:]
-
-    at = 0
-    while (m := _TOKEN.match(html, at)) is not None:
-        at = m.end()
-        if m["text"] is not None:
+            out.append(Block(text, len(text.split(" ")), linked, top[2], top[3], any(s[0] in heading for s in stack[-3:])))
+        linked = 0
+
+    def close(tag: str, barrier: frozenset[str]) -> None:
+        """Close the innermost open element of a name, unless one of the barrier is inside it."""
+        if opened[tag]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    for name, *_ in stack[k:]:
+                        opened[name] -= 1
+                    del stack[k:]
+                    return
+                if stack[k][0] in barrier:
+                    return
+
+    at, last, loose = 0, html.rfind(">"), False
+    while at < len(html):
+        if at > last and _OPENS.match(html, at):  # no tag ends any more: the rest is text
+            m, at, text, tag = None, len(html), html[at:], None
+        else:
+            m = (_LOOSE if loose and _OPENS.match(html, at) else _TOKEN).match(html, at)
+            if m["text"] == "<" and not loose and _OPENS.match(html, at):
+                loose = True  # quotes that do not close here close nowhere after it
+                continue
+            at, text, tag = m.end(), m["text"], m["tag"]
+        if text is not None:
             if not (stack and stack[-1][1]):
-                text = unescape(m["text"])
+                if "&" in text:
+                    text = unescape(_TOO_LARGE.sub("\ufffd", text))
                 parts.append(text)
-                if state["links"] > 0:
-                    state["linked"] += len(text.split())
+                if opened["a"]:
+                    linked += len(text.split())
             continue
-        tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
         tag = tag.lower()
@@ -116,15 +144,13 @@ def blocks(html: str) -> list[Block]:
             flush()
         elif tag in ("br", "img", "wbr"):
             parts.append(" " if tag != "wbr" else "")
-        if m["close"] or m["close2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if not block and stack[k][0] in BLOCK_TAGS:  # an inline end tag closes nothing beyond its block
-                    break
+        if m["close"]:
+            if beyond[tag]:
+                beyond[tag] -= 1
+            else:
+                close(tag, _NOTHING if block else BLOCK_TAGS)  # an inline end tag closes nothing beyond its block
             continue
-        attrs = m["attrs"] if m["tag"] else m["attrs2"]
+        attrs = m["attrs"]
         if tag in RAW_TAGS:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
@@ -132,34 +158,30 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID_TAGS or attrs.rstrip().endswith("/") and not block and tag != "a":
             continue
         if tag == "a":  # links do not nest
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "a":
-                    pop(k)
-                    break
+            close("a", _NOTHING)
         for ends in _IMPLIED_END.get(tag, ()):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == ends:
-                    pop(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "select"):
-                    break
+            close(ends, _HOLDS)
+        if len(stack) >= DEEPEST:
+            beyond[tag] += 1
+            continue
         _, dropped, boiler, article = stack[-1] if stack else ("", False, False, False)
         marked, hidden = _marks(attrs) if attrs else (False, False)
         inside = article or tag in ("article", "main")
         body = tag in ("html", "body", "article", "main")  # a page's or article's own marks say nothing about its text
         boiler = boiler or tag in BOILER_TAGS or (tag == "header" and not article) or (marked and not body and not (article and tag == "header"))
         stack.append((tag, dropped or hidden or tag in DROPPED_TAGS, boiler, inside))
-        state["links"] += tag == "a"
+        opened[tag] += 1
     flush()
     return out
 
 
-FEATURES = ("boiler", "article", "heading", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "page_has_article")
+FEATURES = ("boiler", "article", "heading", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "page_has_article", "longest")
 
 
 def features(page: list[Block]) -> np.ndarray:
     density = [b.linked / b.words for b in page]
     marked = any(b.article for b in page)
+    longest = max((b.words for b in page), default=0)
     rows = []
     for k, b in enumerate(page):
         before, after = k - 1, k + 1
@@ -167,46 +189,98 @@ def features(page: list[Block]) -> np.ndarray:
             [b.boiler, b.article, b.heading, b.words, min(1.0, density[k])]
             + ([page[before].words, min(1.0, density[before])] if before >= 0 else [0, 0])
             + ([page[after].words, min(1.0, density[after])] if after < len(page) else [0, 0])
-            + [marked]
+            + [marked, longest]
         )
     return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
-#: Labelled blocks, made for this purpose: FEATURES in order, then 1 for article text.
-LABELLED = (
-    # menus, footers, adverts, forms, comments: marked by their elements
-    (1, 0, 0, 1, 1.0, 0, 0.0, 1, 1.0, 1, 0), (1, 0, 0, 2, 1.0, 1, 1.0, 9, 0.0, 1, 0), (1, 0, 0, 9, 0.0, 2, 1.0, 10, 0.0, 1, 0),
-    (1, 0, 0, 14, 0.0, 60, 0.0, 0, 0.0, 1, 0), (1, 1, 0, 25, 0.0, 80, 0.0, 30, 0.0, 1, 0), (1, 1, 0, 40, 0.1, 30, 0.0, 22, 0.0, 1, 0),
-    (1, 1, 1, 2, 0.0, 50, 0.0, 18, 0.0, 1, 0), (1, 0, 1, 3, 0.0, 70, 0.0, 12, 1.0, 1, 0), (1, 0, 0, 35, 0.0, 3, 0.0, 28, 0.0, 0, 0),
-    (1, 0, 0, 20, 0.2, 35, 0.0, 0, 0.0, 0, 0), (1, 0, 0, 3, 0.0, 20, 0.0, 4, 0.0, 0, 0), (1, 0, 0, 55, 0.0, 8, 0.0, 61, 0.0, 0, 0),
-    # article text inside article elements, short blocks too
-    (0, 1, 1, 8, 0.0, 9, 0.0, 30, 0.0, 1, 1), (0, 1, 1, 3, 0.0, 40, 0.0, 50, 0.0, 1, 1), (0, 1, 0, 1, 0.0, 60, 0.0, 45, 0.0, 1, 1),
-    (0, 1, 0, 70, 0.0, 8, 0.0, 90, 0.0, 1, 1), (0, 1, 0, 120, 0.05, 70, 0.0, 12, 0.0, 1, 1), (0, 1, 0, 4, 0.0, 1, 0.0, 14, 0.0, 1, 1),
-    (0, 1, 0, 12, 0.3, 55, 0.0, 60, 0.0, 1, 1), (0, 1, 0, 2, 0.0, 6, 0.0, 15, 0.0, 1, 1), (0, 1, 0, 6, 1.0, 30, 0.0, 40, 0.0, 1, 1),
-    (0, 1, 0, 25, 0.6, 33, 0.1, 18, 0.0, 1, 1), (0, 1, 1, 5, 0.0, 0, 0.0, 7, 0.0, 1, 1), (0, 1, 0, 9, 0.0, 0, 0.0, 0, 0.0, 1, 1),
-    # blocks outside the article of a page that has one
-    (0, 0, 0, 12, 0.0, 4, 1.0, 9, 0.0, 1, 0), (0, 0, 0, 1, 1.0, 2, 1.0, 2, 1.0, 1, 0), (0, 0, 1, 4, 0.0, 0, 0.0, 11, 0.0, 1, 0),
-    (0, 0, 0, 30, 0.0, 20, 0.0, 3, 0.0, 1, 0), (0, 0, 0, 22, 0.1, 95, 0.0, 0, 0.0, 1, 0), (0, 0, 0, 45, 0.0, 80, 0.0, 10, 0.5, 1, 0),
-    (0, 0, 0, 9, 0.0, 2, 1.0, 24, 0.0, 1, 0), (0, 0, 0, 16, 0.0, 6, 1.0, 40, 0.0, 1, 0), (0, 0, 0, 33, 0.0, 12, 0.0, 60, 0.0, 1, 0),
-    (0, 0, 1, 3, 0.0, 0, 0.0, 30, 0.0, 1, 0), (0, 0, 0, 70, 0.0, 4, 0.0, 55, 0.0, 1, 0), (0, 0, 0, 5, 0.0, 70, 0.0, 26, 0.0, 1, 0),
-    (0, 0, 0, 28, 0.0, 90, 0.0, 35, 0.0, 1, 0), (0, 0, 0, 2, 0.0, 41, 0.0, 19, 0.0, 1, 0), (0, 0, 0, 11, 0.0, 15, 0.0, 15, 0.0, 1, 0),
-    # pages without article elements: length and links decide
-    (0, 0, 0, 5, 0.0, 0, 0.0, 0, 0.0, 0, 1), (0, 0, 0, 2, 0.0, 0, 0.0, 18, 0.0, 0, 1), (0, 0, 0, 9, 0.0, 20, 0.0, 0, 0.0, 0, 1),
-    (0, 0, 0, 7, 0.0, 12, 0.0, 8, 0.0, 0, 1), (0, 0, 0, 4, 0.0, 8, 0.0, 9, 0.0, 0, 1), (0, 0, 0, 11, 0.0, 5, 0.0, 5, 0.0, 0, 1),
-    (0, 0, 0, 60, 0.0, 8, 0.0, 70, 0.0, 0, 1), (0, 0, 0, 90, 0.05, 60, 0.0, 40, 0.0, 0, 1), (0, 0, 0, 18, 0.0, 60, 0.0, 55, 0.0, 0, 1),
-    (0, 0, 0, 35, 0.1, 20, 0.0, 4, 0.0, 0, 1), (0, 0, 0, 6, 0.0, 50, 0.0, 48, 0.0, 0, 1), (0, 0, 1, 7, 0.0, 3, 1.0, 45, 0.0, 0, 1),
-    (0, 0, 1, 4, 0.0, 60, 0.0, 38, 0.0, 0, 1), (0, 0, 0, 26, 0.15, 7, 0.0, 33, 0.0, 0, 1), (0, 0, 0, 16, 0.0, 22, 0.0, 3, 1.0, 0, 1),
-    (0, 0, 0, 3, 0.0, 30, 0.0, 27, 0.0, 0, 1), (0, 0, 1, 9, 0.0, 0, 0.0, 20, 0.0, 0, 1), (0, 0, 0, 14, 0.0, 9, 0.0, 0, 0.0, 0, 1),
-    (0, 0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (0, 0, 0, 3, 1.0, 2, 1.0, 40, 0.0, 0, 0), (0, 0, 0, 10, 0.8, 50, 0.0, 6, 0.9, 0, 0),
-    (0, 0, 0, 20, 0.7, 12, 0.8, 15, 0.9, 0, 0), (0, 0, 0, 2, 0.0, 3, 1.0, 2, 1.0, 0, 0), (0, 0, 0, 4, 0.0, 1, 1.0, 3, 0.0, 0, 0),
-    (0, 0, 0, 5, 0.5, 60, 0.0, 2, 1.0, 0, 0), (0, 0, 1, 2, 0.0, 12, 0.9, 3, 1.0, 0, 0), (0, 0, 0, 8, 0.6, 0, 0.0, 2, 1.0, 0, 0),
-)
+#: Labelled pages, made for this purpose. A block is its word count, after a slash how many are
+#: linked (none if left out), then marks: b boilerplate by its elements, a inside an article
+#: element, h heading, + article text. A line is a page; neighbours follow from it.
+LABELLED = """
+1/1b,1/1b,2/2b,1/1b,8b,9ah+,70a+,4a+,120a+,35a+,12/1a+,14b
+2/2b,3/3b,9,9ah+,30a+,1a+,2a+,6/6a+,25/15a+,3ah+,45a+,10ab,25ab,40/4ab,20
+12,4/4b,1/1b,5ah+,7a+,90a+,2abh,18ab,30ab,3bh,22b,3/3b,11b
+30,1/1,2/2,4h,16,8a+,14a+,9a+,45,28,35
+6/6,4,33,9a+
+5/5b,1/1b,16,60,12ah+,80a+,22/3a+,3a+,5h,60,28,9b
+22/2,9,2/2,24,11ah+,40a+,8a+,55a+,70,3h,33,4/4,5/5,26/2
+3/3b,20b,6ah+,6/6a+,5/5a+,50a+,28ab,3h,61,8b
+35b,28b,7h+,60+,85+,40+,61b,3b,20b
+2,1/1,3ah+,5a+,4
+8,4ah+,6a+,10a+,7
+3,2a+,3a+,2
+5,1,14a+,12,13
+14,10a+,12a+,13,6,9
+9,7ah+,30a+,20a+,12,15
+11,8ah+,20a+,9,10,6,7
+20,10a+,40a+,22,21,18,12
+12,24,38a+,16,15,23,9
+24,13,9h,6ah+,60a+,14,9,5h,23,12
+3/3,7h,20,9ah+,60a+,6h,14,7h,12,8
+6h,9,12ah+,16a+,7h,8
+1/1,1/1,2/2,1/1,9h+,60+,85+,40+,3h+,70+,55+,4/4,5/5,6/6,8
+2/2,3/3,2/2,1/1,1/1,7h+,45+,120/4+,33+,90+,2h,5/5,6/6,7/7,9,2/2,3/3
+22,1/1,2/2,2/2,1/1,8h+,75+,64+,18+,50+,3/3,2/2,4/4
+18,1,3/3,2/2,3/3,11h+,140+,35+,60+,12/1
+1/1,2/2,3/3,6h+,52+,38+,71+,2h,2,24,2,17,3,31,2,12,2/2,1/1,9
+2/2,2/2,1/1,10h+,88+,66+,45+,3h,2,3,20,2,3,35,2,3,11,4/4,3/3
+1,1,2,1,2,8h+,40+,66+,58+,31+,1,2,1,3
+2,1,1,3,2,1,7h+,99+,120+,43+,80+,2,2,10
+3/3,4/4,2/2,5h+,44+,4h+,51+,60+,5h+,39+,72+,12/10,15/12,10/10
+1/1,1/1,8h+,65+,25/14+,80+,30/8+,44+,11/11,9/9,13/13,12/12,7
+20/5,2/2,9h+,35+,28+,33+,47+,26+,3/3,8/8,20/16,18/15,14
+4/4,2/2,6h+,9+,50+,8+,60+,7+,55+,2/2,2/2,3/3,10
+2/2,1/1,12h+,30+,16+,28+,14+,40+,22+,35+,5/5,4/4,5/5,16
+7h+,60+,44+,90+,38+,15+
+9h+,25+,70+,6+,33+
+5+
+9+,20+,12+,40+
+11+,5+,5+
+35+,20+,50+
+90+
+1+
+4+
+2+,1+
+1+,1+
+3+,4+
+1+,2+,1+
+6+,2+,5+
+1/1,1/1,1/1,1/1,2/2,3/3,4/4,2/2
+2/2,5/5,12/10,40+,55+,9/8,3/3,2/2
+14,2/2,2/2,3/3,41+,62+,58+,2,15,2,22,2,9,3/3,8
+3,2/2,1,16/16,20/18,17/17,8/8,5
+"""
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the labelled pages.
+
+    Pages without marks come again with them, since marks say more than any shape: an article
+    element around the article text, one around the whole page, and boilerplate marks on all of
+    it, inside an article element or not.
+    """
+    x, y = [], []
+
+    def add(page: list[tuple[int, int, bool, bool, bool, bool]]) -> None:
+        x.append(features([Block("", *block[:5]) for block in page]))
+        y.extend(float(block[5]) for block in page)
+
+    for line in LABELLED.split():
+        page = [(int(n), int(linked or 0), "b" in marks, "a" in marks, "h" in marks, bool(kept)) for n, linked, marks, kept in re.findall(r"(\d+)(?:/(\d+))?([bah]*)(\+?)", line.replace(",", " "))]
+        add(page)
+        if not any(boiler or article for _, _, boiler, article, _, _ in page):
+            add([(n, linked, False, kept, heading, kept) for n, linked, _, _, heading, kept in page if any(block[5] for block in page)])
+            add([(n, linked, False, True, heading, True) for n, linked, _, _, heading, _ in page])
+            add([(n, linked, True, True, heading, False) for n, linked, _, _, heading, _ in page])
+            add([(n, linked, True, False, heading, False) for n, linked, _, _, heading, _ in page])
+    return np.concatenate(x), np.array(y)
 
 
 class Tree:
     """Binary classification tree by Gini impurity; equal splits go to the earlier feature and lower threshold."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12):
         self.share = float(y.mean())
         self.feature = None
         if depth == 0 or self.share in (0.0, 1.0):
@@ -237,8 +311,7 @@ class Tree:
 
 @lru_cache(maxsize=1)
 def classifier() -> Tree:
-    table = np.array(LABELLED, dtype=float)
-    return Tree(table[:, :-1], table[:, -1])
+    return Tree(*labelled())
 
 
 def main_text(html: str) -> str:

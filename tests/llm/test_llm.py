@@ -320,8 +320,13 @@ def test_odd_html(spark):
 
 
 def test_tree_learns_its_table():
-    table = np.array(html.LABELLED, dtype=float)
-    assert (html.classifier().predict(table[:, :-1]) == (table[:, -1] > 0)).mean() > 0.97
+    x, y = html.labelled()
+    assert (html.classifier().predict(x) == (y > 0)).mean() > 0.97
+
+    def used(tree):
+        return set() if tree.feature is None else {html.FEATURES[tree.feature]} | used(tree.low) | used(tree.high)
+
+    assert {"words_before", "words_after", "link_density_before", "link_density_after"} & used(html.classifier())
 
 
 # BPE
