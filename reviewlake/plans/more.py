@@ -18,16 +18,26 @@ from .issues import with_issues
 from .registry import query
 
 FILES = f"WITH {tables.files_sql()} "
-_SUFFIX = r"lower(regexp_extract(path, '(\.[^./]*)$', 1))"
-_SOURCE = f"{_SUFFIX} IN ({', '.join(repr(e) for e in file_sources.SOURCE_EXTENSIONS)})"
 
 
 # sources and sinks
 
 
-@query("s02_source_filter", FILES + f"SELECT path FROM files WHERE {_SOURCE}")
+#: Folders and endings that the file readers tell apart, dealt to the files by their ids.
+_FOLDERS = ("src", "env", ".svn", "target", "node_modules", "lib")
+_ENDINGS = (".py", ".rb", ".cs", ".hxx", ".ts", ".go", ".RS", ".md", "_login.txt", ".php", ".h", "")
+_PATHS = f"paths AS (SELECT file_id, content, 'dir' || (file_id % 41) || '/' || {list(_FOLDERS)}[file_id % 6 + 1] || '/f' || file_id || {list(_ENDINGS)}[file_id % 12 + 1] AS path FROM files)"
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("file_id") % len(names) + 1).cast("int"))
+    path = F.concat(F.lit("dir"), (F.col("file_id") % 41).cast("string"), F.lit("/"), pick(_FOLDERS), F.lit("/f"), F.col("file_id").cast("string"), pick(_ENDINGS))
+    return tables.files(spark, sf).select("file_id", "content", path.alias("path"))
+
+
+@query("s02_source_filter", FILES + f", {_PATHS} SELECT path FROM paths WHERE regexp_matches(path, '[.](py|c|h|cpp|hpp|cc|cxx|js|ts|java|go|rs|rb|php)$') AND NOT regexp_matches(path, '/([.]git|[.]svn|node_modules|__pycache__|venv|env|[.]venv|dist|build|[.]idea|[.]vscode)/')")
 def s02(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.files(spark, sf).filter(file_sources.is_source(F.col("path"))).select("path")
+    return _paths(spark, sf).filter(file_sources.is_source(F.col("path"))).select("path")
 
 
 @query("s03_s07_safe_texts", FILES + "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 0 ELSE length(content) END AS n FROM files")
@@ -36,18 +46,31 @@ def s03(spark: SparkSession, sf: str) -> DataFrame:
     return file_sources.safe_texts(rows.select("file_id", "path"), rows.filter("file_id % 3 != 0").select("path", "content")).select("file_id", F.length("content").alias("n"))
 
 
-_FOLDER = r"regexp_extract(path, '^(.*)/[^/]*$', 1)"
-_NAME = r"regexp_extract(path, '([^/]*)$', 1)"
+_LOOKED_AT = r"r AS (SELECT * FROM (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '[^./][^/]*?([.][^./]*)$', 1)) AS ext, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY path) AS rn FROM paths) WHERE rn <= 15)"
+_HEADER_LANGUAGE = "CASE WHEN l LIKE '%namespace%' OR l LIKE '%std::%' OR l LIKE '%template%' THEN 'cpp' WHEN l LIKE '%#include%' OR l LIKE '%printf%' THEN 'c' ELSE 'c_cpp_header' END"
+_MARK_SCORES = "(content LIKE '%def %')::INT + (content LIKE '%import %')::INT + (content LIKE '%class %')::INT + (content LIKE '%\\_\\_init\\_\\_%' ESCAPE '\\')::INT + (content LIKE '%self.%')::INT AS py, (l LIKE '%#include%')::INT + (l LIKE '%namespace%')::INT + (l LIKE '%std::%')::INT + (l LIKE '%cout%')::INT + (l LIKE '%cin%')::INT AS cpp, (l LIKE '%#include%')::INT + (l LIKE '%printf%')::INT + (l LIKE '%scanf%')::INT + (l LIKE '%malloc%')::INT + (l LIKE '%free%')::INT AS c"
+_READ_LANGUAGE = f"CASE WHEN ext = '.py' THEN 'python' WHEN ext IN ('.h', '.hxx') THEN {_HEADER_LANGUAGE} WHEN greatest(py, cpp, c) = 0 THEN 'unknown' WHEN py >= greatest(cpp, c) THEN 'python' WHEN cpp >= c THEN 'cpp' ELSE 'c' END"
 
 
-@query("s04_quality_files", FILES + f", r AS (SELECT *, {_FOLDER} AS folder, row_number() OVER (PARTITION BY {_FOLDER} ORDER BY path) AS rn FROM files), k AS (SELECT folder, path, length('# File: ' || {_NAME} || chr(10) || content) AS n FROM r WHERE rn <= 15), s AS (SELECT folder, sum(n) AS n FROM k GROUP BY folder), b AS (SELECT folder, coalesce(sum(n) OVER (ORDER BY folder ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT k.folder, k.path, k.n::INTEGER AS n FROM k JOIN b USING (folder) WHERE before <= 15000")
+@query(
+    "s04_quality_files",
+    FILES
+    + f", {_PATHS}, {_LOOKED_AT}, m AS (SELECT *, {_MARK_SCORES} FROM (SELECT *, lower(content) AS l FROM r WHERE ext IN ('.py', '.cpp', '.cxx', '.cc', '.c', '.h', '.hpp', '.hxx', '.js', '.java', '.cs', '.go', '.rs'))), "
+    f"k AS (SELECT folder, path, length(chr(10) || '# File: ' || name || ' (' || ext || ')' || chr(10) || '# Path: ' || path || chr(10) || '# Language: ' || {_READ_LANGUAGE} || chr(10) || content || chr(10)) AS n FROM m), "
+    "b AS (SELECT folder, coalesce(sum(n) OVER (ORDER BY folder ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT folder, sum(n) AS n FROM k GROUP BY folder)) SELECT k.folder, k.path, k.n::INTEGER AS n FROM k JOIN b USING (folder) WHERE before <= 15000",
+)
 def s04(spark: SparkSession, sf: str) -> DataFrame:
-    return file_sources.quality_files(tables.files(spark, sf)).select("folder", "path", F.length("content").alias("n"))
+    return file_sources.quality_files(_paths(spark, sf)).select("folder", "path", F.length("content").alias("n"))
 
 
-@query("s05_security_files", FILES + f", r AS (SELECT *, {_FOLDER} AS folder, row_number() OVER (PARTITION BY {_FOLDER} ORDER BY path) AS rn FROM files WHERE {_SOURCE}), k AS (SELECT * FROM r WHERE rn <= 15), b AS (SELECT folder, coalesce(sum(n) OVER (ORDER BY folder ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT folder, count(*) AS n FROM k GROUP BY folder)) SELECT path FROM k JOIN b USING (folder) WHERE before < 10")
+@query(
+    "s05_security_files",
+    FILES
+    + f", {_PATHS}, {_LOOKED_AT}, k AS (SELECT * FROM r WHERE ext IN ('.py', '.cpp', '.cxx', '.cc', '.c', '.h', '.hpp', '.js', '.java', '.php') OR regexp_matches(lower(name), 'auth|login|password|security|crypto|hash')), "
+    "b AS (SELECT folder, coalesce(sum(n) OVER (ORDER BY folder ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT folder, count(*) AS n FROM k GROUP BY folder)) SELECT path, length('// File: ' || name || ' (' || ext || ')' || chr(10) || '// Path: ' || path || chr(10) || content)::INTEGER AS n FROM k JOIN b USING (folder) WHERE before < 10",
+)
 def s05(spark: SparkSession, sf: str) -> DataFrame:
-    return file_sources.security_files(tables.files(spark, sf)).select("path")
+    return file_sources.security_files(_paths(spark, sf)).select("path", F.length("content").alias("n"))
 
 
 @query("s06_k18_json_round_trip", "SELECT r_regionkey, r_name FROM region")
