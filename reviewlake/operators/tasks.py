@@ -14,9 +14,9 @@ from . import store
 
 # Names, aliases and fields of the task language.
 TARGET_ALIASES = {
-    "review_sessions": "review_session", "review_session": "review_session", "session": "review_session",
-    "curated_issues": "curated_issue", "curated_issue": "curated_issue", "issue": "curated_issue",
+    "review_sessions": "review_session", "review_session": "review_session", "curated_issues": "curated_issue", "curated_issue": "curated_issue",
     "issue_patterns": "issue_pattern", "issue_pattern": "issue_pattern", "issuepattern": "issue_pattern", "pattern": "issue_pattern",
+    "session": "review_session", "issue": "curated_issue",
 }
 ACTION_ALIASES = {
     "insert": "create", "create": "create", "add": "create", "update": "update", "modify": "update", "upsert": "upsert", "create_or_update": "upsert",
