@@ -82,8 +82,8 @@ def run_events(messages: DataFrame) -> DataFrame:
 def run_events_batch(messages: DataFrame) -> DataFrame:
     """Batch twin of ``run_events``, by windows: every arrival that adds a type to a requirement is a change.
 
-    No group is collected: a requirement's types, a run's completions and its announcements are
-    running sets of small size over ordered windows.
+    No group is collected: a requirement's types are a running set of a few names, and a run's
+    announced and completed requirements are running counts.
     """
     results = messages.filter("message_type = 'analysis_result' and requirement_id is not null")
     own = Window.partitionBy("run_id", "requirement_id").orderBy("ord")
@@ -94,14 +94,21 @@ def run_events_batch(messages: DataFrame) -> DataFrame:
     reports = reports.withColumn("complete", F.array_contains("types", "ai_analysis"))
     first = F.row_number().over(Window.partitionBy("run_id", "requirement_id", "complete").orderBy("ord")) == 1
     reports = reports.withColumn("completes", F.col("complete") & first)
-    done = reports.filter("completes").select("run_id", "ord", F.col("requirement_id").alias("done"), F.col("issues").alias("add"), F.array().cast("array<long>").alias("expects"))
-    told = messages.filter("message_type = 'run_init'").select("run_id", "ord", F.lit(None).cast("long").alias("done"), F.lit(0).cast("long").alias("add"), F.coalesce("requirement_ids", F.array().cast("array<long>")).alias("expects"))
+    done = reports.filter("completes").select("run_id", "requirement_id", F.col("ord").alias("done"), F.col("issues").alias("add"))
+    told = messages.filter("message_type = 'run_init'").select("run_id", "ord", F.explode("requirement_ids").alias("requirement_id"))
+    told = told.groupBy("run_id", "requirement_id").agg(F.min("ord").alias("told"))
+    # a requirement counts as expected, as completed, and as both from the later of the two on; the sets are equal when the counts are
+    both = told.join(done, ["run_id", "requirement_id"], "full")
+    marks = (("told", 1, 0, 0), ("done", 0, 1, 0), ("both", 0, 0, 1))
+    at = {"told": F.col("told"), "done": F.col("done"), "both": F.when(F.col("told").isNotNull() & F.col("done").isNotNull(), F.greatest("told", "done"))}
+    add = {"done": F.col("add")}
+    counted = F.explode(F.array(*[F.struct(at[m].alias("ord"), F.lit(e).alias("e"), F.lit(c).alias("c"), F.lit(b).alias("b"), add.get(m, F.lit(0)).cast("long").alias("add")) for m, e, c, b in marks]))
+    steps = both.select("run_id", counted.alias("s")).select("run_id", "s.*").filter(F.col("ord").isNotNull()).groupBy("run_id", "ord").agg(*[F.sum(n).alias(n) for n in ("e", "c", "b", "add")])
     far = Window.partitionBy("run_id").orderBy("ord")
-    steps = done.unionByName(told).withColumn("completed", F.collect_set("done").over(far)).withColumn("expected", F.array_distinct(F.flatten(F.collect_list("expects").over(far)))).withColumn("total", F.sum("add").over(far))
-    equal = (F.size("expected") > 0) & (F.array_sort("expected") == F.array_sort("completed"))
-    closing = steps.filter(F.col("done").isNotNull() & equal).withColumn("rn", F.row_number().over(far)).filter("rn = 1")
+    steps = steps.select("run_id", "ord", (F.col("c") > 0).alias("ends"), *[F.sum(n).over(far).alias(n) for n in ("e", "c", "b", "add")])
+    closing = steps.filter("ends and e > 0 and e = c and e = b").withColumn("rn", F.row_number().over(far)).filter("rn = 1")
     one = reports.select("run_id", F.lit("report").alias("event"), "requirement_id", F.array_join("types", ",").alias("types"), F.col("issues").alias("issue_count"), F.lit(None).cast("long").alias("expected"), F.lit(None).cast("long").alias("completed"))
-    two = closing.select("run_id", F.lit("run_completed").alias("event"), F.lit(None).cast("long").alias("requirement_id"), F.lit(None).cast("string").alias("types"), F.col("total").alias("issue_count"), F.size("expected").cast("long").alias("expected"), F.size("completed").cast("long").alias("completed"))
+    two = closing.select("run_id", F.lit("run_completed").alias("event"), F.lit(None).cast("long").alias("requirement_id"), F.lit(None).cast("string").alias("types"), F.col("add").alias("issue_count"), F.col("e").cast("long").alias("expected"), F.col("c").cast("long").alias("completed"))
     return one.unionByName(two)
 
 
