@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the cluster's checkpoint folder; below a temporary one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/reviewlake"
+    """A fresh path below the cluster's checkpoint folder, whose owner clears it.
+
+    Where none is named a local master gets a temporary folder, removed at exit; other masters
+    have no folder that all machines see, and raise.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="reviewlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
     return f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"

@@ -208,14 +208,55 @@ def test_session_memory_against_replay(spark):
     assert got == want
 
 
+def names_of(df):
+    return sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+
+
 def test_file_sources(spark, tmp_path):
-    for name in ("a/x.py", "a/y.txt", "node_modules/z.py", "b/login.md", "b/c.js"):
+    for name in ("a/x.py", "a/y.txt", "a/w.rb", "a/q.cs", "a/v.PY", "node_modules/z.py", "env/e.py", "target/t.py", "b/login.md", "b/c.js", "b/h.hxx"):
         write(tmp_path / name, "content " + name)
     found = file_sources.source_tree(spark, str(tmp_path))
-    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["c.js", "x.py"]
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path", F.col("content").cast("string").alias("content"))
-    assert sorted(r.path.rsplit("/", 1)[1] for r in file_sources.security_files(every).collect()) == ["c.js", "login.md", "x.py", "z.py"]
-    assert file_sources.quality_files(found).count() == 2
-    assert file_sources.reports(spark, str(tmp_path), "b").count() == 2
+    assert names_of(found) == ["c.js", "t.py", "w.rb", "x.py"]
+    every = file_sources.read_texts(spark, str(tmp_path))
+    assert names_of(file_sources.security_files(every)) == ["c.js", "e.py", "login.md", "t.py", "v.PY", "x.py", "z.py"]
+    assert names_of(file_sources.quality_files(every)) == ["c.js", "e.py", "h.hxx", "q.cs", "t.py", "v.PY", "x.py", "z.py"]
+    assert file_sources.reports(spark, str(tmp_path), "b").count() == 3
     paths = spark.createDataFrame([("/x/run7/consolidated/consolidated_a.json",), ("/x/consolidated_req_3_run9.json",), ("/x/other.json",)], "path string")
     assert sorted(r.run_id for r in file_sources.consolidated(paths).collect()) == ["run7", "run9"]
+
+
+def test_readers_look_at_the_first_files_and_try_gbk(spark, tmp_path):
+    """Names are judged after the first fifteen files were taken; folders follow until there is enough."""
+    for k in range(20):
+        write(tmp_path / f"a/f{k:02d}.{'md' if k < 12 else 'py'}", f"# {k}")
+        write(tmp_path / f"b/g{k:02d}.c", "int x;")
+        write(tmp_path / f"c/h{k:02d}.c", "int y;")
+    (tmp_path / "a" / "f12.py").write_bytes("名字 = 1".encode("gbk"))
+    (tmp_path / "a" / "f13.py").write_bytes(b"\xff\xff\xff")
+    every = file_sources.read_texts(spark, str(tmp_path))
+    assert every.filter("path like '%f13.py'").count() == 0
+    got = {r.path.rsplit("/", 1)[1]: r.content for r in file_sources.security_files(every).collect()}
+    assert sorted(got) == ["f12.py", "f14.py", "f15.py", *(f"g{k:02d}.c" for k in range(15))] and "名字" in got["f12.py"]
+    quality = {r.path.rsplit("/", 1)[1]: r.content for r in file_sources.quality_files(every).collect()}
+    assert len(quality) == 3 + 15 + 15
+    assert quality["f12.py"] == "\n# File: f12.py (.py)\n# Language: python\n名字 = 1\n"
+    assert quality["g00.c"].startswith("\n# File: g00.c (.c)\n# Path: file:") and quality["g00.c"].endswith("/b/g00.c\n# Language: c\nint x;\n")
+    long = every.withColumn("content", F.repeat("content", F.lit(1000)))
+    assert {r.folder[-1] for r in file_sources.quality_files(long).collect()} == {"a", "b"}
+
+
+def test_nearest_in_blocks_equals_broadcast(spark, monkeypatch):
+    """Ties, zero vectors, empty sides; a query set beyond one block is joined on the executors."""
+    r = random.Random(7)
+    rows = [(k, [float(r.randint(-2, 2)) for _ in range(4)]) for k in range(700)]
+    vectors = spark.createDataFrame(rows, "sqlite_id long, vector array<double>").repartition(5)
+    queries = vectors.filter("sqlite_id % 4 = 0").withColumnRenamed("sqlite_id", "query_id")
+    plain = {tuple(x) for x in ranking.nearest(queries, vectors, 5, exclude_self=True).collect()}
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 30)
+    assert {tuple(x) for x in ranking.nearest(queries, vectors, 5, exclude_self=True).collect()} == plain
+    assert ranking.nearest(queries, vectors.limit(0), 5).count() == 0 and ranking.nearest(queries.limit(0), vectors, 5).count() == 0
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    for i, a in rows[::4][:40]:
+        if size(a):
+            near = sorted((round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / size(a) / size(b), 6), j) for j, b in rows if j != i and size(b))[:5]
+            assert sorted((d + 0.0, j) for q, j, d in plain if q == i) == [(d + 0.0, j) for d, j in near]
