@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlake.llm import bpe, decontaminate, secrets, simhash, toxicity
-from reviewlake.llm.common import ensure_checkpoint_dir, table
+from reviewlake.llm.common import checkpoint_dir, remove, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to ``documents``.
+
+    Rows of an empty table, null and empty texts, null ids and repeated rows pass through the
+    stages as each operator's docstring says. The result is read from the last stage's folder; a
+    stage's folder is removed once the next one is written.
+    """
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
