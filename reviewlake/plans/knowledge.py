@@ -427,9 +427,9 @@ def w01(spark: SparkSession, sf: str) -> DataFrame:
     return runs.route(tables.table(spark, sf, "events").withColumnRenamed("event_type", "receiver"), agents).groupBy("receiver").agg(F.count("*").alias("n"))
 
 
-@query("w11_dispatch", "SELECT unnest(['static_scan_request', 'quality_analysis_request', 'security_analysis_request', 'performance_analysis_request']) AS message_type, n_nationkey AS requirement_id FROM nation")
+@query("w11_dispatch", "SELECT unnest(['static_scan_request', 'quality_analysis_request', 'security_analysis_request', 'performance_analysis_request']) AS message_type, c_custkey AS requirement_id FROM customer")
 def w11(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.dispatch(tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("requirement_id")))
+    return runs.dispatch(tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("requirement_id")))
 
 
 @query("d03_merge_plans")

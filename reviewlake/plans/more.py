@@ -177,58 +177,58 @@ def f10_all(spark: SparkSession, sf: str) -> DataFrame:
 _REPORTS = ('{"run_id": "r", "requirement_id": 1, "issues": [], "analysis_types": []}', '{"run_id": "r", "issues": {}}', "no json", "[1]")
 
 
-@query("f11_report_validity", "SELECT n_nationkey AS id, ['', 'missing requirement_id; missing analysis_types; issues no list', 'no JSON object', 'no JSON object'][n_nationkey % 4 + 1] AS errors FROM nation")
+@query("f11_report_validity", "SELECT c_custkey AS id, ['', 'missing requirement_id; missing analysis_types; issues no list', 'no JSON object', 'no JSON object'][c_custkey % 4 + 1] AS errors FROM customer")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.element_at(F.array(*map(F.lit, _REPORTS)), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    return tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), reports.report_errors(body).alias("errors"))
+    body = F.element_at(F.array(*map(F.lit, _REPORTS)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), reports.report_errors(body).alias("errors"))
 
 
 def example_models(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    return tables.table(spark, sf, "nation").select(
-        F.col("n_name").alias("name"), F.when(k % 2 == 0, "chat").otherwise("code").alias("type"), F.concat(F.lit("4."), (k % 30).cast("string"), F.lit(".1")).alias("min_version"),
+    k = F.col("c_custkey")
+    return tables.table(spark, sf, "customer").select(
+        F.col("c_name").alias("name"), F.when(k % 2 == 0, "chat").otherwise("code").alias("type"), F.concat(F.lit("4."), (k % 30).cast("string"), F.lit(".1")).alias("min_version"),
         F.when(k % 3 != 0, F.concat(F.lit("4."), (k % 30 + 10).cast("string"))).alias("max_version"), F.array_repeat(F.lit("x"), (k % 3).cast("int")).alias("known_issues"),
     )
 
 
-@query("f13_compatible_models", "SELECT n_name AS name FROM nation WHERE 420 >= 400 + n_nationkey % 30 AND (n_nationkey % 3 = 0 OR 420 <= 410 + n_nationkey % 30)")
+@query("f13_compatible_models", "SELECT c_name AS name FROM customer WHERE 420 >= 400 + c_custkey % 30 AND (c_custkey % 3 = 0 OR 420 <= 410 + c_custkey % 30)")
 def f13(spark: SparkSession, sf: str) -> DataFrame:
     return models.compatible(example_models(spark, sf), "4.20.3").select("name")
 
 
-@query("f14_u04_problematic_models", "SELECT n_name AS name FROM nation WHERE NOT (420 >= 400 + n_nationkey % 30 AND (n_nationkey % 3 = 0 OR 420 <= 410 + n_nationkey % 30))")
+@query("f14_u04_problematic_models", "SELECT c_name AS name FROM customer WHERE NOT (420 >= 400 + c_custkey % 30 AND (c_custkey % 3 = 0 OR 420 <= 410 + c_custkey % 30))")
 def f14(spark: SparkSession, sf: str) -> DataFrame:
     return models.problematic(example_models(spark, sf), "4.20.3").select("name")
 
 
-@query("f15_models_by_type", "SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
+@query("f15_models_by_type", "SELECT c_name AS name FROM customer WHERE c_custkey % 2 = 0")
 def f15(spark: SparkSession, sf: str) -> DataFrame:
     return models.by_type(example_models(spark, sf), "chat").select("name")
 
 
-@query("f16_model_summary", "SELECT n_name AS name, '4.' || (n_nationkey % 30) || '.1 - ' || CASE WHEN n_nationkey % 3 <> 0 THEN '4.' || (n_nationkey % 30 + 10) ELSE 'latest' END AS transformers_range, n_nationkey % 3 AS known_issues_count FROM nation")
+@query("f16_model_summary", "SELECT c_name AS name, '4.' || (c_custkey % 30) || '.1 - ' || CASE WHEN c_custkey % 3 <> 0 THEN '4.' || (c_custkey % 30 + 10) ELSE 'latest' END AS transformers_range, c_custkey % 3 AS known_issues_count FROM customer")
 def f16(spark: SparkSession, sf: str) -> DataFrame:
     return models.summary(example_models(spark, sf)).drop("type")
 
 
 def write_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     target = F.element_at(F.array(*map(F.lit, ("session", "issue", "pattern"))), (k % 3 + 1).cast("int"))
-    return tables.table(spark, sf, "nation").select(k.cast("long").alias("ord"), target.alias("target"), F.when(k % 4 == 0, "query").otherwise("create").alias("action"), F.create_map(F.lit("id"), k.cast("string"), F.lit("status"), F.lit("kept")).alias("data"))
+    return tables.table(spark, sf, "customer").select(k.cast("long").alias("ord"), target.alias("target"), F.when(k % 4 == 0, "query").otherwise("create").alias("action"), F.create_map(F.lit("id"), k.cast("string"), F.lit("status"), F.lit("kept")).alias("data"))
 
 
-@query("f20_filled_tasks", "SELECT n_nationkey::BIGINT AS ord, CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE [6, 12, 12][n_nationkey % 3 + 1] END AS n, CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey::VARCHAR END AS id FROM nation")
+@query("f20_filled_tasks", "SELECT c_custkey::BIGINT AS ord, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE [6, 12, 12][c_custkey % 3 + 1] END AS n, CASE WHEN c_custkey % 4 = 0 THEN c_custkey::VARCHAR END AS id FROM customer")
 def f20(spark: SparkSession, sf: str) -> DataFrame:
     done = tasks.fill(write_tasks(spark, sf), "words", "cli")
     return done.select("ord", F.size("data").alias("n"), F.try_element_at("data", F.lit("id")).alias("id"))
 
 
-@query("x41_confirmed_tasks", "SELECT n_nationkey::BIGINT AS ord, 'true' AS confirm, CASE WHEN n_nationkey % 4 = 0 THEN 'query' ELSE 'create' END AS action FROM nation")
+@query("x41_confirmed_tasks", "SELECT c_custkey::BIGINT AS ord, 'true' AS confirm, CASE WHEN c_custkey % 4 = 0 THEN 'query' ELSE 'create' END AS action FROM customer")
 def x41(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.confirmed(write_tasks(spark, sf)).select("ord", F.try_element_at("data", F.lit("confirm")).alias("confirm"), "action")
 
 
-@query("j12_bound_ids", "SELECT n_nationkey::BIGINT AS ord, CASE WHEN n_nationkey % 3 = 1 THEN '11' END AS pattern_id, CASE WHEN n_nationkey % 3 = 1 THEN '12' END AS session_id FROM nation")
+@query("j12_bound_ids", "SELECT c_custkey::BIGINT AS ord, CASE WHEN c_custkey % 3 = 1 THEN '11' END AS pattern_id, CASE WHEN c_custkey % 3 = 1 THEN '12' END AS session_id FROM customer")
 def j12(spark: SparkSession, sf: str) -> DataFrame:
     rows = write_tasks(spark, sf).withColumn("target", F.when(F.col("target") == "issue", "curated_issue").otherwise(F.col("target")))
     one = lambda n: spark.range(n, n + 1)
@@ -304,9 +304,9 @@ def t10(spark: SparkSession, sf: str) -> DataFrame:
     return tables.issues(spark, sf).select(F.col("file").alias("grp")).distinct().orderBy("grp").limit(20)
 
 
-@query("t12_suggestions", "SELECT n_nationkey::BIGINT AS file_id, CASE WHEN n_nationkey % 4 = 0 THEN 5 ELSE 0 END + CASE WHEN n_nationkey % 4 < 2 THEN 5 ELSE 0 END + CASE WHEN n_nationkey % 4 = 2 THEN 1 ELSE 0 END + CASE WHEN n_nationkey % 4 = 3 THEN 1 ELSE 0 END AS n FROM nation")
+@query("t12_suggestions", "SELECT c_custkey::BIGINT AS file_id, CASE WHEN c_custkey % 4 = 0 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 4 < 2 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 4 = 2 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 0 END AS n FROM customer")
 def t12(spark: SparkSession, sf: str) -> DataFrame:
-    base = tables.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("file_id"))
+    base = tables.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("file_id"))
     many = lambda df: df.select("file_id", F.posexplode(F.array_repeat(F.lit("d"), 7)).alias("pos", "description"))
     risk = base.withColumn("risk_level", F.when(F.col("file_id") % 4 == 2, "high").otherwise("low"))
     found = reports.suggestions(many(base.filter("file_id % 4 = 0")).withColumn("priority", F.lit(None).cast("string")), many(base.filter("file_id % 4 < 2")), risk)
@@ -355,12 +355,12 @@ _ANSWERS = (
 
 
 def example_answers(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    return tables.table(spark, sf, "nation").select(k.alias("id"), F.element_at(F.array(*map(F.lit, _ANSWERS)), (k % len(_ANSWERS) + 1).cast("int")).alias("answer"))
+    k = F.col("c_custkey")
+    return tables.table(spark, sf, "customer").select(k.alias("id"), F.element_at(F.array(*map(F.lit, _ANSWERS)), (k % len(_ANSWERS) + 1).cast("int")).alias("answer"))
 
 
 def _pick_sql(*values: str) -> str:
-    return "[" + ", ".join(values) + f"][n_nationkey % {len(_ANSWERS)} + 1]"
+    return "[" + ", ".join(values) + f"][c_custkey % {len(_ANSWERS)} + 1]"
 
 
 def _literal(value: str) -> str:
@@ -375,69 +375,69 @@ def _answer(expression):
 
 
 _CLEAN_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(answer, '(?i)```json|```', '', 'g'), '(?m)//.*?$', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g'), ',\\s*([\\]}])', '\\1', 'g'), ' ' || chr(10))"
-query("x27_sanitized", f"SELECT id, length({_CLEAN_SQL}) AS n FROM (SELECT n_nationkey AS id, {_pick_sql(*map(_literal, _ANSWERS))} AS answer FROM nation)")(_answer(lambda a: [F.length(repair.sanitized(a)).alias("n")]))
-query("x28_x29_task_plan", "SELECT n_nationkey AS id, " + _pick_sql("''", "''", "''", "'code'", "''") + " AS intent, " + _pick_sql("''", "''", "''", "'/a'", "''") + " AS targets FROM nation")(_answer(lambda a: [repair.task_plan(a)["intent"].alias("intent"), F.array_join(repair.task_plan(a)["targets"], ",").alias("targets")]))
-query("x31_task_list", "SELECT n_nationkey AS id, " + _pick_sql("1", "0", "0", "1", "2") + " AS n FROM nation")(_answer(lambda a: [F.size(repair.task_list(a)).alias("n")]))
-query("x32_json_object", "SELECT n_nationkey AS id, " + _pick_sql("'HIGH'", "NULL", "NULL", "NULL", "NULL") + " AS severity FROM nation")(_answer(lambda a: [F.try_variant_get(repair.json_object(a), "$.severity", "string").alias("severity")]))
-query("x33_rating", "SELECT n_nationkey AS id, " + _pick_sql("true", "false", "false", "false", "false") + " AS available, " + _pick_sql("8.123::DOUBLE", "NULL", "NULL", "NULL", "NULL") + " AS score, " + _pick_sql("1.0::DOUBLE", "0", "0", "0", "0") + " AS confidence FROM nation")(_answer(lambda a: [repair.rating(a)[k].alias(k) for k in ("available", "score", "confidence")]))
-query("x34_vulnerabilities", "SELECT n_nationkey AS id, " + _pick_sql("'xss'", "'generated_threat_indicator'", "NULL", "'generated_threat_indicator'", "'generated_threat_indicator'") + " AS type, " + _pick_sql("'high'", "'medium'", "NULL", "'low'", "'low'") + " AS severity FROM nation")(_answer(lambda a: [answers.vulnerability(a, F.lit(0))[k].alias(k) for k in ("type", "severity")]))
-query("x35_complexity", "SELECT n_nationkey AS id, " + _pick_sql("'O(n)'", "'O(n^2)'", "'O(n)'", "'O(n)'", "'O(n)'") + " AS estimated FROM nation")(_answer(lambda a: [answers.complexity(a)["estimated_complexity"].alias("estimated")]))
-query("x36_signals", "SELECT n_nationkey AS id, " + _pick_sql("false", "true", "false", "false", "false") + " AS cache, " + _pick_sql("false", "true", "false", "false", "false") + " AS refactor FROM nation")(_answer(lambda a: [answers.signals(a)["ai_caching_opportunity"].alias("cache"), answers.signals(a)["ai_refactor_needed"].alias("refactor")]))
-query("x37_quality_lines", "SELECT n_nationkey AS id, " + _pick_sql("0", "1", "0", "0", "1") + " AS issues, " + _pick_sql("0", "1", "0", "0", "0") + " AS recommendations, " + _pick_sql("8.1234::DOUBLE", "7.5", "7.0", "7.0", "7.0") + " AS score FROM nation")(_answer(lambda a: [F.size(answers.quality_lines(a)["issues"]).alias("issues"), F.size(answers.quality_lines(a)["recommendations"]).alias("recommendations"), answers.quality_lines(a)["score"].alias("score")]))
-query("x38_suggestion_lines", "SELECT n_nationkey AS id, " + _pick_sql("'1,2,3'", "'1,2,3,5'", "'1'", "'1'", "'1'") + " AS ids FROM nation")(_answer(lambda a: [F.array_join(F.transform(answers.suggestion_lines(a), lambda s: s["suggestion_id"].cast("string")), ",").alias("ids")]))
-query("x30_mended_paths", "SELECT n_nationkey AS id, '{\"path\": \"C:/a/b\"}' AS fixed FROM nation")(lambda spark, sf: example_answers(spark, sf).select("id", repair.mended_paths(F.lit('{"path": "C:\\a\\b"}')).alias("fixed")))
-query("x42_confirmation", "SELECT n_nationkey AS id, [true, false, false, true][n_nationkey % 4 + 1] AS confirmed FROM nation")(
-    lambda spark, sf: tables.table(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("id"),
+query("x27_sanitized", f"SELECT id, length({_CLEAN_SQL}) AS n FROM (SELECT c_custkey AS id, {_pick_sql(*map(_literal, _ANSWERS))} AS answer FROM customer)")(_answer(lambda a: [F.length(repair.sanitized(a)).alias("n")]))
+query("x28_x29_task_plan", "SELECT c_custkey AS id, " + _pick_sql("''", "''", "''", "'code'", "''") + " AS intent, " + _pick_sql("''", "''", "''", "'/a'", "''") + " AS targets FROM customer")(_answer(lambda a: [repair.task_plan(a)["intent"].alias("intent"), F.array_join(repair.task_plan(a)["targets"], ",").alias("targets")]))
+query("x31_task_list", "SELECT c_custkey AS id, " + _pick_sql("1", "0", "0", "1", "2") + " AS n FROM customer")(_answer(lambda a: [F.size(repair.task_list(a)).alias("n")]))
+query("x32_json_object", "SELECT c_custkey AS id, " + _pick_sql("'HIGH'", "NULL", "NULL", "NULL", "NULL") + " AS severity FROM customer")(_answer(lambda a: [F.try_variant_get(repair.json_object(a), "$.severity", "string").alias("severity")]))
+query("x33_rating", "SELECT c_custkey AS id, " + _pick_sql("true", "false", "false", "false", "false") + " AS available, " + _pick_sql("8.123::DOUBLE", "NULL", "NULL", "NULL", "NULL") + " AS score, " + _pick_sql("1.0::DOUBLE", "0", "0", "0", "0") + " AS confidence FROM customer")(_answer(lambda a: [repair.rating(a)[k].alias(k) for k in ("available", "score", "confidence")]))
+query("x34_vulnerabilities", "SELECT c_custkey AS id, " + _pick_sql("'xss'", "'generated_threat_indicator'", "NULL", "'generated_threat_indicator'", "'generated_threat_indicator'") + " AS type, " + _pick_sql("'high'", "'medium'", "NULL", "'low'", "'low'") + " AS severity FROM customer")(_answer(lambda a: [answers.vulnerability(a, F.lit(0))[k].alias(k) for k in ("type", "severity")]))
+query("x35_complexity", "SELECT c_custkey AS id, " + _pick_sql("'O(n)'", "'O(n^2)'", "'O(n)'", "'O(n)'", "'O(n)'") + " AS estimated FROM customer")(_answer(lambda a: [answers.complexity(a)["estimated_complexity"].alias("estimated")]))
+query("x36_signals", "SELECT c_custkey AS id, " + _pick_sql("false", "true", "false", "false", "false") + " AS cache, " + _pick_sql("false", "true", "false", "false", "false") + " AS refactor FROM customer")(_answer(lambda a: [answers.signals(a)["ai_caching_opportunity"].alias("cache"), answers.signals(a)["ai_refactor_needed"].alias("refactor")]))
+query("x37_quality_lines", "SELECT c_custkey AS id, " + _pick_sql("0", "1", "0", "0", "1") + " AS issues, " + _pick_sql("0", "1", "0", "0", "0") + " AS recommendations, " + _pick_sql("8.1234::DOUBLE", "7.5", "7.0", "7.0", "7.0") + " AS score FROM customer")(_answer(lambda a: [F.size(answers.quality_lines(a)["issues"]).alias("issues"), F.size(answers.quality_lines(a)["recommendations"]).alias("recommendations"), answers.quality_lines(a)["score"].alias("score")]))
+query("x38_suggestion_lines", "SELECT c_custkey AS id, " + _pick_sql("'1,2,3'", "'1,2,3,5'", "'1'", "'1'", "'1'") + " AS ids FROM customer")(_answer(lambda a: [F.array_join(F.transform(answers.suggestion_lines(a), lambda s: s["suggestion_id"].cast("string")), ",").alias("ids")]))
+query("x30_mended_paths", "SELECT c_custkey AS id, '{\"path\": \"C:/a/b\"}' AS fixed FROM customer")(lambda spark, sf: example_answers(spark, sf).select("id", repair.mended_paths(F.lit('{"path": "C:\\a\\b"}')).alias("fixed")))
+query("x42_confirmation", "SELECT c_custkey AS id, [true, false, false, true][c_custkey % 4 + 1] AS confirmed FROM customer")(
+    lambda spark, sf: tables.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
         repair.confirmation(
-            F.element_at(F.array(F.lit('{"confirm": true}'), F.lit('{"confirm": false}'), F.lit("?"), F.lit("?")), (F.col("n_nationkey") % 4 + 1).cast("int")),
-            F.element_at(F.array(F.lit("不"), F.lit("确认"), F.lit("不要执行"), F.lit("确认删除")), (F.col("n_nationkey") % 4 + 1).cast("int")),
+            F.element_at(F.array(F.lit('{"confirm": true}'), F.lit('{"confirm": false}'), F.lit("?"), F.lit("?")), (F.col("c_custkey") % 4 + 1).cast("int")),
+            F.element_at(F.array(F.lit("不"), F.lit("确认"), F.lit("不要执行"), F.lit("确认删除")), (F.col("c_custkey") % 4 + 1).cast("int")),
         ).alias("confirmed"),
     )
 )
 
 
-@query("a23_threat_text", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN round_even((5.5 + 4.5 * 5) / 6, 2)::DOUBLE ELSE 4.5::DOUBLE END AS overall FROM nation")
+@query("a23_threat_text", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN round_even((5.5 + 4.5 * 5) / 6, 2)::DOUBLE ELSE 4.5::DOUBLE END AS overall FROM customer")
 def a23(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.when(F.col("n_nationkey") % 2 == 0, "x\nspoofing of the login is likely here\nTampering").otherwise("nothing")
-    return tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), answers.threat_model(said)["overall"].alias("overall"))
+    said = F.when(F.col("c_custkey") % 2 == 0, "x\nspoofing of the login is likely here\nTampering").otherwise("nothing")
+    return tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), answers.threat_model(said)["overall"].alias("overall"))
 
 
 def example_items(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    item = F.create_map(F.lit("type"), F.when(k % 2 == 0, " MONITORING ").otherwise("odd"), F.lit("suggestion"), F.col("n_name"), F.lit("priority"), F.when(k % 3 == 0, "HIGH").otherwise("?"), F.lit("fix"), F.lit(" f "))
-    return tables.table(spark, sf, "nation").select(k.alias("id"), F.array_repeat(item, (k % 8).cast("int")).alias("items"))
+    k = F.col("c_custkey")
+    item = F.create_map(F.lit("type"), F.when(k % 2 == 0, " MONITORING ").otherwise("odd"), F.lit("suggestion"), F.col("c_name"), F.lit("priority"), F.when(k % 3 == 0, "HIGH").otherwise("?"), F.lit("fix"), F.lit(" f "))
+    return tables.table(spark, sf, "customer").select(k.alias("id"), F.array_repeat(item, (k % 8).cast("int")).alias("items"))
 
 
-_LEVEL = "CASE WHEN n_nationkey % 3 = 0 THEN 'high' ELSE 'medium' END"
+_LEVEL = "CASE WHEN c_custkey % 3 = 0 THEN 'high' ELSE 'medium' END"
 
 
-@query("x52_x53_plan_items", f"SELECT n_nationkey AS id, least(n_nationkey % 8, 5) AS n, CASE WHEN n_nationkey % 8 > 0 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'monitoring' ELSE 'odd' END END AS type, CASE WHEN n_nationkey % 8 > 0 THEN {_LEVEL} END AS priority, CASE WHEN n_nationkey % 8 > 0 THEN n_name END AS recommendation FROM nation")
+@query("x52_x53_plan_items", f"SELECT c_custkey AS id, least(c_custkey % 8, 5) AS n, CASE WHEN c_custkey % 8 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'monitoring' ELSE 'odd' END END AS type, CASE WHEN c_custkey % 8 > 0 THEN {_LEVEL} END AS priority, CASE WHEN c_custkey % 8 > 0 THEN c_name END AS recommendation FROM customer")
 def x52(spark: SparkSession, sf: str) -> DataFrame:
     rows = example_items(spark, sf).select("id", answers.first_items(F.col("items"), answers.plan_item, 5).alias("p"))
     first = F.get("p", F.lit(0))
     return rows.select("id", F.size("p").alias("n"), first["type"].alias("type"), first["priority"].alias("priority"), first["recommendation"].alias("recommendation"))
 
 
-@query("x52_optimization_items", f"SELECT n_nationkey AS id, CASE WHEN n_nationkey % 8 > 1 THEN 2 END AS suggestion_id, CASE WHEN n_nationkey % 8 > 1 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'monitoring' ELSE 'general' END END AS type, CASE WHEN n_nationkey % 8 > 1 THEN {_LEVEL} END AS priority FROM nation")
+@query("x52_optimization_items", f"SELECT c_custkey AS id, CASE WHEN c_custkey % 8 > 1 THEN 2 END AS suggestion_id, CASE WHEN c_custkey % 8 > 1 THEN CASE WHEN c_custkey % 2 = 0 THEN 'monitoring' ELSE 'general' END END AS type, CASE WHEN c_custkey % 8 > 1 THEN {_LEVEL} END AS priority FROM customer")
 def x52b(spark: SparkSession, sf: str) -> DataFrame:
     rows = example_items(spark, sf).select("id", F.transform("items", answers.optimization_item).alias("p"))
     second = F.get("p", F.lit(1))
     return rows.select("id", second["suggestion_id"].alias("suggestion_id"), second["type"].alias("type"), second["priority"].alias("priority"))
 
 
-@query("x54_remediation_items", f"SELECT n_nationkey AS id, least(n_nationkey % 8, 10) AS n, CASE WHEN n_nationkey % 8 > 0 THEN 'f' END AS fix, CASE WHEN n_nationkey % 8 > 0 THEN {_LEVEL} END AS priority FROM nation")
+@query("x54_remediation_items", f"SELECT c_custkey AS id, least(c_custkey % 8, 10) AS n, CASE WHEN c_custkey % 8 > 0 THEN 'f' END AS fix, CASE WHEN c_custkey % 8 > 0 THEN {_LEVEL} END AS priority FROM customer")
 def x54(spark: SparkSession, sf: str) -> DataFrame:
     rows = example_items(spark, sf).select("id", answers.first_items(F.col("items"), answers.remediation_item, 10).alias("p"))
     return rows.select("id", F.size("p").alias("n"), F.get("p", F.lit(0))["fix"].alias("fix"), F.get("p", F.lit(0))["priority"].alias("priority"))
 
 
-@query("x55_r07_r08_envelopes", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 3 THEN 'failed' WHEN n_nationkey % 2 = 0 THEN 'completed' ELSE 'partial_success' END AS status, CASE WHEN n_nationkey % 2 = 0 THEN 0.9::DOUBLE ELSE 0.68 END AS security, CASE WHEN n_nationkey % 2 = 0 THEN 0.88::DOUBLE ELSE 0.65 END AS performance FROM nation")
+@query("x55_r07_r08_envelopes", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 3 THEN 'failed' WHEN c_custkey % 2 = 0 THEN 'completed' ELSE 'partial_success' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 0.9::DOUBLE ELSE 0.68 END AS security, CASE WHEN c_custkey % 2 = 0 THEN 0.88::DOUBLE ELSE 0.65 END AS performance FROM customer")
 def x55(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     failed, said = F.array_repeat(F.lit("step"), (k % 2).cast("int")), F.when(k % 4 == 3, "failed").otherwise("odd")
     one, two = answers.analysis_envelope(said, failed, 0.9, 0.68), answers.analysis_envelope(said, failed, 0.88, 0.65)
-    return tables.table(spark, sf, "nation").select(k.alias("id"), one["analysis_status"].alias("status"), one["confidence"].alias("security"), two["confidence"].alias("performance"))
+    return tables.table(spark, sf, "customer").select(k.alias("id"), one["analysis_status"].alias("status"), one["confidence"].alias("security"), two["confidence"].alias("performance"))
 
 
 @query("x56_basic_recommendations", with_issues("SELECT source AS category, CASE WHEN avg(line) < 75 THEN '改进 ' || source || ' 以提升得分' END AS recommendation FROM issues GROUP BY source"))
@@ -453,11 +453,11 @@ def x58(spark: SparkSession, sf: str) -> DataFrame:
     return flags.select("file_id", F.size(advice).alias("tests"), F.get(answers.complexity_advice((F.col("file_id") % 10).cast("double")), F.lit(0))["type"].alias("first"))
 
 
-@query("x61_prompts", "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'V ' || n_name || ' {x}' WHEN 1 THEN 'M ' || n_name ELSE 'D' END AS prompt FROM nation")
+@query("x61_prompts", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'V ' || c_name || ' {x}' WHEN 1 THEN 'M ' || c_name ELSE 'D' END AS prompt FROM customer")
 def x61(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    made = answers.prompt({"v": "V {name} {{x}}", "m": "M {name}", "default": "D"}, F.when(k % 3 == 0, "v").otherwise("?"), F.when(k % 3 == 1, "m").otherwise("?"), {"name": F.col("n_name")})
-    return tables.table(spark, sf, "nation").select(k.alias("id"), made.alias("prompt"))
+    k = F.col("c_custkey")
+    made = answers.prompt({"v": "V {name} {{x}}", "m": "M {name}", "default": "D"}, F.when(k % 3 == 0, "v").otherwise("?"), F.when(k % 3 == 1, "m").otherwise("?"), {"name": F.col("c_name")})
+    return tables.table(spark, sf, "customer").select(k.alias("id"), made.alias("prompt"))
 
 
 @query("x20_relative_paths", FILES + "SELECT file_id, CASE WHEN path LIKE 'dir1/%' THEN substr(path, 6) ELSE regexp_extract(path, '([^/]*)$', 1) END AS rel FROM files")
@@ -471,10 +471,10 @@ def x26(spark: SparkSession, sf: str) -> DataFrame:
     return tables.vectors(spark, sf).select(F.col("sqlite_id").alias("vec_id"), F.size(vectors.vector_or_embedding(given, F.lit("text"))).alias("n"))
 
 
-@query("x44_paths_in_text", "SELECT n_nationkey AS id, '/srv/' || n_name || '.py,C:\\x\\y' AS paths FROM nation")
+@query("x44_paths_in_text", "SELECT c_custkey AS id, '/srv/' || c_name || '.py,C:\\x\\y' AS paths FROM customer")
 def x44(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.concat(F.lit("look at /srv/"), F.col("n_name"), F.lit(".py and C:\\x\\y now"))
-    return tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(reports.paths_in(said), ",").alias("paths"))
+    said = F.concat(F.lit("look at /srv/"), F.col("c_name"), F.lit(".py and C:\\x\\y now"))
+    return tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array_join(reports.paths_in(said), ",").alias("paths"))
 
 
 @query("x46_tables", "SELECT 5 AS lines")
@@ -525,9 +525,9 @@ def w05(spark: SparkSession, sf: str) -> DataFrame:
     return runs.dedupe_requests(tables.issues(spark, sf)).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
-@query("w02_dead_letters", "SELECT 'bad' AS kind, count_if(n_nationkey % 5 = 0) AS n FROM nation UNION ALL SELECT 'good', count_if(n_nationkey % 5 <> 0) FROM nation")
+@query("w02_dead_letters", "SELECT 'bad' AS kind, count_if(c_custkey % 5 = 0) AS n FROM customer UNION ALL SELECT 'good', count_if(c_custkey % 5 <> 0) FROM customer")
 def w02(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tables.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.when(F.col("n_nationkey") % 5 == 0, "broken {").otherwise('{"a": 1}').alias("content"))
+    rows = tables.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 5 == 0, "broken {").otherwise('{"a": 1}').alias("content"))
     good, bad = runs.dead_letters(rows, "a int")
     return bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("n")).unionByName(good.agg(F.lit("good").alias("kind"), F.count("*").alias("n")))
 
