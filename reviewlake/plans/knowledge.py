@@ -427,6 +427,18 @@ def w01(spark: SparkSession, sf: str) -> DataFrame:
     return runs.route(tables.table(spark, sf, "events").withColumnRenamed("event_type", "receiver"), agents).groupBy("receiver").agg(F.count("*").alias("n"))
 
 
+@query(
+    "w09_cache_replay",
+    "WITH a AS (SELECT user_id, event_id, event_type, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events), "
+    "d AS (SELECT a.user_id, a.event_id, count(DISTINCT b.event_type) AS others FROM a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.before AND b.event_id < a.event_id AND b.event_type <> a.event_type GROUP BY a.user_id, a.event_id) "
+    "SELECT a.user_id, count(*) AS requests, count_if(a.before IS NOT NULL AND coalesce(d.others, 0) < 3) AS hits FROM a LEFT JOIN d ON a.user_id = d.user_id AND a.event_id = d.event_id GROUP BY a.user_id",
+)
+def w09(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of a cache of three event types for each user."""
+    accesses = tables.table(spark, sf, "events").select(F.col("user_id").alias("cache"), F.col("event_id").alias("ord"), F.col("event_type").alias("key"))
+    return runs.cache_replay(accesses, 3).groupBy(F.col("cache").alias("user_id")).agg(F.count("*").alias("requests"), F.sum(F.col("hit").cast("long")).alias("hits"))
+
+
 @query("w11_dispatch", "SELECT unnest(['static_scan_request', 'quality_analysis_request', 'security_analysis_request', 'performance_analysis_request']) AS message_type, c_custkey AS requirement_id FROM customer")
 def w11(spark: SparkSession, sf: str) -> DataFrame:
     return runs.dispatch(tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("requirement_id")))

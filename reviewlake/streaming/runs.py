@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.aggregate import STATIC_SOURCES
 
@@ -160,6 +163,34 @@ def session_memory(messages: DataFrame) -> DataFrame:
     return rows.join(starts, "session_id").filter(F.col("n") >= F.col("start")).drop("n", "start")
 
 
+def cache_replay(accesses: DataFrame, capacity: int) -> DataFrame:
+    """Accesses (cache, ord, key) with ``hit``: what a least-recently-used cache of each name would have answered.
+
+    A hit moves its key to the end, a miss inserts it and evicts the key that was not used for
+    longest once there are more than ``capacity``. The order of one cache's accesses is the
+    operator's meaning, so each cache is replayed by one task, sorted and streamed: what a task
+    holds is one cache, never its accesses. Rows of equal ord follow each other by key.
+    """
+    schema = T.StructType([*accesses.schema.fields, T.StructField("hit", T.BooleanType())])
+    names = accesses.columns
+
+    def run(batches):
+        now, held = None, OrderedDict()
+        for batch in batches:
+            hits = []
+            for cache, key in zip(batch.column(names.index("cache")).to_pylist(), batch.column(names.index("key")).to_pylist(), strict=True):
+                if (cache,) != now:
+                    now, held = (cache,), OrderedDict()
+                hits.append(key in held)
+                held[key] = None
+                held.move_to_end(key)
+                if len(held) > capacity:
+                    held.popitem(last=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], names=[*names, "hit"])
+
+    return accesses.repartition("cache").sortWithinPartitions("cache", "ord", "key").mapInArrow(run, schema)
+
+
 def pending_state(changes: DataFrame) -> DataFrame:
     """Pending confirmation of each session after its set and clear changes (session_id, ord, op, pending)."""
     last = changes.groupBy("session_id").agg(F.max_by(F.struct("op", "pending"), "ord").alias("l"))

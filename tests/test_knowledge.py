@@ -260,3 +260,13 @@ def test_nearest_in_blocks_equals_broadcast(spark, monkeypatch):
         if size(a):
             near = sorted((round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / size(a) / size(b), 6), j) for j, b in rows if j != i and size(b))[:5]
             assert sorted((d + 0.0, j) for q, j, d in plain if q == i) == [(d + 0.0, j) for d, j in near]
+
+
+def test_cache_replay(spark):
+    """Least recently used goes first; a null cache name is a cache, a null key a key; an empty log gives none."""
+    keys = ["a", "b", "a", "c", "b", None, None, "a"]
+    df = spark.createDataFrame([(name, k, key) for name in ("x", None) for k, key in enumerate(keys)], "cache string, ord long, key string").repartition(3)
+    got = runs.cache_replay(df, 2).collect()
+    for name in ("x", None):
+        assert [r.hit for r in sorted((r for r in got if r.cache == name), key=lambda r: r.ord)] == [False, False, True, False, False, False, True, False]
+    assert runs.cache_replay(df.limit(0), 2).count() == 0
