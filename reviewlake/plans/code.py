@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, lines, toolparse
 from ..sources import tables
-from .registry import query
+from .registry import SQL, query
 
 W = f"WITH {tables.files_sql()} "
 #: White space that DuckDB's trim must name to match the lines' own.
@@ -112,7 +112,12 @@ def c14(spark: SparkSession, sf: str) -> DataFrame:
     return lines.io_operations(tables.files(spark, sf))
 
 
-@query("c15_bottlenecks")
+@query(
+    "c15_bottlenecks",
+    f"WITH parts AS (SELECT file_id, line_number, 'nested_loop' AS type, 'medium' AS severity, 6.0 AS severity_score, 0 AS part FROM ({SQL['c11_nested_loops']}) UNION ALL SELECT file_id, line_number, 'recursion', 'medium', 5.0, 1 FROM ({SQL['c12_recursive_calls']}) "
+    f"UNION ALL SELECT DISTINCT file_id, line_number, 'io_operation', 'low', 3.0, 2 FROM ({SQL['c14_io_operations']})) "
+    "SELECT file_id, line_number, type, severity, severity_score::DOUBLE AS severity_score, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY severity_score DESC, part, line_number) AS position FROM parts) WHERE position <= 10",
+)
 def c15(spark: SparkSession, sf: str) -> DataFrame:
     return lines.bottlenecks(tables.files(spark, sf))
 

@@ -319,7 +319,7 @@ def p01(spark: SparkSession, sf: str) -> DataFrame:
     return tables.files(spark, sf).select("file_id", chunking.looks_like_code(F.col("content")).alias("code"))
 
 
-@query("p02_sentences")
+@query("p02_sentences", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([。！？!?.])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''))::INTEGER AS n FROM documents")
 def p02(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "documents").select("doc_id", F.size(chunking.sentences(F.col("text"))).alias("n"))
 
@@ -405,7 +405,16 @@ def run_messages(spark: SparkSession, sf: str) -> DataFrame:
     return results.unionByName(told)
 
 
-@query("w03_run_events")
+@query(
+    "w03_run_events",
+    f"WITH {ISSUES_SQL}, m AS (SELECT 'r' || requirement_id AS run_id, ord, line % 4 AS req, line % 13 AS n, CASE WHEN source IN ('click', 'view') THEN 'static_analysis' WHEN source = 'error' THEN 'security_analysis' WHEN source = 'purchase' THEN 'performance_analysis' ELSE 'ai_analysis' END AS kind FROM issues), "
+    "f AS (SELECT run_id, req, kind, min(ord) AS o FROM m GROUP BY run_id, req, kind), "
+    "t AS (SELECT f.run_id, f.req, f.o, string_agg(g.kind, ',' ORDER BY g.kind) AS types FROM f JOIN f g ON g.run_id = f.run_id AND g.req = f.req AND g.o <= f.o GROUP BY f.run_id, f.req, f.o), "
+    "r AS (SELECT t.run_id, t.req, t.o, t.types, arg_max(m.n, m.ord) AS n FROM t JOIN m ON m.run_id = t.run_id AND m.req = t.req AND m.kind = 'static_analysis' AND m.ord <= t.o GROUP BY t.run_id, t.req, t.o, t.types), "
+    "c AS (SELECT run_id, req, arg_min(n, o) AS n FROM r WHERE types LIKE '%ai_analysis%' GROUP BY run_id, req) "
+    "SELECT run_id, 'report' AS event, CAST(req AS BIGINT) AS requirement_id, types, CAST(n AS BIGINT) AS issue_count, CAST(NULL AS BIGINT) AS expected, CAST(NULL AS BIGINT) AS completed FROM r "
+    "UNION ALL SELECT run_id, 'run_completed', NULL, NULL, CAST(sum(n) AS BIGINT), 4, 4 FROM c GROUP BY run_id HAVING count(*) = 4",
+)
 def w03(spark: SparkSession, sf: str) -> DataFrame:
     return runs.run_events_batch(run_messages(spark, sf))
 
