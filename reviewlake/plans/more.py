@@ -15,7 +15,7 @@ from ..sources.tables import ISSUES_SQL
 from ..streaming import runs
 from .code import tool_outputs
 from .issues import with_issues
-from .registry import query
+from .registry import SQL, query
 
 FILES = f"WITH {tables.files_sql()} "
 
@@ -159,15 +159,8 @@ def k16(spark: SparkSession, sf: str) -> DataFrame:
 # predicates and joins
 
 
-@query("f10_pattern_match", "SELECT count(*) AS n FROM documents, (SELECT lower(substr(trim(text), 1, 32)) AS start FROM benchmark WHERE item_id = 1) WHERE contains(lower(text), start) OR contains(lower(text), 'the and')")
+@query("f10_pattern_match", "SELECT item_id, count(*) AS n FROM documents d JOIN (SELECT item_id, lower(substr(trim(text), 1, 32)) AS start FROM benchmark) b ON (b.start <> '' AND contains(lower(d.text), b.start)) OR contains(lower(d.text), 'the and') GROUP BY item_id")
 def f10(spark: SparkSession, sf: str) -> DataFrame:
-    one = tables.table(spark, sf, "benchmark").filter("item_id = 1").select(F.col("text").alias("known"))
-    hit = secondpass.matches(F.lit("The AND"), F.col("known"), F.col("text"), F.lit("source"))
-    return tables.table(spark, sf, "documents").crossJoin(F.broadcast(one)).filter(hit).agg(F.count("*").alias("n"))
-
-
-@query("f10_all_patterns")
-def f10_all(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that match, for every benchmark row; a row without any is left out."""
     known = tables.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("known"))
     hit = secondpass.matches(F.lit("The AND"), F.col("known"), F.col("text"), F.lit("source"))
@@ -281,15 +274,9 @@ def r01(spark: SparkSession, sf: str) -> DataFrame:
 # ranking and grouping
 
 
-@query("t04_bottleneck_order", FILES + "SELECT file_id, 1 AS position, 6.0::DOUBLE AS severity_score FROM files WHERE file_id % 5 = 0")
+@query("t04_bottleneck_order", SQL["c15_bottlenecks"])
 def t04(spark: SparkSession, sf: str) -> DataFrame:
-    found = lines.bottlenecks(tables.files(spark, sf)).filter("position = 1")
-    return found.filter("file_id % 5 = 0").select("file_id", "position", "severity_score")
-
-
-@query("t04_all_bottlenecks")
-def t04_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every position of every file; SQL of the line analytics would be too slow."""
+    """Every position of every file, worst first."""
     return lines.bottlenecks(tables.files(spark, sf))
 
 
@@ -327,16 +314,8 @@ def u02(spark: SparkSession, sf: str) -> DataFrame:
     return sets.select("run_id", F.size(F.array_union("a", "b")).cast("long").alias("n"))
 
 
-@query("c31_static_scan", FILES + ", n AS (SELECT file_id, count(*) AS n FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS t FROM files) WHERE length(t) > 79 GROUP BY file_id) SELECT file_id, n AS total_issues, greatest(0.0, 10.0 - 0.5 * n)::DOUBLE AS quality_score FROM n WHERE file_id % 5 = 4")
+@query("c31_static_scan")
 def c31(spark: SparkSession, sf: str) -> DataFrame:
-    files = tables.files(spark, sf)
-    style = lines.style_check(files).filter("code = 'E501'").select("file_id", F.lit("style").alias("source"), "severity")
-    tools = toolparse.all_issues(spark.createDataFrame([], "file_id long, tool string, output string")).select("file_id", F.lit("security").alias("source"), "severity")
-    return aggregate.scan_summary(style.unionByName(tools), "file_id").filter("file_id % 5 = 4").select("file_id", "total_issues", "quality_score")
-
-
-@query("c31_whole_scan")
-def c31_whole(spark: SparkSession, sf: str) -> DataFrame:
     """All style codes of all files and the issues of all tool outputs; SQL of both would be too slow."""
     style = lines.style_check(tables.files(spark, sf)).select("file_id", F.lit("style").alias("source"), "severity")
     tools = toolparse.all_issues(tool_outputs(spark, sf)).select("file_id", F.lit("security").alias("source"), "severity")
