@@ -62,15 +62,18 @@ def test_settled_starts_leave_the_best_path(monkeypatch):
         assert len(set(got)) == 1
 
 
-def test_a_large_filter_passes_in_ranges(spark, sf, monkeypatch):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(300).cache()
-    score = lambda: {r.doc_id: r for r in languagemodel.score(docs).collect()}
+def test_a_large_filter_is_probed_in_place(spark, sf, monkeypatch):
+    """The same scores whether the filter is broadcast or its ranges answer probes, with few and with many batches."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(300).collect()]
+    rows += [(None, None), (5, ""), (5, ""), (7, "x " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).cache()
+    score = lambda: Counter(tuple(r) for r in languagemodel.score(docs).collect())
     whole = score()
     seen = []
-    passed = languagemodel._passed
-    monkeypatch.setattr(languagemodel, "_passed", lambda rows, model: seen.append(len(model.bloom.data)) or passed(rows, model))
+    probed = languagemodel.probed
+    monkeypatch.setattr(languagemodel, "probed", lambda texts, kept, opens, groups: seen.append(len(opens)) or probed(texts, kept, opens, groups))
     monkeypatch.setattr(languagemodel, "FILTER_BYTES", 1 << 15)
-    assert score() == whole and len(seen) > 1
+    assert score() == whole and min(seen) > 1
 
 
 def test_short_texts_keep_their_likeness(spark):
