@@ -306,3 +306,10 @@ def test_ties_and_early_results_of_calls(spark):
     assert not two["call"].linked and two["call"].valid and two["result"].errors == "before its call" and two["result"].step is None
     three = sorted((x.kind, x.turn, x.linked, x.errors) for x in got if x.conv_id == 3)
     assert three == [("call", 2, True, ""), ("result", 1, False, "before its call"), ("result", 4, False, "repeated result"), ("result", 4, True, "")]
+
+
+def test_training_sample_is_bounded_in_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "w" * 1000) for k in range(200)] + [(200, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(201)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 50_000)
+    assert 50 <= len(toxicity.sample(docs, labels)) <= 51
