@@ -28,7 +28,8 @@ def text_evidence(issues: DataFrame, patterns: DataFrame, k: int = TOP_K, most_p
     """``(issue_ord, id, error_type, severity, solution)``: the first ``k`` patterns by id that match each issue.
 
     The rule reads the first ``most_patterns`` active patterns, a fixed number, as one broadcast array:
-    each issue filters it in place, so no pairs are made. Both sides are lower-cased once.
+    each distinct issue text filters it in place, so no pairs are made, and its issues take the hits.
+    Both sides are lower-cased once.
     """
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     active = patterns.filter("status = 'active'").orderBy("id").limit(most_patterns)
@@ -36,7 +37,8 @@ def text_evidence(issues: DataFrame, patterns: DataFrame, k: int = TOP_K, most_p
     listed = active.agg(F.array_sort(F.collect_list(known)).alias("known"))
     texts = issues.select(F.col("ord").alias("issue_ord"), low("description").alias("__text"), low("source").alias("__source"))
     hits = F.filter("known", lambda p: _inside(p["kind"], p["start"], F.col("__text"), F.col("__source")))
-    found = texts.crossJoin(F.broadcast(listed)).select("issue_ord", F.posexplode(F.slice(hits, 1, k)).alias("hit_ord", "h"))
+    once = texts.select("__text", "__source").distinct().crossJoin(F.broadcast(listed)).select("__text", "__source", F.slice(hits, 1, k).alias("hits"))
+    found = texts.join(once.filter(F.size("hits") > 0), ["__text", "__source"]).select("issue_ord", F.posexplode("hits").alias("hit_ord", "h"))
     return found.select("issue_ord", "hit_ord", "h.id", "h.error_type", "h.severity", "h.solution")
 
 
