@@ -312,4 +312,4 @@ def test_training_sample_is_bounded_in_characters(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "w" * 1000) for k in range(200)] + [(200, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(201)], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 50_000)
-    assert 50 <= len(toxicity.sample(docs, labels)) <= 51
+    assert 50 <= toxicity.sample(docs, labels).count() <= 51
