@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, languagemodel, licenses, secrets, simhash, sketches, toxicity
+from . import bpe, chat, decontaminate, fim, html, languagemodel, licenses, secrets, simhash, sketches, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
@@ -60,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.SCAN_SQL, "op6_chat": chat.LINK_SQL, "op9_secrets": secrets.scan_sql()}
+    return {"op3_decontamination": decontaminate.SCAN_SQL, "op6_chat": chat.LINK_SQL, "op9_secrets": secrets.scan_sql(), "op13_fill_in_middle": fim.DIGESTS_SQL}
