@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +29,12 @@ from .common import arrow_schema, spread, texts_of
 CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20
 
 
+#: Longest run of signs without white space whose ids are remembered as one.
+CHUNK = 64
+#: White space to Python's split, not to the vocabulary's pattern.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -41,6 +48,25 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Chunks(dict):
+    """Packed ids of runs without white space, made when first asked for; forgets all when full."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.size = encoder, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        coder = self.encoder
+        ids = b"".join([(coder._words.get(w) or coder.word(w))[0] for w in coder.pieces.findall(chunk)])
+        if len(chunk) <= CHUNK:
+            if self.size > CACHE_BYTES or len(self) >= CACHE_WORDS:
+                self.clear()
+                self.size = 0
+            self.size += len(chunk) + len(ids)
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Encoder and decoder for a byte-level BPE file with word ends, as the tokenizers library reads it."""
 
@@ -73,6 +99,7 @@ class Encoder:
         self._words: dict[str, tuple[bytes, bytes]] = {}
         self._fragments: dict[tuple[bytes, bool], tuple[bytes, bytes]] = {}
         self._size = 0
+        self._chunks = Chunks(self)
 
     def normalise(self, text: str) -> str:
         if text.isascii():
@@ -135,6 +162,17 @@ class Encoder:
                 decoded.append(b)
         return b"".join(ids), b" ".join(decoded)
 
+    def ids(self, text: str) -> bytes:
+        """Packed ids alone, as ``encode`` gives them: runs between white space are looked up whole, since no token crosses it."""
+        found: list[bytes] = []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            if k % 2:
+                found.append(self.added[part].to_bytes(4, "little"))
+                continue
+            plain = self.normalise(part)
+            found += map(self._chunks.__getitem__, self.pieces.findall(plain) if _SEPARATORS.search(plain) else plain.split())
+        return b"".join(found)
+
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by spaces, special tokens kept; ids that name no token are skipped."""
         return " ".join(self.tokens[i] for i in ids.tolist() if i in self.tokens)
