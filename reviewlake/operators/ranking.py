@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import rules
 from ..functions.vectors import cosine_distance
@@ -72,80 +69,6 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
-#: Queries of one block of the exact search: so many are broadcast, more are joined block by block.
-QUERY_BLOCK = 4096
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "sqlite_id", exclude_self: bool = False) -> DataFrame:
-    """``(query_id, vector_id, distance)``: the ``k`` nearest by cosine distance (six digits), ties by id.
-
-    A query set of one block, counted first, is broadcast: each task multiplies its vectors with
-    it. A larger one stays on the executors: its blocks meet the packed batches of vectors in an
-    equi-join on the block's number. Either way k candidates for each query and batch are kept, so
-    pairs are never listed, and the candidates meet in one window. Zero vectors have no distance.
-    """
-    schema = T.StructType([T.StructField(query_id, T.LongType()), T.StructField(vector_id, T.LongType()), T.StructField("distance", T.DoubleType())])
-    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col("vector").cast("array<double>"))
-    others = vectors.select(F.col(vector_id).cast("long").alias("id"), F.col("vector").cast("array<double>"))
-    total = asked.count()
-    if total <= QUERY_BLOCK:
-        rows = asked.collect()
-        block = (np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0))
-        found = others.mapInArrow(_scan(queries.sparkSession.sparkContext.broadcast(block), k, exclude_self, schema), schema)
-        return first_per(found, [query_id], ["distance", vector_id], k)
-    blocks = -(-total // QUERY_BLOCK)
-    dealt = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("rows"))
-    packed = others.mapInArrow(_pack, "other_ids array<bigint>, other_rows array<double>").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = packed.join(dealt, "block").select("ids", "rows", "other_ids", "other_rows").mapInArrow(_multiply(k, exclude_self, schema), schema)
-    return first_per(found, [query_id], ["distance", vector_id], k)
-
-
-def _pack(batches):
-    """One row for each batch of vectors: ids, and the vectors end to end."""
-    for batch in batches:
-        if batch.num_rows:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([[x for r in rows for x in r]], pa.list_(pa.float64()))], names=["other_ids", "other_rows"])
-
-
-def _best(ids: np.ndarray, matrix: np.ndarray, others: np.ndarray, m: np.ndarray, k: int, exclude_self: bool, schema: T.StructType) -> pa.RecordBatch:
-    """The k nearest of ``others`` for each query, ties by id."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        d = 1.0 - (matrix @ m.T) / (np.linalg.norm(matrix, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :])
-    d = np.round(d, 6)
-    d[np.isnan(d)] = np.inf
-    if exclude_self:
-        d[ids[:, None] == others[None, :]] = np.inf
-    least = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(ids), 1), np.inf)
-    rows, cols = np.nonzero((d <= least) & (d < np.inf))
-    order = np.lexsort((others[cols], d[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows)  # where each query's candidates begin
-    keep = np.arange(len(rows)) - first < k
-    rows, cols = rows[keep], cols[keep]
-    return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(others[cols]), pa.array(d[rows, cols])], names=schema.names)
-
-
-def _scan(shared, k: int, exclude_self: bool, schema: T.StructType):
-    def run(batches):
-        ids, matrix = shared.value
-        for batch in batches:
-            if batch.num_rows and len(ids):
-                yield _best(ids, matrix, batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype=np.float64), k, exclude_self, schema)
-
-    return run
-
-
-def _multiply(k: int, exclude_self: bool, schema: T.StructType):
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, rows, other_ids, other_rows = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(4))
-                yield _best(ids, rows.reshape(len(ids), -1), other_ids, other_rows.reshape(len(other_ids), -1), k, exclude_self, schema)
-
-    return run
-
-
 def exact_distance(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     """Cosine distance of two tables' vectors that share a key."""
     return a.select(on, F.col("vector").alias("a")).join(b.select(on, F.col("vector").alias("b")), on).select(on, F.round(cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))

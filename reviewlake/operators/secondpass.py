@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import embed, similarity
 from .dedupe import dedupe_issues
-from .ranking import first_per, nearest
+from .ranking import first_per
+from .search import nearest
 
 TOP_K, THRESHOLD, GAP, MOST_FINDINGS, MOST_PATTERNS = 5, 0.78, 0.06, 5, 200
 

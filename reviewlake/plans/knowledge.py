@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, vectors
-from ..operators import chunking, dedupe, ingest, ranking, reports, secondpass, store, tasks
+from ..operators import chunking, dedupe, ingest, ranking, reports, search, secondpass, store, tasks
 from ..sources import tables
 from ..sources.tables import ISSUES_SQL, PATTERNS_SQL
 from ..streaming import runs
@@ -19,14 +19,14 @@ _E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddin
 @query("t06_knn", f"WITH {_E} SELECT query_id, sqlite_id, distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS sqlite_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rn FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE rn <= 10")
 def t06(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.vectors(spark, sf)
-    return ranking.nearest(rows.filter("sqlite_id % 20 = 0").withColumnRenamed("sqlite_id", "query_id"), rows, 10, exclude_self=True)
+    return search.nearest(rows.filter("sqlite_id % 20 = 0").withColumnRenamed("sqlite_id", "query_id"), rows, 10, exclude_self=True)
 
 
 @query("j02_similar_patterns", f"WITH {_E} SELECT query_id, sqlite_id, 1 - distance / 2 AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id AS sqlite_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rn FROM e q JOIN e ON e.label = 0 WHERE q.vec_id % 20 = 0 AND q.label <> 0) WHERE rn <= 5")
 def j02(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.vectors(spark, sf)
     queries = rows.filter("sqlite_id % 20 = 0 and vector_layer != 'layer0'").withColumnRenamed("sqlite_id", "query_id")
-    return ranking.nearest(queries, rows.filter("vector_layer = 'layer0'"), 5).select("query_id", "sqlite_id", vectors.similarity(F.col("distance")).alias("similarity"))
+    return search.nearest(queries, rows.filter("vector_layer = 'layer0'"), 5).select("query_id", "sqlite_id", vectors.similarity(F.col("distance")).alias("similarity"))
 
 
 @query("j03_hit_rows", f"WITH {PATTERNS_SQL} SELECT vec_id AS sqlite_id, title, solution FROM embeddings JOIN patterns ON vec_id = id")
@@ -84,7 +84,7 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
 def d10(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.vectors(spark, sf)
     queries = rows.filter("sqlite_id % 20 = 0 and vector_layer != 'layer1'").withColumnRenamed("sqlite_id", "query_id")
-    top = ranking.nearest(queries, rows.filter("vector_layer = 'layer1'"), 1)
+    top = search.nearest(queries, rows.filter("vector_layer = 'layer1'"), 1)
     return top.select(F.col("query_id").alias("vec_id"), F.when(vectors.similarity(F.col("distance")) >= 0.85, "update").otherwise("insert").alias("action"))
 
 

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from reviewlake.functions import repair, rules, text, vectors
-from reviewlake.operators import dedupe, ingest, ranking, secondpass, tasks
+from reviewlake.operators import dedupe, ingest, ranking, search, secondpass, tasks
 from reviewlake.sources import files as file_sources
 from reviewlake.streaming import runs
 
@@ -126,9 +126,9 @@ def test_nearest_equals_the_plain_expression(spark, sf):
     pairs = q.withColumnRenamed("vector", "a").crossJoin(rows).select("query_id", "sqlite_id", F.round(vectors.cosine_distance(F.col("a"), F.col("vector")), 6).alias("d"))
     want = ranking.first_per(pairs, ["query_id"], ["d", "sqlite_id"], 4)
     key = lambda rows: sorted((r.query_id, r.sqlite_id) for r in rows)
-    assert key(ranking.nearest(q, rows, 4).collect()) == key(want.collect())
+    assert key(search.nearest(q, rows, 4).collect()) == key(want.collect())
     zero = spark.createDataFrame([(1, [0.0, 0.0])], "sqlite_id long, vector array<double>")
-    assert ranking.nearest(zero.withColumnRenamed("sqlite_id", "query_id"), zero, 3).count() == 0
+    assert search.nearest(zero.withColumnRenamed("sqlite_id", "query_id"), zero, 3).count() == 0
 
 
 def test_severity_and_text_rules(spark):
@@ -245,23 +245,6 @@ def test_readers_look_at_the_first_files_and_try_gbk(spark, tmp_path):
     assert {r.folder[-1] for r in file_sources.quality_files(long).collect()} == {"a", "b"}
 
 
-def test_nearest_in_blocks_equals_broadcast(spark, monkeypatch):
-    """Ties, zero vectors, empty sides; a query set beyond one block is joined on the executors."""
-    r = random.Random(7)
-    rows = [(k, [float(r.randint(-2, 2)) for _ in range(4)]) for k in range(700)]
-    vectors = spark.createDataFrame(rows, "sqlite_id long, vector array<double>").repartition(5)
-    queries = vectors.filter("sqlite_id % 4 = 0").withColumnRenamed("sqlite_id", "query_id")
-    plain = {tuple(x) for x in ranking.nearest(queries, vectors, 5, exclude_self=True).collect()}
-    monkeypatch.setattr(ranking, "QUERY_BLOCK", 30)
-    assert {tuple(x) for x in ranking.nearest(queries, vectors, 5, exclude_self=True).collect()} == plain
-    assert ranking.nearest(queries, vectors.limit(0), 5).count() == 0 and ranking.nearest(queries.limit(0), vectors, 5).count() == 0
-    size = lambda v: sum(x * x for x in v) ** 0.5
-    for i, a in rows[::4][:40]:
-        if size(a):
-            near = sorted((round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / size(a) / size(b), 6), j) for j, b in rows if j != i and size(b))[:5]
-            assert sorted((d + 0.0, j) for q, j, d in plain if q == i) == [(d + 0.0, j) for d, j in near]
-
-
 def test_cache_replay(spark):
     """Least recently used goes first; a null cache name is a cache, a null key a key; an empty log gives none."""
     keys = ["a", "b", "a", "c", "b", None, None, "a"]
