@@ -6,41 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import embed, similarity
+from .aggregate import numbered
 from .dedupe import dedupe_issues
+from .evidence import occurring, pattern_counts
 from .ranking import first_per
 from .search import nearest
 
 TOP_K, THRESHOLD, GAP, MOST_FINDINGS, MOST_PATTERNS = 5, 0.78, 0.06, 5, 200
 
 
+def _low(c: Column | str) -> Column:
+    return F.lower(F.trim(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))))
+
+
 def matches(error_type: Column, pattern_text: Column, description: Column, source: Column) -> Column:
     """The pattern's type or the first 32 characters of its text in the description, or its type in the source."""
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return _inside(low(error_type), F.substring(low(pattern_text), 1, 32), low(description), low(source))
+    kind, start, whole = _low(error_type), F.substring(_low(pattern_text), 1, 32), _low(description)
+    held = lambda piece, text: (piece != "") & F.contains(text, piece)
+    return held(kind, whole) | held(start, whole) | held(kind, _low(source))
 
 
-def _inside(kind: Column, start: Column, description: Column, source: Column) -> Column:
-    """The rule on prepared, lower-case pieces."""
-    held = lambda piece, whole: (piece != "") & F.contains(whole, piece)
-    return held(kind, description) | held(start, description) | held(kind, source)
+def _pieces(patterns: DataFrame) -> DataFrame:
+    """``(id, kind, start)``: what the rule seeks for each pattern."""
+    return patterns.select("id", _low("error_type").alias("kind"), F.substring(_low("error_description"), 1, 32).alias("start"))
 
 
-def text_evidence(issues: DataFrame, patterns: DataFrame, k: int = TOP_K, most_patterns: int = MOST_PATTERNS) -> DataFrame:
-    """``(issue_ord, id, error_type, severity, solution)``: the first ``k`` patterns by id that match each issue.
+def text_evidence(issues: DataFrame, patterns: DataFrame, k: int = TOP_K, most_patterns: int | None = MOST_PATTERNS) -> DataFrame:
+    """``(issue_ord, hit_ord, id, error_type, severity, solution)``: the first ``k`` patterns by id that match each issue.
 
-    The rule reads the first ``most_patterns`` active patterns, a fixed number, as one broadcast array:
-    each distinct issue text filters it in place, so no pairs are made, and its issues take the hits.
-    Both sides are lower-cased once.
+    The rule reads the first ``most_patterns`` active patterns (None: all). Their types and the
+    starts of their texts are sought at once, in one pass over the issues' texts and one over
+    their sources; ``ord`` and ``id`` name one row each.
     """
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    active = patterns.filter("status = 'active'").orderBy("id").limit(most_patterns)
-    known = F.struct("id", low("error_type").alias("kind"), F.substring(low("error_description"), 1, 32).alias("start"), "error_type", "severity", "solution")
-    listed = active.agg(F.array_sort(F.collect_list(known)).alias("known"))
-    texts = issues.select(F.col("ord").alias("issue_ord"), low("description").alias("__text"), low("source").alias("__source"))
-    hits = F.filter("known", lambda p: _inside(p["kind"], p["start"], F.col("__text"), F.col("__source")))
-    once = texts.select("__text", "__source").distinct().crossJoin(F.broadcast(listed)).select("__text", "__source", F.slice(hits, 1, k).alias("hits"))
-    found = texts.join(once.filter(F.size("hits") > 0), ["__text", "__source"]).select("issue_ord", F.posexplode("hits").alias("hit_ord", "h"))
-    return found.select("issue_ord", "hit_ord", "h.id", "h.error_type", "h.severity", "h.solution")
+    active = patterns.filter("status = 'active'")
+    active = active if most_patterns is None else active.orderBy("id").limit(most_patterns)
+    pieces = _pieces(active)
+    kinds = pieces.select(F.col("kind").alias("needle"), "id")
+    rows = issues.select(F.col("ord").alias("text_id"), _low("description").alias("text"), _low("source").alias("source"))
+    hits = occurring(rows.select("text_id", "text"), kinds.unionByName(pieces.select(F.col("start").alias("needle"), "id")), k)
+    hits = hits.unionByName(occurring(rows.select("text_id", F.col("source").alias("text")), kinds, k)).distinct()
+    first = numbered(hits, ["text_id"], ["id"], "rn").filter(F.col("rn") <= k)
+    return first.join(active.select("id", "error_type", "severity", "solution"), "id").select(F.col("text_id").alias("issue_ord"), (F.col("rn") - 1).alias("hit_ord"), "id", "error_type", "severity", "solution")
+
+
+def match_counts(patterns: DataFrame, issues: DataFrame) -> DataFrame:
+    """``(id, n)``: how many issues (ord, description, source) match each pattern that any does."""
+    rows = issues.select(F.col("ord").alias("text_id"), _low("description").alias("text"), _low("source").alias("source"))
+    return pattern_counts(_pieces(patterns), rows)
 
 
 def vector_evidence(issues: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -162,9 +162,9 @@ def k16(spark: SparkSession, sf: str) -> DataFrame:
 @query("f10_pattern_match", "SELECT item_id, count(*) AS n FROM documents d JOIN (SELECT item_id, lower(substr(trim(text), 1, 32)) AS start FROM benchmark) b ON (b.start <> '' AND contains(lower(d.text), b.start)) OR contains(lower(d.text), 'the and') GROUP BY item_id")
 def f10(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that match, for every benchmark row; a row without any is left out."""
-    known = tables.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("known"))
-    hit = secondpass.matches(F.lit("The AND"), F.col("known"), F.col("text"), F.lit("source"))
-    return tables.table(spark, sf, "documents").join(known, hit).groupBy("item_id").agg(F.count("*").alias("n"))
+    known = tables.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.when(F.col("text").isNotNull(), "The AND").alias("error_type"), F.col("text").alias("error_description"))
+    issues = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("description"), F.lit("source").alias("source"))
+    return secondpass.match_counts(known, issues).withColumnRenamed("id", "item_id")
 
 
 _REPORTS = ('{"run_id": "r", "requirement_id": 1, "issues": [], "analysis_types": []}', '{"run_id": "r", "issues": {}}', "no json", "[1]")
