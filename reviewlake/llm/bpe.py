@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -29,10 +29,8 @@ from .common import arrow_schema, spread, texts_of
 CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20
 
 
-#: Longest run of signs without white space whose ids are remembered as one.
-CHUNK = 64
-#: White space to Python's split, not to the vocabulary's pattern.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Stands for the end of a word where words are encoded by ranks; white space, so no word holds it.
+WORD_END = "\n"
 
 
 def default_path() -> str:
@@ -48,25 +46,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class Chunks(dict):
-    """Packed ids of runs without white space, made when first asked for; forgets all when full."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder, self.size = encoder, 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        coder = self.encoder
-        ids = b"".join([(coder._words.get(w) or coder.word(w))[0] for w in coder.pieces.findall(chunk)])
-        if len(chunk) <= CHUNK:
-            if self.size > CACHE_BYTES or len(self) >= CACHE_WORDS:
-                self.clear()
-                self.size = 0
-            self.size += len(chunk) + len(ids)
-            self[chunk] = ids
-        return ids
-
-
 class Encoder:
     """Encoder and decoder for a byte-level BPE file with word ends, as the tokenizers library reads it."""
 
@@ -84,10 +63,10 @@ class Encoder:
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pieces.replace(r"\s", r"\p{White_Space}"))
         self.symbols = byte_symbols()
-        #: The library's merging of a fragment that ends a word, and of one that does not.
-        self.last = Tokenizer.from_file(path).model
+        self.path = path
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.inner = BPE(vocab=self.vocab, merges=merges)
+        #: Ids that the merges make, in their order.
+        self._made = [self.vocab.get(a + b, -1) for a, b in merges]
         inside = {(a, b) for t in self.vocab for s in [t.removesuffix(self.end)] for a, b in zip(s, s[1:], strict=False)}
         back = {c: b for b, c in enumerate(self.symbols)}
         #: joined[a, b]: some token holds byte a right before byte b.
@@ -99,7 +78,6 @@ class Encoder:
         self._words: dict[str, tuple[bytes, bytes]] = {}
         self._fragments: dict[tuple[bytes, bool], tuple[bytes, bytes]] = {}
         self._size = 0
-        self._chunks = Chunks(self)
 
     def normalise(self, text: str) -> str:
         if text.isascii():
@@ -162,15 +140,42 @@ class Encoder:
                 decoded.append(b)
         return b"".join(ids), b" ".join(decoded)
 
+    @cached_property
+    def last(self) -> BPE:
+        """The library's merging of a fragment that ends a word."""
+        return Tokenizer.from_file(self.path).model
+
+    @cached_property
+    def inner(self) -> BPE:
+        """Its merging of a fragment that does not."""
+        with open(self.path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        return BPE(vocab=self.vocab, merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges])
+
+    @cached_property
+    def ranks(self) -> tiktoken.Encoding | None:
+        """An encoder of words, each closed by ``WORD_END``, with the same ids; none where they do not follow the order of merges."""
+        made = self._made
+        back = {c: b for b, c in enumerate(self.symbols)}
+        plain = {t: i for t, i in self.vocab.items() if t not in self.added}
+        named = {bytes(back[c] for c in t.removesuffix(self.end)) + WORD_END.encode() * t.endswith(self.end): i for t, i in plain.items()} if self.end else {}
+        singles = [i for t, i in plain.items() if len(t.removesuffix(self.end)) == 1]
+        if len(named) < len(plain) or len(singles) != 512 or max(singles) > min(made) or made != sorted(made):
+            return None
+        return tiktoken.Encoding("words", pat_str=rf"[^{WORD_END}]+{WORD_END}", mergeable_ranks=named, special_tokens={})
+
     def ids(self, text: str) -> bytes:
-        """Packed ids alone, as ``encode`` gives them: runs between white space are looked up whole, since no token crosses it."""
+        """Packed ids alone, as ``encode`` gives them."""
         found: list[bytes] = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 found.append(self.added[part].to_bytes(4, "little"))
                 continue
-            plain = self.normalise(part)
-            found += map(self._chunks.__getitem__, self.pieces.findall(plain) if _SEPARATORS.search(plain) else plain.split())
+            words = self.pieces.findall(self.normalise(part))
+            if self.ranks is None:
+                found += [(self._words.get(w) or self.word(w))[0] for w in words]
+            elif words:
+                found.append(np.array(self.ranks.encode_ordinary(WORD_END.join(words) + WORD_END), dtype="<u4").tobytes())
         return b"".join(found)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import default_path, encoder
-from .common import arrow_schema, settle, spread, texts_of
+from .common import arrow_schema, settle, spread
 
 CAPACITY = 2048
 #: Closes each document.
@@ -68,8 +68,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         coder = encoder(path)
         for batch in batches:
             doc_ids, rows, packed, size = [], [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids = coder.ids(text) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = coder.ids(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     doc_ids.append(doc_id)
