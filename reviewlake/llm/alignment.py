@@ -21,6 +21,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -32,8 +33,8 @@ from tokenizers import Tokenizer
 from .bpe import byte_symbols
 from .common import arrow_schema, settle, spread, texts_of, utf8
 
-#: Characters of text that are aligned at once, and whose pairs are counted together; what a text weighs beside its own.
-CHUNK, BLOCK, EACH = 1 << 20, 16 << 20, 16
+#: Bytes of text that are aligned at once, and whose pairs are counted together; what a text weighs beside its own.
+CHUNK, BLOCK, EACH = 1 << 18, 4 << 20, 16
 #: Pairs of a row in a block's table; salts of the first summing stage.
 ROW_PAIRS, SALTS = 1 << 16, 16
 #: What splits a text before the merges of a byte-level vocabulary; fixed value.
@@ -200,18 +201,18 @@ def blocks(docs: DataFrame, paths: tuple[str, str] | None = None, with_groups: b
         held: tuple[list, ...] = ([], [], [], [], [])
         size = 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            weights = (pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) + EACH).tolist()
             at = 0
-            while at < len(texts):
+            while at < len(weights):
                 end, chunk = at, 0
-                while end < len(texts) and (end == at or chunk + len(texts[end]) + EACH <= CHUNK):
-                    chunk += len(texts[end]) + EACH
+                while end < len(weights) and (end == at or chunk + weights[end] <= CHUNK):
+                    chunk += weights[end]
                     end += 1
                 if size and size + chunk > BLOCK:
                     yield from table(block, *held)
                     block, held, size = block + 1, ([], [], [], [], []), 0
-                counts, groups, pairs = aligned(coder, texts[at:end])
-                held[0].extend(doc_ids[at:end])
+                counts, groups, pairs = aligned(coder, texts_of(batch.column(1).slice(at, end - at)))
+                held[0].extend(batch.column(0).slice(at, end - at).to_pylist())
                 held[1].append(counts)
                 held[2].extend(hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups)
                 held[3].extend(groups if with_groups else [])
