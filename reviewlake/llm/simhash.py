@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, map_batches, settle, spread, texts_of, utf8
+from .common import batch_of, fresh, map_batches, settle, spread, texts_of, utf8
 from .components import connected_components
 
 RADIUS = 3
@@ -164,17 +164,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Keep one row of each component: that of its smallest doc_id, with all columns.
 
     Rows that repeat that id are reduced to the first by text; rows without an id are kept,
-    because nothing names them.
+    because nothing names them. Null and empty texts are near copies of each other. Other columns
+    may have any names; an empty table gives an empty one.
     """
-    gone = classes(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("__rl_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__rl_gone"), "left_anti")
-    ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__rl_twice")).count().filter("count > 1").select("__rl_twice")
+    gone, twice, row = (fresh(name, docs.columns) for name in ("gone", "twice", "row"))
+    others = classes(docs).filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(others, F.col("doc_id") == F.col(gone), "left_anti")
+    ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias(twice)).agg(F.count("*").alias(row)).filter(F.col(row) > 1).select(twice)
     ids = settle(ids)
     if ids.isEmpty():
         return kept
-    columns = docs.columns
-    single = kept.join(ids, F.col("doc_id") == F.col("__rl_twice"), "left_anti")
-    first = kept.join(ids, F.col("doc_id") == F.col("__rl_twice"), "left_semi")
-    rest = [c for c in columns if c != "doc_id"]
-    picked = first.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("text")).alias("__rl_row"))
-    return single.unionByName(picked.select("doc_id", *[F.col("__rl_row")[c].alias(c) for c in rest]).select(*columns))
+    single = kept.join(ids, F.col("doc_id") == F.col(twice), "left_anti")
+    first = kept.join(ids, F.col("doc_id") == F.col(twice), "left_semi")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    picked = first.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("text")).alias(row))
+    return single.unionByName(picked.select("doc_id", *[F.col(row)[c].alias(c) for c in rest]).select(*docs.columns))
