@@ -27,14 +27,17 @@ WINDOW = 20
 #: Signs that a candidate may hold.
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Bits per character that some window must reach, by class.
-HEX_BITS, MIXED_BITS = 3.0, 3.7
-#: Shapes that are no secrets: UUIDs, plain words joined by marks, marked examples.
+#: Bits per character that some window must reach, by class: hexadecimal, letters and digits, letters alone.
+HEX_BITS, MIXED_BITS, LETTER_BITS = 3.0, 3.7, 3.9
+#: Shapes that are no secrets: UUIDs, marked examples.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[A-Za-z][A-Za-z_/=-]*[0-9]{1,4}$",
     r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]",
 )
+#: Nor are plain words joined by marks: each part is words in lower, upper or camel case of at most
+#: sixteen letters, with a number of at most four digits behind them, or one letter, or such a number.
+MARKS = "[+/_=-]+"
+PLAIN = r"^([A-Z]?[a-z]{2,15}([A-Z][a-z]{2,15}){0,7}[0-9]{0,4}|[A-Z]{1,16}[0-9]{0,4}|[a-z]?[0-9]{0,4})$"
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint>>"
 #: Items that one pass over an array appends one by one; longer arrays are cut into blocks, so that time stays linear.
 BLOCK = 128
@@ -105,12 +108,12 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 
 def _secretive(candidate: Column) -> Column:
-    threshold = F.when(candidate.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).otherwise(MIXED_BITS)
-    mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
-    allowed = candidate.rlike(ALLOW[0])
-    for shape in ALLOW[1:]:
+    digits = candidate.rlike("[0-9]")
+    threshold = F.when(candidate.rlike("^[0-9A-Fa-f]+$") & digits, HEX_BITS).when(digits, MIXED_BITS).otherwise(LETTER_BITS)
+    allowed = ~F.exists(F.split(candidate, MARKS), lambda part: ~part.rlike(PLAIN))
+    for shape in ALLOW:
         allowed = allowed | candidate.rlike(shape)
-    return F.when(mixed & ~allowed, window_entropy(candidate) >= threshold).otherwise(False)
+    return F.when(candidate.rlike("[A-Za-z]") & ~allowed, window_entropy(candidate) >= threshold).otherwise(False)
 
 
 def _text_of(spans: Column) -> Column:
@@ -199,13 +202,17 @@ def _quoted(pattern: str) -> str:
 
 
 def scan_sql() -> str:
-    entropy = f"list_max(list_transform(range(1, length(x.m) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(x.m, i, {WINDOW}), ''), 'entropy')))"
-    allowed = " OR ".join(f"regexp_matches(x.m, {_quoted(a)})" for a in ALLOW)
+    """The contract's patterns and the method's rules as literals of their own, so that a wrong constant above shows."""
+    assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    entropy = "list_max(list_transform(range(1, length(x.m) - 18), lambda i: list_aggregate(string_split(substr(x.m, i, 20), ''), 'entropy')))"
+    plain = "^([A-Z]?[a-z]{2,15}([A-Z][a-z]{2,15}){0,7}[0-9]{0,4}|[A-Z]{1,16}[0-9]{0,4}|[a-z]?[0-9]{0,4})$"
+    uuid = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+    allowed = f"regexp_matches(x.m, '{uuid}') OR regexp_matches(x.m, '(?i)example') OR len(list_filter(regexp_split_to_array(x.m, '[+/_=-]+'), lambda y: NOT regexp_matches(y, '{plain}'))) = 0"
     keeps = [
-        (ASSIGN, f"length(regexp_extract(x.m, {_quoted(ASSIGN)}, 2)) >= {LEAST_ASSIGN}"),
-        (ACCESS, f"length(x.m) >= {LEAST_ACCESS}"),
-        (HEX, f"length(x.m) >= {LEAST_HEX}"),
-        (CANDIDATE, f"CASE WHEN regexp_matches(x.m, '[0-9]') AND regexp_matches(x.m, '[A-Za-z]') AND NOT ({allowed}) THEN {entropy} >= CASE WHEN regexp_matches(x.m, '^[0-9A-Fa-f]+$') THEN {HEX_BITS} ELSE {MIXED_BITS} END ELSE false END"),
+        (assign, f"length(regexp_extract(x.m, {_quoted(assign)}, 2)) >= 6"),
+        ("AKIA[A-Z0-9]+", "length(x.m) >= 20"),
+        ("[0-9a-f]+", "length(x.m) >= 24"),
+        ("[A-Za-z0-9+/_=-]{20,}", f"CASE WHEN regexp_matches(x.m, '[A-Za-z]') AND NOT ({allowed}) THEN {entropy} >= CASE WHEN NOT regexp_matches(x.m, '[0-9]') THEN 3.9 WHEN regexp_matches(x.m, '^[0-9A-Fa-f]+$') THEN 3.0 ELSE 3.7 END ELSE false END"),
     ]
     ctes = [f"k{k} AS ({_SQL_SPANS.format(pattern=_quoted(p), keep=keep, rank=k)})" for k, (p, keep) in enumerate(keeps)]
     join = " ".join(f"LEFT JOIN k{k} ON texts.doc_id = k{k}.doc_id" for k in range(4))
