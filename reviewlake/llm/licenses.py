@@ -23,8 +23,21 @@ from .common import arrow_schema, spread, texts_of
 COVERAGE = 0.8
 #: A region of a text ends where more than this share of the template's length, and SLACK words at least, hold no template word.
 GAP, SLACK = 0.25, 6
+#: Aligned words a word of the way that a copy must hold at its ends.
+SPARSE = 1 / 8
 
 # Public license notices.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -46,11 +59,9 @@ granted, provided that the above copyright notice and this permission notice app
 MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
 DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
 OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
-of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
-this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution.""",
+    "BSD-2-Clause": f"{_BSD} {_BSD_DISCLAIMER}",
+    "BSD-3-Clause": f"""{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
@@ -61,6 +72,27 @@ General Public License as published by the Free Software Foundation, either vers
 any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
 the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring
+rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have
+received a copy of the CC0 Public Domain Dedication along with this software. If not, see
+<http://creativecommons.org/publicdomain/zero/1.0/>.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
 _WORD = re.compile(r"\w+")
@@ -157,11 +189,13 @@ class Scanner:
         A window of two template lengths moves on by half a length, or to the end of the copy that it
         found, so every copy of up to one and a half lengths lies whole in a window. A window whose
         words, in any order, do not reach ``least`` words of the template cannot be covered and is
-        passed over. Where no window is covered the stretch is aligned whole.
+        passed over. What lies between the copies found so is aligned whole, however long: first
+        what reaches coverage there over a longer way, then, in the same manner, what is left of it.
         """
         width, step = 2 * len(template), max(1, len(template) // 2)
         here: Counter = Counter()
-        common, a, b, lo, none = 0, start, start, start, True
+        common, a, b, lo, rest = 0, start, start, start, start
+        left: list[tuple[int, int]] = []
         while lo < end:
             hi = min(end, lo + width)
             for w in words[b:hi]:
@@ -175,15 +209,22 @@ class Scanner:
             a, b = lo, max(b, hi)
             found = self._copy(words, lo, hi, end, template, least) if common >= least else None
             if found:
-                none = False
                 yield found
-                lo = found[2]
+                left.append((rest, found[1]))
+                lo = rest = found[2]
             elif hi == end:
                 break
             else:
                 lo = min(lo + step, end - width)
-        if none and end - start > width and (pairs := align(words[start:end], template)) and len(pairs) >= least:
-            yield len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1
+        left.append((rest, end))
+        while left:
+            lo, hi = left.pop()
+            if hi - lo < least or (lo, hi) == (start, end) and hi - lo <= width:
+                continue
+            here = Counter(w for w in words[lo:hi] if w in counts)
+            if sum(min(n, counts[w]) for w, n in here.items()) >= least and (found := self._copy(words, lo, hi, hi, template, least)):
+                yield found
+                left += [(lo, found[1]), (found[2], hi)]
 
     def _copy(self, words: list[str], lo: int, hi: int, end: int, template: list[str], least: float) -> tuple[int, int, int] | None:
         """The first copy in a window, from its first to its last aligned word, or none."""
@@ -211,8 +252,26 @@ class Scanner:
                 pairs, low = found, max(middle, found[0][0])
             else:
                 high = middle - 1
+        pairs = self._dense(pairs, least)
         return len(pairs), pairs[0][0], pairs[-1][0] + 1
 
+    @staticmethod
+    def _dense(pairs: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+        """The run of aligned words that is worth most: one for each, less ``SPARSE`` for each word of the way between two.
+
+        So a copy ends where it ends, and does not gather its missing words from a text or another
+        copy far behind it. A run of fewer than ``least`` words is no copy: then all stay.
+        """
+        best, value, start, chosen = 0.0, 0.0, 0, (0, len(pairs))
+        for k, (at, _) in enumerate(pairs):
+            value -= SPARSE * (at - pairs[k - 1][0]) if k else 0.0
+            if value <= 0:
+                value, start = 0.0, k
+            value += 1
+            if value > best:
+                best, chosen = value, (start, k + 1)
+        return pairs[chosen[0] : chosen[1]] if chosen[1] - chosen[0] >= least else pairs
+
 
 _FIND = T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_matched", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
 
