@@ -1,10 +1,10 @@
 """Threshold-scaled document fingerprints with built-in functions only.
 
-A sketch holds every five-word shingle hash below a fixed fraction of the hash space (of all of
-it, as set), so its size follows the text, sketches merge by union, and containment can be
-estimated between very unequal documents. At a smaller fraction a text none of whose hashes falls
-below the bound keeps its smallest one, so that no text with words has an empty sketch;
-``merged`` keeps to that rule.
+A sketch holds every five-word shingle hash below a fixed fraction of the hash space, one in
+``SCALE``, so its size follows the text, sketches merge by union, and containment can be estimated
+between very unequal documents. A text of at most ``WHOLE`` different shingles keeps them all: its
+sketch is whole, its fraction one. Two whole sketches are compared as they are, without error;
+otherwise what lies below the bound is compared, which either kind holds.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from .common import fresh, spread
 
 SHINGLE = 5
-#: One hash in so many is kept; at one all are, and likeness is exact for short texts too.
-SCALE = 1
-_BOUND = -(1 << 63) + (1 << 64) // SCALE
+#: One hash in so many is kept, but all of a text of at most so many different ones.
+SCALE, WHOLE = 4, 512
 #: Rows of a stretch of the id order, which is sorted by itself; the most stretches, beyond which they grow; rows sampled for each.
 STRETCH, MOST_STRETCHES, SAMPLED = 1024, 1 << 16, 4
 
@@ -35,41 +34,60 @@ def shingle_hashes(tokens: Column) -> Column:
     return F.when(n >= SHINGLE, runs).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", tokens)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _scaled(hashes: Column) -> Column:
-    if SCALE == 1:
-        return F.sort_array(F.array_distinct(hashes))
-    low = F.filter(hashes, lambda h: h < _BOUND)
-    return F.when((F.size(low) > 0) | (F.size(hashes) == 0), F.sort_array(F.array_distinct(low))).otherwise(F.array(F.array_min(hashes)))
+def _low(hashes: Column) -> Column:
+    """The hashes below the bound."""
+    return F.filter(hashes, lambda h: h < F.lit(-(1 << 63) + (1 << 64) // SCALE))
+
+
+def _sketch(distinct: Column) -> Column:
+    """Sketch of different hashes, sorted: its scale (1: whole) and the hashes that it keeps."""
+    whole = F.size(distinct) <= WHOLE
+    return F.struct(F.when(whole, 1).otherwise(SCALE).alias("scale"), F.when(whole, distinct).otherwise(_low(distinct)).alias("hashes"))
 
 
 def with_sketch(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``df`` with the sketch of a whole text as sorted longs; null counts as empty and has none.
+    """``df`` with the sketch of a whole text, ``struct<scale, hashes>`` of sorted longs; null counts as empty and has none.
 
     The stages are separate columns so that words and hashes are computed once a row.
     """
     tokens, hashes = fresh("tokens", [*df.columns, name]), fresh("hashes", [*df.columns, name])
     staged = df.withColumn(tokens, words(F.coalesce(F.col(text_col), F.lit(""))))
-    staged = staged.withColumn(hashes, shingle_hashes(F.col(tokens))).drop(tokens)
-    return staged.withColumn(name, _scaled(F.col(hashes))).drop(hashes)
+    staged = staged.withColumn(hashes, F.sort_array(F.array_distinct(shingle_hashes(F.col(tokens))))).drop(tokens)
+    return staged.withColumn(name, _sketch(F.col(hashes))).drop(hashes)
 
 
 def merged(a: Column, b: Column) -> Column:
-    """Sketch of two documents taken together."""
-    return _scaled(F.array_union(a, b))
+    """Sketch of two documents taken together: as if made of both, but whole sketches of a longer union become scaled."""
+    both = F.sort_array(F.array_union(a["hashes"], b["hashes"]))
+    scaled = F.struct(F.lit(SCALE).alias("scale"), _low(both).alias("hashes"))
+    return F.when((a["scale"] == 1) & (b["scale"] == 1), _sketch(both)).otherwise(scaled)
+
+
+def _comparable(a: Column, b: Column) -> tuple[Column, Column]:
+    """The hashes of two sketches at a common fraction."""
+    whole = (a["scale"] == 1) & (b["scale"] == 1)
+    return tuple(F.when(whole | (s["scale"] != 1), s["hashes"]).otherwise(_low(s["hashes"])) for s in (a, b))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity; two sketches without hashes are alike, one is unlike any other."""
-    return F.when(a == b, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
+    x, y = _comparable(a, b)
+    return F.when(a == b, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first document's shingles that the second holds; 1 for a document without any."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of the first document's shingles that the second holds; 1 for a document without any.
+
+    A short document against a long one is compared by the few of its hashes that lie below the
+    bound; where none does nothing is known, and the share is null.
+    """
+    x, y = _comparable(a, b)
+    return F.when(F.size(a["hashes"]) == 0, 1.0).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
 
 
 def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """The scale and the hashes in hexadecimal; empty without any."""
+    return F.when(F.size(sketch["hashes"]) == 0, "").otherwise(F.concat(sketch["scale"].cast("string"), F.lit(":"), F.array_join(F.transform(sketch["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")))
 
 
 def _openings(keyed: DataFrame, rows: int) -> list[tuple[int, int]]:

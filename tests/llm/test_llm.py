@@ -483,13 +483,19 @@ def test_fingerprints_by_brute_force(spark, docs):
     def sketch(t):
         w = t.lower().split()
         hashes = [chain(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [chain([" ".join(w)])] if w else []
-        low = {h for h in hashes if h < sketches._BOUND}
-        return low or ({min(hashes)} if hashes else set())
+        whole = len(set(hashes)) <= sketches.WHOLE
+        return (1 if whole else sketches.SCALE), set(hashes) if whole else low(hashes)
+
+    low = lambda hashes: {h for h in hashes if h < -(1 << 63) + (1 << 64) // sketches.SCALE}
 
     def alike(a, b):
-        return 1.0 if a == b else len(a & b) / max(1, len(a | b))
+        if a == b:
+            return 1.0
+        x, y = (a[1], b[1]) if a[0] == b[0] else (low(a[1]), low(b[1]))
+        return len(x & y) / max(1, len(x | y))
 
-    text = lambda s: "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(s))
+    text = lambda s: f"{s[0]}:" + "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(s[1])) if s[1] else ""
+    assert len({sketch(t)[0] for _, t in rows}) == 2
     for stretch in (7, 10_000):
         got = {r.doc_id: r for r in spark_fingerprints(docs, stretch).collect()}
         assert len(got) == len(rows)
@@ -512,11 +518,38 @@ def spark_fingerprints(docs, stretch):
 
 
 def test_sketches_merge(spark):
-    a, b = " ".join(f"a{k}" for k in range(300)), " ".join(f"b{k}" for k in range(40))
-    df = spark.createDataFrame([(1, a, b)], "doc_id long, x string, y string")
-    df = sketches.with_sketch(sketches.with_sketch(df, "x", "sx"), "y", "sy").withColumn("m", sketches.merged(F.col("sx"), F.col("sy")))
-    got = df.select(sketches.containment(F.col("sx"), F.col("m")).alias("one"), sketches.containment(F.col("m"), F.col("sy")).alias("part"), F.size("m").alias("n"), (F.size("sx") + F.size("sy")).alias("sum")).first()
-    assert got.one == 1.0 and got.n <= got.sum and 0 < got.part < 0.5
+    r = random.Random(2)
+    text = lambda n, w: " ".join(f"{w}{r.randrange(10**6)}" for _ in range(n))
+    rows = [(k, text(n, "a"), text(m, "b")) for k, (n, m) in enumerate([(40, 300), (300, 300), (40, 2000), (700, 2000), (2000, 10), (0, 50), (0, 2000), (3, 3)])]
+    df = spark.createDataFrame(rows, "doc_id long, x string, y string").withColumn("z", F.concat_ws(" ", F.lit("unlike any other"), "x", "y"))
+    for c in "xyz":
+        df = sketches.with_sketch(df, c, f"s{c}")
+    df = df.withColumn("m", sketches.merged(F.col("sx"), F.col("sy")))
+    got = df.select("doc_id", "m", "sx", "sy", "sz", sketches.containment(F.col("sx"), F.col("m")).alias("one"), sketches.containment(F.col("sy"), F.col("m")).alias("two"), sketches.likeness(F.col("m"), F.col("sz")).alias("near")).collect()
+    for g in got:
+        assert g.one == 1.0 and g.two == (None if g.doc_id == 4 else 1.0)  # none of a few hashes below the bound: not known
+        n = len({*g.sx.hashes, *g.sy.hashes})
+        assert g.m.scale == (1 if g.sx.scale == g.sy.scale == 1 and n <= sketches.WHOLE else sketches.SCALE)
+        assert set(g.m.hashes) <= {*g.sx.hashes, *g.sy.hashes} and (g.m.scale > 1 or len(g.m.hashes) == n)
+        assert g.near > 0.6
+
+
+def test_containment_between_very_unequal_texts(spark):
+    """A part of a long text is found in it, at any length; an unrelated one is not."""
+    r = random.Random(4)
+    long = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    rows = []
+    for k, n in enumerate([60, 200, 600, 2000, 6000]):
+        at = r.randrange(len(long) - n)
+        half = [*long[at : at + n // 2], *(f"u{r.randrange(10**6)}" for _ in range(n // 2))]
+        rows.append((k, " ".join(long[at : at + n]), " ".join(half), " ".join(f"v{r.randrange(10**6)}" for _ in range(n)), " ".join(long)))
+    df = spark.createDataFrame(rows, "doc_id long, part string, half string, other string, whole string")
+    for c in ("part", "half", "other", "whole"):
+        df = sketches.with_sketch(df, c, f"s_{c}")
+    got = df.select("doc_id", *(sketches.containment(F.col(f"s_{c}"), F.col("s_whole")).alias(c) for c in ("part", "half", "other"))).collect()
+    for g in got:
+        assert g.part == 1.0 and g.other == 0.0
+        assert abs(g.half - 0.5) < (0.3 if g.doc_id == 0 else 0.2 if g.doc_id == 1 else 0.1)
 
 
 def test_fingerprint_edges(spark):
