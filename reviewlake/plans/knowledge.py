@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, vectors
 from ..operators import chunking, dedupe, ingest, ranking, reports, search, secondpass, store, tasks
 from ..sources import tables
+from ..sources.scratch import scratch
 from ..sources.tables import ISSUES_SQL, PATTERNS_SQL
 from ..streaming import runs
 from .registry import query
@@ -403,7 +404,32 @@ def run_messages(spark: SparkSession, sf: str) -> DataFrame:
     "UNION ALL SELECT run_id, 'run_completed', NULL, NULL, CAST(sum(n) AS BIGINT), 4, 4 FROM c GROUP BY run_id HAVING count(*) = 4",
 )
 def w03(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.run_events_batch(run_messages(spark, sf))
+    return runs.run_events_batch(run_messages(spark, sf)).drop("ord")
+
+
+@query(
+    "w04_late_results",
+    f"WITH {ISSUES_SQL}, m AS (SELECT 'r' || requirement_id AS run_id, ord, line % 4 AS req, CASE WHEN source IN ('click', 'view') THEN 'static_analysis' WHEN source = 'error' THEN 'security_analysis' WHEN source = 'purchase' THEN 'performance_analysis' ELSE 'ai_analysis' END AS kind FROM issues), "
+    "f AS (SELECT run_id, req, kind, min(ord) AS o FROM m GROUP BY run_id, req, kind), "
+    "s AS (SELECT run_id, req, o AS static FROM f WHERE kind = 'static_analysis'), "
+    # a report for the static result, with the types that were there before, and one for each type after it
+    "r AS (SELECT f.run_id, f.req, f.o, (SELECT string_agg(g.kind, ',' ORDER BY g.kind) FROM f g WHERE g.run_id = f.run_id AND g.req = f.req AND g.o <= f.o) AS types FROM f JOIN s ON s.run_id = f.run_id AND s.req = f.req AND f.o >= s.static), "
+    "c AS (SELECT run_id, req, min(o) AS o FROM r WHERE types LIKE '%ai_analysis%' GROUP BY run_id, req), "
+    "closed AS (SELECT run_id, max(o) AS o FROM c GROUP BY run_id HAVING count(*) = 4) "
+    "SELECT r.run_id, CAST(r.req AS BIGINT) AS requirement_id, r.types, r.o AS ord FROM r JOIN closed ON closed.run_id = r.run_id AND r.o > closed.o",
+)
+def w04(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream itself, in four micro-batches with state between them; what it reports after a run's summary."""
+    source, out = scratch(spark, "messages"), scratch(spark, "events")
+    messages = run_messages(spark, sf)
+    least, most = messages.agg(F.min("ord"), F.max("ord")).first()
+    part = F.least(F.lit(3), F.floor((F.col("ord") - (least or 0)) * 4 / ((most or 0) - (least or 0) + 1)))
+    for k in range(4):
+        messages.filter(part == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    if not runs.run_available(runs.run_events(stream), out, scratch(spark, "events-state")):
+        raise TimeoutError("the stream did not end in time")
+    return runs.late_reports(spark.read.schema(runs.EVENTS).parquet(out)).select("run_id", "requirement_id", "types", "ord")
 
 
 @query("w06_progress_changes", f"WITH {ISSUES_SQL} SELECT run_id, ord FROM (SELECT run_id, ord, line // 10 AS c, lag(line // 10) OVER (PARTITION BY run_id ORDER BY ord) AS b FROM issues) WHERE b IS NULL OR b <> c")

@@ -2,84 +2,91 @@
 
 from __future__ import annotations
 
-import json
 from collections import OrderedDict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.aggregate import STATIC_SOURCES
 
 #: Types that make a requirement complete.
 COMPLETE = ("static_analysis", "ai_analysis")
-EVENTS = "run_id string, event string, requirement_id long, types string, issue_count long, expected long, completed long"
-_STATE = "data string"
+EVENTS = "run_id string, event string, requirement_id long, types string, issue_count long, expected long, completed long, ord long"
+_EVENT = Row(*(column.split()[0] for column in EVENTS.split(", ")))
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _replay(state: dict, messages: list[dict]) -> list[tuple]:
-    """Apply messages in order to a run's state and return what it emits.
+class RunTracker(StatefulProcessor):
+    """State of a run: an entry for each requirement, and five numbers; a message reads and writes its own entry.
 
     A requirement's report comes when its static result arrives and again whenever its set of
     types grows; it completes with the first report that has both types. The run closes once
     what is expected equals what is complete, not before an announcement; later results still
-    renew reports, never the summary. Announcements may come late or again and are merged.
+    renew reports, never the summary. Announcements may come late or again and are merged. The
+    two sets are equal when both have as many members as they share, so only numbers are compared.
     """
-    out = []
-    for m in messages:
-        run = m["run_id"]
-        if m["message_type"] == "run_init":
-            state["expected"] = sorted({*state["expected"], *m["requirement_ids"]})
-            continue
-        if m["message_type"] != "analysis_result" or m["requirement_id"] is None:
-            continue
-        key = str(m["requirement_id"])
-        seen = state["requirements"].setdefault(key, {"types": [], "reported": 0, "issues": 0})
-        if m["analysis_type"] == "static_analysis":
-            seen["issues"] = int(m["issue_count"] or 0)
-        if m["analysis_type"] not in seen["types"]:
-            seen["types"] = sorted([*seen["types"], m["analysis_type"]])
-        if "static_analysis" in seen["types"] and len(seen["types"]) > seen["reported"]:
-            seen["reported"] = len(seen["types"])
-            out.append((run, "report", int(key), ",".join(seen["types"]), seen["issues"], None, None))
-            if "ai_analysis" in seen["types"] and int(key) not in state["completed"]:
-                state["completed"] = sorted([*state["completed"], int(key)])
-                state["issues"] += seen["issues"]
-                if not state["closed"] and state["expected"] and state["expected"] == state["completed"]:
-                    state["closed"] = True
-                    out.append((run, "run_completed", None, None, state["issues"], len(state["expected"]), len(state["completed"])))
-    return out
-
-
-def _fresh() -> dict:
-    return {"expected": [], "completed": [], "issues": 0, "closed": False, "requirements": {}}
-
-
-def _messages(frames: Iterator[pd.DataFrame]) -> list[dict]:
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("ord", kind="stable")
-    out = rows.astype(object).where(rows.notna(), None).to_dict("records")
-    for m in out:
-        m["requirement_ids"] = [int(x) for x in m["requirement_ids"]] if m["requirement_ids"] is not None else []
-        m["requirement_id"] = None if m["requirement_id"] is None else int(m["requirement_id"])
-    return out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.requirements = handle.getMapState("requirements", "requirement_id long", "types array<string>, reported int, issues long, completed boolean, expected boolean")
+        self.run = handle.getValueState("run", "expected long, completed long, both long, issues long, closed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        expected, completed, both, issues, closed = self.run.get() if self.run.exists() else (0, 0, 0, 0, False)
+        touched: dict[int, list] = {}
+
+        def entry(requirement: int) -> list:
+            if requirement not in touched:
+                held = self.requirements.getValue((requirement,)) if self.requirements.containsKey((requirement,)) else ([], 0, 0, False, False)
+                touched[requirement] = list(held)
+            return touched[requirement]
+
+        for m in sorted(rows, key=lambda m: m["ord"]):
+            if m["message_type"] == "run_init":
+                for requirement in m["requirement_ids"] or []:
+                    one = entry(requirement)
+                    if not one[4]:
+                        one[4], expected, both = True, expected + 1, both + one[3]
+                continue
+            if m["message_type"] != "analysis_result" or m["requirement_id"] is None:
+                continue
+            one = entry(m["requirement_id"])
+            if m["analysis_type"] == "static_analysis":
+                one[2] = m["issue_count"] or 0
+            if m["analysis_type"] not in one[0]:
+                one[0] = sorted([*one[0], m["analysis_type"]])
+            if "static_analysis" in one[0] and len(one[0]) > one[1]:
+                one[1] = len(one[0])
+                yield _EVENT(key[0], "report", m["requirement_id"], ",".join(one[0]), one[2], None, None, m["ord"])
+                if "ai_analysis" in one[0] and not one[3]:
+                    one[3], completed, both, issues = True, completed + 1, both + one[4], issues + one[2]
+                    if not closed and expected and expected == completed == both:
+                        closed = True
+                        yield _EVENT(key[0], "run_completed", None, None, issues, expected, completed, m["ord"])
+        for requirement, one in touched.items():
+            self.requirements.updateValue((requirement,), tuple(one))
+        self.run.update((expected, completed, both, issues, closed))
+
+    def close(self) -> None:
+        pass
 
 
 def run_events(messages: DataFrame) -> DataFrame:
     """Streaming: reports and run summaries of messages (run_id, ord, message_type, requirement_id, requirement_ids, analysis_type, issue_count).
 
-    The state of a run is kept without a time limit: a result may always arrive.
+    Messages of one micro-batch are applied in order of ``ord``. The state of a run is kept without
+    a time limit: a result may always arrive. Needs the RocksDB state store (``run_available`` asks for it).
     """
+    return messages.groupBy("run_id").transformWithState(RunTracker(), EVENTS, "append", "none")
 
-    def step(key, frames, state):
-        held = json.loads(state.get[0]) if state.exists else _fresh()
-        out = _replay(held, _messages(frames))
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["run_id", "event", "requirement_id", "types", "issue_count", "expected", "completed"]).astype({"requirement_id": "Int64", "issue_count": "Int64", "expected": "Int64", "completed": "Int64"})
 
-    return messages.groupBy("run_id").applyInPandasWithState(step, EVENTS, _STATE, "append", "NoTimeout")
+def late_reports(events: DataFrame) -> DataFrame:
+    """Reports that came after their run's summary: late results renew reports, never the summary."""
+    closing = events.filter("event = 'run_completed'").select("run_id", F.col("ord").alias("closed"))
+    return events.filter("event = 'report'").join(closing, "run_id").filter(F.col("ord") > F.col("closed"))
 
 
 def run_events_batch(messages: DataFrame) -> DataFrame:
@@ -110,8 +117,8 @@ def run_events_batch(messages: DataFrame) -> DataFrame:
     far = Window.partitionBy("run_id").orderBy("ord")
     steps = steps.select("run_id", "ord", (F.col("c") > 0).alias("ends"), *[F.sum(n).over(far).alias(n) for n in ("e", "c", "b", "add")])
     closing = steps.filter("ends and e > 0 and e = c and e = b").withColumn("rn", F.row_number().over(far)).filter("rn = 1")
-    one = reports.select("run_id", F.lit("report").alias("event"), "requirement_id", F.array_join("types", ",").alias("types"), F.col("issues").alias("issue_count"), F.lit(None).cast("long").alias("expected"), F.lit(None).cast("long").alias("completed"))
-    two = closing.select("run_id", F.lit("run_completed").alias("event"), F.lit(None).cast("long").alias("requirement_id"), F.lit(None).cast("string").alias("types"), F.col("add").alias("issue_count"), F.col("e").cast("long").alias("expected"), F.col("c").cast("long").alias("completed"))
+    one = reports.select("run_id", F.lit("report").alias("event"), "requirement_id", F.array_join("types", ",").alias("types"), F.col("issues").alias("issue_count"), F.lit(None).cast("long").alias("expected"), F.lit(None).cast("long").alias("completed"), "ord")
+    two = closing.select("run_id", F.lit("run_completed").alias("event"), F.lit(None).cast("long").alias("requirement_id"), F.lit(None).cast("string").alias("types"), F.col("add").alias("issue_count"), F.col("e").cast("long").alias("expected"), F.col("c").cast("long").alias("completed"), "ord")
     return one.unionByName(two)
 
 
@@ -203,8 +210,18 @@ def static_issue_count(issues: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: float = 1200.0) -> bool:
-    """Process what is there and stop; false when the timeout came first."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process what is there and stop; false when the timeout came first.
+
+    A stopped stream goes on from its checkpoint when started again with the same folders. State is
+    held in RocksDB.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(_STORE, before)
     done = query.awaitTermination(int(timeout))
     if not done:
         query.stop()

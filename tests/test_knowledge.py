@@ -157,6 +157,31 @@ def test_answers(spark):
     assert [r[0] for r in df.select(F.size(repair.task_list(F.col("t")))).collect()] == [1, 1, 0, 0]
 
 
+def replay(state, messages):
+    """Plain model of the run tracker: messages of one run in order, and what they bring about."""
+    out = []
+    for m in messages:
+        run = m["run_id"]
+        if m["message_type"] == "run_init":
+            state["expected"] |= set(m["requirement_ids"] or [])
+            continue
+        key = m["requirement_id"]
+        seen = state["requirements"].setdefault(key, {"types": set(), "reported": 0, "issues": 0})
+        if m["analysis_type"] == "static_analysis":
+            seen["issues"] = m["issue_count"]
+        seen["types"].add(m["analysis_type"])
+        if "static_analysis" in seen["types"] and len(seen["types"]) > seen["reported"]:
+            seen["reported"] = len(seen["types"])
+            out.append((run, "report", key, ",".join(sorted(seen["types"])), seen["issues"], None, None, m["ord"]))
+            if "ai_analysis" in seen["types"] and key not in state["completed"]:
+                state["completed"].add(key)
+                state["issues"] += seen["issues"]
+                if not state["closed"] and state["expected"] and state["expected"] == state["completed"]:
+                    state["closed"] = True
+                    out.append((run, "run_completed", None, None, state["issues"], len(state["expected"]), len(state["completed"]), m["ord"]))
+    return out
+
+
 def messages(seed, n=40):
     random.seed(seed)
     out = []
@@ -172,25 +197,35 @@ def messages(seed, n=40):
 MESSAGES = "run_id string, ord long, message_type string, requirement_id long, requirement_ids array<long>, analysis_type string, issue_count long"
 
 
-def test_run_tracking_batch_equals_replay_and_stream(spark, tmp_path):
+def replayed(data):
+    want = []
+    for run in sorted({m[0] for m in data}):
+        own = [dict(zip([c.split()[0] for c in MESSAGES.split(", ")], m, strict=True)) for m in data if m[0] == run]
+        want += replay({"expected": set(), "completed": set(), "issues": 0, "closed": False, "requirements": {}}, own)
+    return sorted(map(str, want))
+
+
+def test_run_tracking_in_batch(spark):
     for seed in range(4):
         data = messages(seed)
-        want = []
-        for run in ("r0", "r1", "r2"):
-            state = runs._fresh()
-            own = [dict(zip([c.split()[0] for c in MESSAGES.split(", ")], m, strict=True)) for m in data if m[0] == run]
-            for m in own:
-                m["requirement_ids"] = m["requirement_ids"] or []
-            want += runs._replay(state, own)
         got = [tuple(r) for r in runs.run_events_batch(spark.createDataFrame(data, MESSAGES).repartition(3)).collect()]
-        assert sorted(map(str, got)) == sorted(map(str, want)), seed
-    source = tmp_path / "in"
-    for part in range(2):
-        spark.createDataFrame(data[part * 20 : part * 20 + 20], MESSAGES).coalesce(1).write.mode("append").parquet(str(source))
-    stream = runs.run_events(spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(source)))
-    assert runs.run_available(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 120)
-    streamed = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert sorted(map(str, streamed)) == sorted(map(str, want))
+        assert sorted(map(str, got)) == replayed(data), seed
+
+
+def test_run_tracking_on_a_stream_with_restarts(spark, tmp_path):
+    """State outlives micro-batches and restarts; late results renew reports, never the summary."""
+    data = messages(12, 80)
+    for part in range(5):
+        spark.createDataFrame(data[part * 16 : part * 16 + 16][::-1], MESSAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if part in (1, 4):  # two starts of two and three batches
+            stream = runs.run_events(spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+            assert runs.run_available(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 120)
+    events = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(str(tuple(r)) for r in events.collect()) == replayed(data)
+    assert events.filter("event = 'run_completed'").groupBy("run_id").count().filter("count > 1").isEmpty()
+    late = runs.late_reports(events).collect()
+    closed = {r.run_id: r.ord for r in events.filter("event = 'run_completed'").collect()}
+    assert late and all(r.ord > closed[r.run_id] for r in late)
 
 
 def test_session_memory_against_replay(spark):
