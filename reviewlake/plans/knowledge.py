@@ -10,7 +10,7 @@ from ..operators import chunking, dedupe, ingest, ranking, reports, search, seco
 from ..sources import tables
 from ..sources.scratch import scratch
 from ..sources.tables import ISSUES_SQL, PATTERNS_SQL
-from ..streaming import runs
+from ..streaming import runs, sessions
 from .registry import query
 
 _DIST = "round(1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6)"
@@ -163,7 +163,19 @@ def x43(spark: SparkSession, sf: str) -> DataFrame:
 @query("w07_session_memory", "SELECT conv_id AS session_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) <= 20")
 def w07(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), F.when(F.col("role") == "assistant", "ai").otherwise("user").alias("type"))
-    return runs.session_memory(rows).groupBy("session_id").agg(F.count("*").alias("n")).filter("n <= 20")
+    return sessions.session_memory(rows).groupBy("session_id").agg(F.count("*").alias("n")).filter("n <= 20")
+
+
+@query(
+    "w07_long_sessions",
+    f"WITH {ISSUES_SQL}, m AS (SELECT requirement_id, ord, row_number() OVER (PARTITION BY requirement_id ORDER BY ord) AS n, CASE WHEN source IN ('view', 'error') THEN 1 ELSE 0 END AS ai FROM issues), "
+    "s AS (SELECT requirement_id, list_reduce(list(n * 2 + ai ORDER BY n), lambda a, x: CASE WHEN x % 2 = 1 AND x // 2 - a + 1 > 20 THEN x // 2 - 14 ELSE a END, 1::BIGINT) AS start FROM m GROUP BY requirement_id) "
+    "SELECT m.requirement_id AS session_id, m.ord FROM m JOIN s ON s.requirement_id = m.requirement_id AND m.n >= s.start",
+)
+def w07_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as messages of their user's session, views and errors as answers."""
+    rows = tables.issues(spark, sf).select(F.col("requirement_id").alias("session_id"), "ord", F.when(F.col("source").isin("view", "error"), "ai").otherwise("user").alias("type"))
+    return sessions.session_memory(rows).select("session_id", "ord")
 
 
 # tasks
@@ -440,7 +452,7 @@ def w06(spark: SparkSession, sf: str) -> DataFrame:
 @query("w08_pending_state", f"WITH {ISSUES_SQL} SELECT requirement_id AS session_id, CASE WHEN arg_max(line, ord) % 2 = 0 THEN arg_max(description, ord) END AS pending FROM issues GROUP BY requirement_id")
 def w08(spark: SparkSession, sf: str) -> DataFrame:
     op = F.when(F.col("line") % 2 == 0, "set").otherwise("clear")
-    return runs.pending_state(tables.issues(spark, sf).select(F.col("requirement_id").alias("session_id"), "ord", op.alias("op"), F.col("description").alias("pending")))
+    return sessions.pending_state(tables.issues(spark, sf).select(F.col("requirement_id").alias("session_id"), "ord", op.alias("op"), F.col("description").alias("pending")))
 
 
 @query("w01_routing", "SELECT event_type AS receiver, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")

@@ -151,25 +151,6 @@ def dispatch(requirements: DataFrame) -> DataFrame:
     return requirements.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("message_type"))
 
 
-KEEP_ABOVE, KEEP = 20, 15
-
-
-def session_memory(messages: DataFrame) -> DataFrame:
-    """What each session remembers: messages (session_id, ord, type) as they stand after the last one.
-
-    Only an answer trims: with more than 20 messages it keeps the last 15. Trimming is a
-    function of the sequence of types alone, so only those are folded per session.
-    """
-
-    order = Window.partitionBy("session_id").orderBy("ord")
-    rows = messages.withColumn("n", F.row_number().over(order))
-    kinds = F.array_sort(F.collect_list(F.struct("n", (F.col("type") == "ai").alias("ai"))))
-    # the first message that is kept: whenever an answer finds more than 20, the start moves up
-    start = F.aggregate(kinds, F.lit(1), lambda s, m: F.when(m["ai"] & (m["n"] - s + 1 > KEEP_ABOVE), m["n"] - KEEP + 1).otherwise(s))
-    starts = rows.groupBy("session_id").agg(start.alias("start"))
-    return rows.join(starts, "session_id").filter(F.col("n") >= F.col("start")).drop("n", "start")
-
-
 def cache_replay(accesses: DataFrame, capacity: int) -> DataFrame:
     """Accesses (cache, ord, key) with ``hit``: what a least-recently-used cache of each name would have answered.
 
@@ -198,12 +179,6 @@ def cache_replay(accesses: DataFrame, capacity: int) -> DataFrame:
     return accesses.repartition("cache").sortWithinPartitions("cache", "ord", "key").mapInArrow(run, schema)
 
 
-def pending_state(changes: DataFrame) -> DataFrame:
-    """Pending confirmation of each session after its set and clear changes (session_id, ord, op, pending)."""
-    last = changes.groupBy("session_id").agg(F.max_by(F.struct("op", "pending"), "ord").alias("l"))
-    return last.select("session_id", F.when(F.col("l.op") == "set", F.col("l.pending")).alias("pending"))
-
-
 def static_issue_count(issues: DataFrame) -> DataFrame:
     """Issues of static sources per run and requirement, the numbers that results carry."""
     return issues.filter(F.col("source").isin(*STATIC_SOURCES)).groupBy("run_id", "requirement_id").agg(F.count("*").alias("issue_count"))

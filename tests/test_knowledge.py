@@ -228,21 +228,6 @@ def test_run_tracking_on_a_stream_with_restarts(spark, tmp_path):
     assert late and all(r.ord > closed[r.run_id] for r in late)
 
 
-def test_session_memory_against_replay(spark):
-    random.seed(5)
-    data = [(s, k, random.choice(["user", "ai"])) for s in range(3) for k in range(60)]
-    want = set()
-    for s in range(3):
-        held = []
-        for _, k, kind in (d for d in data if d[0] == s):
-            held.append(k)
-            if kind == "ai" and len(held) > 20:
-                held = held[-15:]
-        want |= {(s, k) for k in held}
-    got = {(r.session_id, r.ord) for r in runs.session_memory(spark.createDataFrame(data, "session_id long, ord long, type string").repartition(4)).collect()}
-    assert got == want
-
-
 def names_of(df):
     return sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
 
