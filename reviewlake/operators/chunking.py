@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dedupe import semantic_signature
+from .greedy import greedy_chunks
 
 Counter = Callable[[str], int]
 
@@ -196,24 +197,10 @@ def prompt_budget(model_max: Column, new_tokens: Column, margin: int = 32) -> Co
 def semantic_chunks(issues: DataFrame, limit: int = 9000) -> DataFrame:
     """``(signature, chunk, ord)``: issues with their evidence packed by signature, in order.
 
-    A unit's size is its JSON's length; one of the limit or more stands alone. Signatures are
-    numbered by their first issue; the rows of a signature are read in order, not collected.
+    A unit's size is its JSON's length; one of the limit or more stands alone. Chunks of a
+    signature count from 0. A hot signature is packed by many tasks (``greedy_chunks``).
     """
     most = max(800, limit)
-    sized = issues.withColumn("signature", semantic_signature()).select("signature", F.col("ord"), F.length(F.to_json(F.struct(*[c for c in issues.columns]))).alias("size"))
-
-    def run(batches):
-        last, chunk, used, alone = None, 0, 0, False
-        for batch in batches:
-            numbers = []
-            for signature, size in zip(batch["signature"], batch["size"], strict=True):
-                if signature != last:
-                    last, chunk, used, alone = signature, 0, 0, False
-                elif alone or size >= most or used + size > most:
-                    chunk, used = chunk + 1, 0
-                alone = size >= most
-                used += size
-                numbers.append(chunk)
-            yield pd.DataFrame({"signature": batch["signature"], "chunk": numbers, "ord": batch["ord"]})
-
-    return sized.repartition("signature").sortWithinPartitions("signature", "ord").mapInPandas(run, "signature string, chunk long, ord long")
+    sized = issues.withColumn("signature", semantic_signature()).select("signature", F.col("ord"), F.length(F.to_json(F.struct(*[c for c in issues.columns]))).cast("long").alias("size"))
+    return greedy_chunks(sized, "signature", "ord", "size", most).select("signature", "chunk", "ord")
+

@@ -244,6 +244,11 @@ def t13(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.sample_rows(rows, 100).join(rows.select(F.col("ord"), F.lit(True).alias("there")), "ord", "left").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("there", F.lit(False))).alias("inside"))
 
 
+@query("t13_sample", with_issues("SELECT ord, run_id, severity FROM issues ORDER BY md5('42:' || ord) LIMIT 100"))
+def t13_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.sample_rows(tables.issues(spark, sf), 100).select("ord", "run_id", "severity")
+
+
 @query("d01_dedupe_issues", with_issues("SELECT ord, description, line FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(description)), lower(trim(source)), CASE WHEN line = 0 THEN '' ELSE CAST(line AS VARCHAR) END ORDER BY ord) AS rn FROM issues) WHERE rn = 1"))
 def d01(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.dedupe_issues(tables.issues(spark, sf)).select("ord", "description", "line")

@@ -354,12 +354,19 @@ def p08(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "documents").select("doc_id", F.size(chunking.packed(F.split("text", "\n"), F.lit(200))).alias("n"))
 
 
-@query("p09_semantic_chunks")
+@query(
+    "p09_semantic_chunks",
+    f"WITH {ISSUES_SQL}, u AS (SELECT lower('f|' || source || '|' || severity || '|' || tool || '|' || CASE requirement_id % 3 WHEN 0 THEN '' ELSE (requirement_id % 3)::VARCHAR END) AS signature, ord, "
+    """length('{"ord":' || ord || ',"requirement_id":' || (requirement_id % 3) || ',"file":"f","source":"' || source || '","severity":"' || severity || '","line":' || line || ',"description":"' || description || '","tool":"' || tool || '","run_id":"' || run_id || '","score":' || score::DOUBLE || '}') AS size FROM issues), """
+    "g AS (SELECT signature, list(size ORDER BY ord) AS sizes FROM u GROUP BY signature), "
+    "r AS (SELECT signature, ord, row_number() OVER (PARTITION BY signature ORDER BY ord) AS rn FROM u) "
+    "SELECT signature, list_reduce(list_slice(sizes, 1, rn), lambda a, x: CASE WHEN a % 1000000000 + x > 9000 THEN (a // 1000000000 + 1) * 1000000000 + x ELSE a + x END, 0::BIGINT) // 1000000000 AS chunk, ord FROM r JOIN g USING (signature)",
+)
 def p09(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.semantic_chunks(tables.issues(spark, sf).withColumn("requirement_id", F.col("requirement_id") % 3).withColumn("file", F.lit("f")))
 
 
-@query("c07_line_chunks")
+@query("c07_line_chunks", f"WITH {tables.files_sql()} SELECT file_id, CAST(list_reduce(list_transform(string_split(content, chr(10)), lambda x: length(x)::BIGINT), lambda a, x: CASE WHEN a > 0 AND a % 1000000000 + x <= 800 THEN a + x ELSE (a // 1000000000 + 1) * 1000000000 + x END, 0::BIGINT) // 1000000000 AS INTEGER) AS n FROM files")
 def c07(spark: SparkSession, sf: str) -> DataFrame:
     return tables.files(spark, sf).select("file_id", F.size(chunking.line_chunks(F.col("content"))).alias("n"))
 
