@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,22 +176,61 @@ def python_recursion(files: DataFrame) -> DataFrame:
 C_TYPES = ("void ", "int ", "bool ", "char ", "double ", "float ")
 
 
+#: Lines after a definition among which its end is sought.
+C_REACH = 50
+
+
 def c_recursion(files: DataFrame) -> DataFrame:
-    """Lines of C and C++ files below a definition that call it, up to two closing lines within 50 lines, else to the end."""
-    rows = files.filter(performance_language(F.col("content")).isin("c", "cpp")).select("file_id", F.split("content", "\n", -1).alias("all"))
-    rows = rows.select("file_id", "all", F.posexplode("all").alias("pos", "text"))
-    head = F.trim(F.split_part("text", F.lit("("), F.lit(1)))
-    rows = rows.filter(_has(F.col("text"), *C_TYPES) & F.contains("text", F.lit("(")) & F.contains("text", F.lit("{")) & F.contains(head, F.lit(" ")))
-    rows = rows.withColumn("function_name", F.regexp_extract(head, r"(?U)(\S+)$", 1))
-    # the first line of the next 50 that closes, as the line before it does
-    ahead = F.slice("all", F.col("pos") + 2, 50)
-    before = F.slice("all", F.col("pos") + 1, 50)
-    closes = F.zip_with(before, ahead, lambda p, x: ((_strip(p) == "}") & (_strip(x) == "}")).cast("int"))
-    end = F.array_position(closes, F.lit(1)).cast("int")
-    body = F.when(end > 0, F.slice("all", F.col("pos") + 2, F.greatest(end - 1, F.lit(0)))).otherwise(F.slice("all", F.col("pos") + 2, F.size("all")))
-    found = rows.select("file_id", "pos", "function_name", F.posexplode(body).alias("k", "line"))
-    hit = F.contains("line", F.col("function_name")) & F.contains("line", F.lit("(")) & F.contains("line", F.lit(";"))
-    return found.filter(hit).select("file_id", "function_name", (F.col("pos") + F.col("k") + 2).alias("line_number"), _strip(F.col("line")).alias("call_expression"))
+    """Lines of C and C++ files below a definition that call it, up to two closing lines within 50 lines, else to the end.
+
+    A file's definitions become intervals of lines in one sweep, and their names an automaton that
+    reads each line once; a line then meets only the intervals of the names it holds. Null texts
+    have no lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found += [(file_id, *call) for call in _c_calls((text.as_py() or "").split("\n"))]
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["file_id", "function_name", "line_number", "call_expression"])
+
+    chosen = files.filter(performance_language(F.col("content")).isin("c", "cpp")).select(F.col("file_id").cast("long").alias("file_id"), "content")
+    return chosen.mapInArrow(run, "file_id long, function_name string, line_number int, call_expression string")
+
+
+def _c_calls(all_lines: list[str]) -> list[tuple[str, int, str]]:
+    """``(name, line number, line)`` of the calls, by line and then by definition."""
+    bare = [x.strip() for x in all_lines]
+    closing = [k for k in range(1, len(bare)) if bare[k] == bare[k - 1] == "}"]
+    scopes: dict[str, list[tuple[int, int]]] = {}
+    for k, line in enumerate(all_lines):
+        if "(" in line and "{" in line and any(t in line for t in C_TYPES):
+            head = line.split("(")[0].strip()
+            if " " in head:
+                at = bisect_left(closing, k + 1)
+                end = closing[at] if at < len(closing) and closing[at] <= k + C_REACH else len(all_lines)
+                scopes.setdefault(head.split()[-1], []).append((k, end))
+    if not scopes:
+        return []
+    automaton = ahocorasick.Automaton()
+    for name in scopes:
+        automaton.add_word(name, name)
+    automaton.make_automaton()
+    opened: dict[str, list[tuple[int, int]]] = {name: [] for name in scopes}
+    later = {name: list(reversed(spans)) for name, spans in scopes.items()}
+    out = []
+    for k, line in enumerate(all_lines):
+        if "(" not in line or ";" not in line:
+            continue
+        for name in sorted({name for _, name in automaton.iter(line)}):
+            waiting = later[name]
+            while waiting and waiting[-1][0] < k:
+                opened[name].append(waiting.pop())
+            opened[name] = [span for span in opened[name] if span[1] > k]
+            out += [(name, k + 1, bare[k]) for _ in opened[name]]
+    return out
 
 
 # What marks input and output on a line, in the order tested.

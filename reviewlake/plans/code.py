@@ -84,17 +84,30 @@ def c12(spark: SparkSession, sf: str) -> DataFrame:
     return lines.python_recursion(tables.files(spark, sf))
 
 
-@query("c12_c_recursion")
+#: C definitions with their names, and the second of the first two closing lines in a row within 50 lines.
+_C_SCOPES = f"""c AS (SELECT l.*, lag(s) OVER (PARTITION BY l.file_id ORDER BY line_no) AS before FROM lines l JOIN (SELECT file_id FROM (SELECT file_id, {_marks_sql(lines.PERFORMANCE_MARKS)} FROM files) WHERE {_BEST} IN ('c', 'cpp')) p ON p.file_id = l.file_id),
+d AS (SELECT file_id, line_no, regexp_extract(trim(split_part(text, '(', 1)), '(\\S+)$', 1) AS name FROM c WHERE regexp_matches(text, 'void |int |bool |char |double |float ') AND contains(text, '(') AND contains(text, '{{') AND contains(trim(split_part(text, '(', 1)), ' ')),
+e AS (SELECT d.file_id, d.line_no, any_value(d.name) AS name, min(c.line_no) AS closed FROM d LEFT JOIN c ON c.file_id = d.file_id AND c.line_no > d.line_no AND c.line_no <= d.line_no + 50 AND c.s = '}}' AND c.before = '}}' GROUP BY d.file_id, d.line_no) """
+
+
+@query("c12_c_recursion", WL + f", {_C_SCOPES} SELECT e.file_id, e.name AS function_name, CAST(c.line_no AS INTEGER) AS line_number, c.s AS call_expression FROM e JOIN c ON c.file_id = e.file_id AND c.line_no > e.line_no AND (e.closed IS NULL OR c.line_no < e.closed) AND contains(c.text, e.name) AND contains(c.text, '(') AND contains(c.text, ';')")
 def c12c(spark: SparkSession, sf: str) -> DataFrame:
     return lines.c_recursion(tables.files(spark, sf))
 
 
-@query("c13_recursive_functions")
+#: Lines of Python functions: from a definition to the next line that is not indented deeper, comments aside.
+_PY_SCOPES = """d AS (SELECT *, sum((s LIKE 'def %')::INT) OVER (PARTITION BY file_id ORDER BY line_no) AS position FROM lines),
+e AS (SELECT *, first_value(indent) OVER w AS depth, first_value(line_no) OVER w AS opened, trim(split_part(split_part(first_value(text) OVER w, 'def ', 2), '(', 1)) AS name FROM d WHERE position > 0 WINDOW w AS (PARTITION BY file_id, position ORDER BY line_no)),
+f AS (SELECT *, max((line_no > opened AND s <> '' AND indent <= depth AND s NOT LIKE '#%')::INT) OVER (PARTITION BY file_id, position ORDER BY line_no) AS ended FROM e),
+g AS (SELECT * FROM f WHERE ended = 0 AND position <= 10) """
+
+
+@query("c13_recursive_functions", WL + f", {_PY_SCOPES} SELECT file_id, CAST(position AS INTEGER) AS position, any_value(name) AS function_name, arg_min(s, line_no) AS recursive_call_line FROM g WHERE line_no > opened AND name <> '' AND contains(text, name) AND contains(text, '(') GROUP BY file_id, position")
 def c13(spark: SparkSession, sf: str) -> DataFrame:
     return lines.recursive_functions(tables.files(spark, sf))
 
 
-@query("c09_functions")
+@query("c09_functions", WL + f", {_PY_SCOPES} SELECT file_id, CAST(position AS INTEGER) AS position, any_value(name) AS name, string_agg(text, chr(10) ORDER BY line_no) AS code FROM g GROUP BY file_id, position")
 def c09(spark: SparkSession, sf: str) -> DataFrame:
     return lines.python_functions(tables.files(spark, sf))
 
