@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, repair, rules, text, vectors
-from ..operators import aggregate, chunking, dedupe, ingest, lines, models, ranking, reports, secondpass, store, tasks, toolparse
+from ..operators import aggregate, chunking, dedupe, idsets, ingest, lines, models, ranking, reports, secondpass, store, tasks, toolparse
 from ..schema import lookup
 from ..sources import files as file_sources
 from ..sources import tables
@@ -256,7 +256,7 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
 @query("j13_run_completion", with_issues("SELECT run_id, count(DISTINCT requirement_id % 5) FILTER (line > 30) = count(DISTINCT requirement_id % 5) AS complete FROM issues GROUP BY run_id"))
 def j13(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.issues(spark, sf).select("run_id", (F.col("requirement_id") % 5).alias("requirement_id"), "line")
-    return runs.completed_runs(rows.select("run_id", "requirement_id").distinct(), rows.filter("line > 30").select("run_id", "requirement_id").distinct())
+    return runs.completed_runs(rows, rows.filter("line > 30"))
 
 
 @query("j14_x10_lookup_maps", "SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'xss' WHEN 1 THEN 'sql_injection' ELSE 'security_vulnerability' END AS type, CASE p_size % 3 WHEN 1 THEN 'critical' ELSE 'medium' END AS severity FROM part")
@@ -310,8 +310,9 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("u02_merged_sets", with_issues("SELECT run_id, len(list(DISTINCT requirement_id)) AS n FROM issues GROUP BY run_id"))
 def u02(spark: SparkSession, sf: str) -> DataFrame:
-    sets = tables.issues(spark, sf).groupBy("run_id").agg(F.collect_set(F.when(F.col("ord") % 2 == 0, F.col("requirement_id"))).alias("a"), F.collect_set(F.when(F.col("ord") % 2 != 0, F.col("requirement_id"))).alias("b"))
-    return sets.select("run_id", F.size(F.array_union("a", "b")).cast("long").alias("n"))
+    """The ids of two announcements of each run, merged."""
+    told = lambda k: idsets.bitmaps(tables.issues(spark, sf).filter(F.col("ord") % 2 == k), ["run_id"], "requirement_id", told=F.lit(True))
+    return idsets.sizes(idsets.merged(told(0).unionByName(told(1)), ["run_id"], "told"), ["run_id"], "told").withColumnRenamed("told", "n")
 
 
 @query("c31_static_scan")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import idsets
 from ..operators.aggregate import STATIC_SOURCES
 
 #: Types that make a requirement complete.
@@ -204,7 +205,11 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: float
 
 
 def completed_runs(expected: DataFrame, completed: DataFrame) -> DataFrame:
-    """``(run_id, complete)``: whether each run's expected and completed requirements are the same, by two anti-joins."""
-    keys = ["run_id", "requirement_id"]
-    open_ = expected.join(completed, keys, "left_anti").unionByName(completed.join(expected, keys, "left_anti")).select("run_id").distinct().withColumn("open", F.lit(True))
-    return expected.select("run_id").distinct().join(open_, "run_id", "left").select("run_id", F.col("open").isNull().alias("complete"))
+    """``(run_id, complete)`` of the runs with expected requirements: whether those completed are the same, by bitmaps.
+
+    Repeats count once; runs without expected requirements are left out, null requirements not read.
+    """
+    both = expected.select("run_id", "requirement_id", F.lit(True).alias("told")).unionByName(completed.select("run_id", "requirement_id", F.lit(False).alias("told")))
+    maps = idsets.bitmaps(both, ["run_id"], "requirement_id", told=F.col("told"), done=~F.col("told"))
+    known = maps.groupBy("run_id").agg(F.bool_and(F.col("told") == F.col("done")).alias("complete"), F.sum(F.bitmap_count("told")).alias("n"))
+    return known.filter("n > 0").select("run_id", "complete")
