@@ -42,8 +42,12 @@ def _scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, content)`` of source files below ``root``; undecodable bytes are dropped."""
-    rows = _scan(spark, root).filter(is_source(F.col("path")))
+    """``(path, content)`` of source files below ``root``; undecodable bytes are dropped.
+
+    The filter is on the file's own metadata, so files that it leaves out are struck from the
+    scan's listing and their bytes are never read.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(is_source(F.col("_metadata.file_path"))).select("path", "content")
     return rows.select("path", F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("content"))
 
 
