@@ -11,7 +11,7 @@ a row with canonical JSON (sorted keys, no spaces), so no conversation is gather
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -92,24 +92,61 @@ def argument_errors(tool: Column, payload: Column, schemas: dict[str, dict[str,
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
+#: Rounds of hubs after which the levels found so far are written as one table.
+MERGE = 16
+
+
+def _roots(single: DataFrame) -> DataFrame:
+    """``(conv_id, call_id, root, hops, lost)``: where the chain of single dependencies from each call ends, by doubling.
+
+    ``single``: conv_id, call_id, needs, one row a call. Each round every call takes over the reach of
+    the call it has reached, so chains end after a number of rounds that grows with the logarithm
+    of their length; what has not ended by then runs on a cycle (``lost``).
+    """
+    at = settle(single.select("conv_id", "call_id", F.col("needs").alias("root"), F.lit(1).alias("hops"), F.lit(True).alias("lost")))
+    for _ in range(max(1, at.count()).bit_length() + 1):
+        ahead = at.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("on"), F.col("hops").alias("further"))
+        at = settle(at.join(ahead, ["conv_id", "root"], "left").select("conv_id", "call_id", F.coalesce("on", "root").alias("root"), (F.col("hops") + F.coalesce("further", F.lit(0))).alias("hops"), F.col("on").isNotNull().alias("lost")))
+        if at.filter("lost").isEmpty():
+            break
+    return at
+
+
 def _steps(calls: DataFrame) -> DataFrame:
-    """``(conv_id, call_id, level)`` of the first calls that depend on others; null level on a cycle.
+    """``(conv_id, call_id, level)`` of the first calls that depend on others; null level on a cycle or behind one.
 
-    Calls without known dependencies have level 0 and are not listed. Each round strikes out the
-    dependencies that the last one settled, and a call settles with its last one. A round writes
-    the new calls and the dependencies still open; rounds follow the longest chain of references.
+    Calls without known dependencies have level 0 and are not listed. Chains of calls with one
+    dependency each are contracted first (``_roots``); the rest, calls with several (hubs), settle round
+    by round with the last of their roots, so rounds follow the longest chain of hubs alone.
     """
+    keys = ["conv_id", "call_id"]
     named = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("payload", F.lit(_REFERENCE), F.lit(1)))).alias("needs"))
     ids = calls.select("conv_id", F.col("call_id").alias("needs"))
     waits = settle(named.join(ids, ["conv_id", "needs"], "left_semi"))
-    calls_of = lambda edges: edges.select("conv_id", "call_id").distinct()
-    new = waits.select("conv_id", F.col("needs").alias("call_id")).distinct().join(calls_of(waits), ["conv_id", "call_id"], "left_anti")
-    levels, level = waits.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0), 0
+    counted = waits.groupBy(*keys).agg(F.count("*").alias("n"), F.min("needs").alias("needs"))
+    roots = _roots(counted.filter("n = 1").select(*keys, "needs"))
+    hubs = counted.filter("n > 1").select(*keys)
+    known = roots.select("conv_id", F.col("call_id").alias("needs"), "root", "hops", "lost")
+    edges = waits.join(hubs, keys, "left_semi").join(known, ["conv_id", "needs"], "left")
+    # a root that is lost, or a hub that waits, has no level yet; others begin at 0
+    target = F.coalesce("root", "needs")
+    edges = edges.select(*keys, target.alias("root"), (F.coalesce("hops", F.lit(0)) + 1).alias("way"), F.coalesce("lost", F.lit(False)).alias("lost"))
+    waiting = hubs.select("conv_id", F.col("call_id").alias("root"), F.lit(True).alias("hub"))
+    edges = settle(edges.join(waiting, ["conv_id", "root"], "left").select(*keys, "root", "way", F.when(~F.col("lost") & F.col("hub").isNull(), F.col("way")).alias("level")))
+    done = lambda e: e.groupBy(*keys).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0").drop("open")
+    levels, new, rounds = calls.select("conv_id", "call_id", F.lit(0).alias("level")).limit(0), settle(done(edges)), 0
     while not new.isEmpty():
-        left = settle(waits.join(new.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti"))
-        new, level, waits = settle(calls_of(waits).join(calls_of(left), ["conv_id", "call_id"], "left_anti")), level + 1, left
-        levels = levels.unionByName(new.withColumn("level", F.lit(level)))
-    return levels.unionByName(calls_of(waits).withColumn("level", F.lit(None).cast("int")))
+        levels, rounds = levels.unionByName(new), rounds + 1
+        levels = settle(levels) if rounds % MERGE == 0 else levels
+        told = new.select("conv_id", F.col("call_id").alias("root"), F.col("level").alias("told"))
+        rest = edges.join(new.select(*keys), keys, "left_anti").join(told, ["conv_id", "root"], "left")
+        edges = settle(rest.select(*keys, "root", "way", F.coalesce("level", F.col("told") + F.col("way")).alias("level")))
+        new = settle(done(edges))
+    of_hubs = hubs.join(levels, keys, "left").select(*keys, "level")
+    behind = of_hubs.select("conv_id", F.col("call_id").alias("root"), F.lit(True).alias("hub"), F.col("level").alias("base"))
+    base = F.when(F.col("hub"), F.col("base")).otherwise(0)
+    of_single = roots.join(behind, ["conv_id", "root"], "left").select(*keys, F.when(~F.col("lost"), base + F.col("hops")).alias("level"))
+    return of_single.unionByName(of_hubs)
 
 
 def link(conversations: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
@@ -166,6 +203,34 @@ def link(conversations: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]
     )
 
 
+def with_tool_calls(conversations: DataFrame) -> DataFrame:
+    """``conversations`` told through tool calls, so that tables of plain messages exercise the linking.
+
+    Each assistant turn calls ``calculate`` with the call of the assistant's turn before it as
+    argument, and every fourth with the one before that too; a user turn right behind an assistant's brings its result.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", F.xxhash64("role", "text"))
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("k", F.sum((F.col("role") == "assistant").cast("int")).over(order)).withColumn("after", F.lag("role").over(order))
+    ask = lambda n: F.concat(F.lit("${c"), F.col("k") - n, F.lit("}"))
+    said = F.when(F.col("k") == 1, F.lit("1")).when((F.col("k") % 4 == 0), F.concat(ask(1), F.lit(" + "), ask(2))).otherwise(ask(1))
+    call = F.concat(F.lit('{"tool_calls": [{"name": "calculate", "id": "c'), F.col("k"), F.lit('", "arguments": {"expression": "'), said, F.lit('"}}], "content": ""}'))
+    result = F.concat(F.lit('{"tool_call_id": "c'), F.col("k"), F.lit('", "content": {"turn": '), F.col("turn"), F.lit("}}"))
+    is_call, is_result = F.col("role") == "assistant", (F.col("role") == "user") & (F.col("after") == "assistant")
+    return rows.select("conv_id", "turn", F.when(is_result, "tool").otherwise(F.col("role")).alias("role"), F.when(is_call, call).when(is_result, result).otherwise(F.col("text")).alias("text"))
+
+
+CALLS_SQL = """
+WITH r AS (SELECT *, sum((role = 'assistant')::INT) OVER w AS k, lag(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT *, CASE WHEN k = 1 THEN '1' WHEN k % 4 = 0 THEN '${c' || (k - 1) || '} + ${c' || (k - 2) || '}' ELSE '${c' || (k - 1) || '}' END AS said, role = 'user' AND coalesce(after, '') = 'assistant' AS brings FROM r),
+f AS (SELECT conv_id, k, min(turn) AS turn FROM e WHERE brings GROUP BY conv_id, k)
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS ord, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool, false AS linked, true AS valid, '' AS errors, CAST(NULL AS INTEGER) AS step,
+  CASE WHEN role = 'assistant' THEN '{"content":"","tool_calls":[{"arguments":{"expression":"' || said || '"},"id":"c' || k || '","name":"calculate"}]}'
+    ELSE CAST(json_object('content', coalesce(text, ''), 'role', coalesce(role, '')) AS VARCHAR) END AS canonical
+FROM e WHERE NOT brings
+UNION ALL SELECT conv_id, turn, 0, 'result', 'c' || k, NULL, true, true, '', CAST(2 * k - 1 AS INTEGER), '{"content":{"turn":' || turn || '},"tool_call_id":"c' || k || '"}' FROM e WHERE brings
+UNION ALL SELECT e.conv_id, e.turn, 1, 'call', 'c' || e.k, 'calculate', f.turn IS NOT NULL, true, '', CAST(2 * e.k - 2 AS INTEGER),
+  '{"arguments":{"expression":"' || said || '"},"id":"c' || e.k || '","name":"calculate","result":' || coalesce('{"turn":' || f.turn || '}', 'null') || '}' FROM e LEFT JOIN f ON f.conv_id = e.conv_id AND f.k = e.k WHERE e.role = 'assistant'
+"""
 #: Texts that are JSON objects do not occur in the tables that the driver compares; the tests hold those.
 LINK_SQL = """
 SELECT conv_id, turn, CAST(0 AS INTEGER) AS ord, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool,

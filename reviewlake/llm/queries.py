@@ -64,12 +64,17 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 on conversations that are told through tool calls."""
+    return chat.link(chat.with_tool_calls(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
-    return {**found, "pipeline": corpus_pipeline.run}
+    return {**found, "tool_calls": tool_calls, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.SCAN_SQL, "op6_chat": chat.LINK_SQL, "op9_secrets": secrets.scan_sql(), "op13_fill_in_middle": fim.DIGESTS_SQL}
+    return {"op3_decontamination": decontaminate.SCAN_SQL, "op6_chat": chat.LINK_SQL, "tool_calls": chat.CALLS_SQL, "op9_secrets": secrets.scan_sql(), "op13_fill_in_middle": fim.DIGESTS_SQL}
