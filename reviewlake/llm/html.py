@@ -53,8 +53,6 @@ _OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"""(?<![^\s=/>"'])([^\s=/>"']++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 #: A character reference to a number beyond all code points.
 _TOO_LARGE = re.compile(r"&#0*+(?:[1-9][0-9]{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
-#: Elements open at once; those inside more are read as part of what they are in.
-DEEPEST = 512
 _SPACE = re.compile(r"[\s ]+")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*(?:/[^>]*)?>", re.I) for tag in RAW_TAGS}
 
@@ -92,8 +90,9 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     #: name, dropped, boilerplate, in an article
     stack: list[tuple[str, bool, bool, bool]] = []
-    opened: defaultdict[str, int] = defaultdict(int)
-    beyond: defaultdict[str, int] = defaultdict(int)
+    #: places in the stack of each name, and of the names that stand in the way of an end tag: however deep, none is sought
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    edges: dict[frozenset[str], list[int]] = {BLOCK_TAGS: [], _HOLDS: []}
     parts: list[str] = []
     linked, heading = 0, ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -108,15 +107,14 @@ def blocks(html: str) -> list[Block]:
 
     def close(tag: str, barrier: frozenset[str]) -> None:
         """Close the innermost open element of a name, unless one of the barrier is inside it."""
-        if opened[tag]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for name, *_ in stack[k:]:
-                        opened[name] -= 1
-                    del stack[k:]
-                    return
-                if stack[k][0] in barrier:
-                    return
+        places, inside = where[tag], edges.get(barrier, ())
+        if not places or inside and inside[-1] > places[-1]:
+            return
+        for k in range(len(stack) - 1, places[-1] - 1, -1):
+            where[stack.pop()[0]].pop()
+            for edge in edges.values():
+                if edge and edge[-1] == k:
+                    edge.pop()
 
     at, last, loose = 0, html.rfind(">"), False
     while at < len(html):
@@ -133,7 +131,7 @@ def blocks(html: str) -> list[Block]:
                 if "&" in text:
                     text = unescape(_TOO_LARGE.sub("\ufffd", text))
                 parts.append(text)
-                if opened["a"]:
+                if where["a"]:
                     linked += len(text.split())
             continue
         if tag is None:
@@ -145,10 +143,7 @@ def blocks(html: str) -> list[Block]:
         elif tag in ("br", "img", "wbr"):
             parts.append(" " if tag != "wbr" else "")
         if m["close"]:
-            if beyond[tag]:
-                beyond[tag] -= 1
-            else:
-                close(tag, _NOTHING if block else BLOCK_TAGS)  # an inline end tag closes nothing beyond its block
+            close(tag, _NOTHING if block else BLOCK_TAGS)  # an inline end tag closes nothing beyond its block
             continue
         attrs = m["attrs"]
         if tag in RAW_TAGS:
@@ -161,16 +156,16 @@ def blocks(html: str) -> list[Block]:
             close("a", _NOTHING)
         for ends in _IMPLIED_END.get(tag, ()):
             close(ends, _HOLDS)
-        if len(stack) >= DEEPEST:
-            beyond[tag] += 1
-            continue
         _, dropped, boiler, article = stack[-1] if stack else ("", False, False, False)
         marked, hidden = _marks(attrs) if attrs else (False, False)
         inside = article or tag in ("article", "main")
         body = tag in ("html", "body", "article", "main")  # a page's or article's own marks say nothing about its text
         boiler = boiler or tag in BOILER_TAGS or (tag == "header" and not article) or (marked and not body and not (article and tag == "header"))
+        where[tag].append(len(stack))
+        for names, edge in edges.items():
+            if tag in names:
+                edge.append(len(stack))
         stack.append((tag, dropped or hidden or tag in DROPPED_TAGS, boiler, inside))
-        opened[tag] += 1
     flush()
     return out
 

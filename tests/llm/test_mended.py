@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from reviewlake.llm import licenses, secrets, simhash, toxicity
+from reviewlake.llm import html, licenses, secrets, simhash, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -94,3 +95,20 @@ def test_secrets_by_words_not_by_digits(spark):
     rows = list(enumerate(sorted(found | plain)))
     got = {rows[r.doc_id][1] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if "entropy" in r.spans}
     assert got == found
+
+
+def test_marks_hold_at_any_depth():
+    """Menus and articles nested deeper than a page ever is are still told apart."""
+    prose = "These are words of an article that somebody wrote for other people to read, with commas, and with an end. " * 3
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Item {k}</a></li>" for k in range(8)) + "</ul>"
+    for depth in (10, 600, 20_000):
+        inner = f"<nav>{menu}</nav><article><p>{prose}</p></article><footer><p>All about us and our friends</p></footer>"
+        page = "<html><body>" + "<div>" * depth + inner + "</div>" * depth + "</body></html>"
+        assert html.main_text(page) == prose.strip(), depth
+
+
+def test_deep_markup_takes_linear_time():
+    began = time.perf_counter()
+    for piece in ("<div><i>", "<i><b></i>", "<table><tr><td>", "<p><ul><li>", "<div></i>"):
+        html.main_text(piece * 100_000 + "text" + "</div>" * 50_000)
+    assert time.perf_counter() - began < 60
