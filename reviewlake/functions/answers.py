@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -184,4 +187,26 @@ def prompt(templates: dict[str, str], variant: Column, model: Column, values: di
 
 def merged_config(default: dict, user: dict) -> dict:
     """Nested settings where the user's win."""
-    return {k: merged_config(default[k], user[k]) if isinstance(default.get(k), dict) and isinstance(user.get(k), dict) else user.get(k, default.get(k)) for k in [*default, *(k for k in user if k not in default)]}
+    keys = [*default, *(k for k in user if k not in default)]
+    both = lambda k: isinstance(default.get(k), dict) and isinstance(user.get(k), dict)
+    return {k: merged_config(default[k], user[k]) if both(k) else user[k] if k in user else default[k] for k in keys}
+
+
+def merged_settings(default: Column, user: Column) -> Column:
+    """Nested settings of each row, both JSON objects, merged as ``merged_config`` does: canonical JSON, keys sorted.
+
+    A text that is no object counts as empty; a null of the user's wins like any other value.
+    """
+
+    def merge(defaults: pd.Series, users: pd.Series) -> pd.Series:
+        read = lambda t: v if isinstance(v := _object(t), dict) else {}
+        return pd.Series([json.dumps(merged_config(read(d), read(u)), sort_keys=True, ensure_ascii=False, separators=(",", ":")) for d, u in zip(defaults, users, strict=True)], dtype=object)
+
+    return F.pandas_udf(merge, "string")(default, user)
+
+
+def _object(text: str | None) -> object:
+    try:
+        return json.loads(text or "{}")
+    except ValueError:
+        return {}

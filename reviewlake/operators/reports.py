@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules
 from ..functions.text import cell
@@ -59,6 +60,31 @@ def as_markdown(data: Any, level: int = 1) -> str:
     return str(data)
 
 
+def markdown_of(value: Column, kind: T.DataType, level: int = 1) -> Column:
+    """``as_markdown`` of a nested column, as one expression built from its type: structs and arrays of any depth.
+
+    Nulls are written None, as fields and as items; a null struct or array is a null value.
+    """
+
+    def plain(c: Column, t: T.DataType) -> Column:
+        text = F.when(c, "True").otherwise("False") if isinstance(t, T.BooleanType) else c.cast("string")
+        return F.when(c.isNull(), F.lit("None")).otherwise(text)
+
+    nested = lambda t: isinstance(t, T.StructType | T.ArrayType)
+    if isinstance(kind, T.StructType):
+        lines = []
+        for f in kind.fields:
+            c = value[f.name]
+            flat = F.concat(F.lit(f"- **{f.name}**: "), plain(c, f.dataType) if not nested(f.dataType) else F.lit("None"))
+            deep = F.concat(F.lit(f"{'#' * min(level, 6)} {f.name}\n"), markdown_of(c, f.dataType, level + 1)) if nested(f.dataType) else None
+            lines.append(flat if deep is None else F.when(c.isNull(), flat).otherwise(deep))
+        return F.concat_ws("\n", *lines)
+    if isinstance(kind, T.ArrayType):
+        item = kind.elementType
+        return F.array_join(F.transform(value, lambda x: markdown_of(x, item, level) if nested(item) else F.concat(F.lit("- "), plain(x, item))), "\n")
+    return plain(value, kind)
+
+
 def export_line(key: Column, value: Column, form: str) -> Column:
     """One entry of a summary export: markdown (values over the limit cut) or html (escaped)."""
     if form == "markdown":

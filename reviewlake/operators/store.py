@@ -161,3 +161,8 @@ def ordered_columns(target: str, columns: list[str]) -> list[str]:
     """Keys, then model order, then unknown columns by name."""
     known = [c for c in COLUMN_ORDER.get(target, ()) if c in columns]
     return known + sorted(c for c in columns if c not in known)
+
+
+def in_order(rows: DataFrame, target: str) -> DataFrame:
+    """``rows`` with its columns in the target's order."""
+    return rows.select(*ordered_columns(target, rows.columns))

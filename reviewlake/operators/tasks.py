@@ -103,11 +103,11 @@ def normalize(tasks: DataFrame, session_id: str) -> DataFrame:
     return rows.select("ord", F.col("__t").alias("target"), F.col("__a").alias("action"), F.when(needs_session, given).otherwise(F.col("data")).alias("data"))
 
 
-def needs_confirm(tasks: DataFrame) -> DataFrame:
-    """One row: whether some normalised task deletes all without consent, or deletes without naming rows."""
+def needs_confirm(tasks: DataFrame, *keys: str) -> DataFrame:
+    """One row, or one for each value of ``keys``: whether some normalised task deletes all without consent, or deletes without naming rows."""
     unscoped = (F.size("data") == 0) | ~(has("id") | has("pattern_id") | has("issue_id") | has("session_db_id") | has("ids"))
     risky = ((F.col("action") == "delete_all") & (F.coalesce(value("confirm"), F.lit("")) != "true")) | ((F.col("action") == "delete") & unscoped)
-    return tasks.agg(F.coalesce(F.bool_or(risky), F.lit(False)).alias("need_confirm"))
+    return tasks.groupBy(*keys).agg(F.coalesce(F.bool_or(risky), F.lit(False)).alias("need_confirm"))
 
 
 def confirmed(tasks: DataFrame) -> DataFrame:

@@ -227,6 +227,12 @@ def f08(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("ord", "target", "action", F.array_join(F.array_sort(F.map_keys("data")), ",").alias("keys"))
 
 
+@query("f09_confirm_by_batch", f"SELECT ord % 150 AS batch, bool_or(action IN ('delete', 'delete_all')) AS need_confirm FROM ({_TASKS_SQL}) GROUP BY batch")
+def f09_batches(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tasks.normalize(raw_tasks(spark, sf), "s").withColumn("batch", F.col("ord") % 150)
+    return tasks.needs_confirm(rows, "batch")
+
+
 @query("f09_needs_confirm", "SELECT true AS need_confirm")
 def f09(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.needs_confirm(tasks.normalize(raw_tasks(spark, sf), "s"))

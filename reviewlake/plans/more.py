@@ -101,9 +101,9 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.structured(spark, path).select("pattern.title", "i.issue.file_path")
 
 
-@query("s14_vector_ids", "SELECT count(*) AS n FROM (SELECT vec_id FROM embeddings WHERE label = 1 LIMIT 100)")
+@query("s14_vector_ids", "SELECT vec_id AS sqlite_id FROM embeddings WHERE label = 1 ORDER BY vec_id LIMIT 100")
 def s14(spark: SparkSession, sf: str) -> DataFrame:
-    return store.where(tables.vectors(spark, sf), vector_layer="layer1").select("sqlite_id").limit(100).agg(F.count("*").alias("n"))
+    return store.where(tables.vectors(spark, sf), vector_layer="layer1").select("sqlite_id").orderBy("sqlite_id").limit(100)
 
 
 @query("s15_vector_lookup", "SELECT vec_id AS sqlite_id, len(embedding) AS n FROM embeddings WHERE vec_id = 7")
@@ -229,10 +229,11 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.with_ids(rows, one(11), one(12)).select("ord", get("pattern_id"), get("session_id"))
 
 
-@query("f21_column_order", "SELECT 'id,session_id,status,a_extra,z_extra' AS columns")
+@query("f21_column_order", """SELECT o_orderkey AS id, '{"id":' || o_orderkey || ',"session_id":' || o_custkey || ',"user_message":"' || o_orderpriority || '","status":"' || o_orderstatus || '","a_extra":' || (o_orderkey % 7) || ',"z_extra":"z"}' AS line FROM orders""")
 def f21(spark: SparkSession, sf: str) -> DataFrame:
-    found = store.ordered_columns("review_session", ["z_extra", "status", "a_extra", "session_id", "id"])
-    return spark.range(1).select(F.lit(",".join(found)).alias("columns"))
+    """Rows written with their columns in the model's order, unknown ones by name behind them."""
+    rows = tables.sessions(spark, sf).select(F.lit("z").alias("z_extra"), "status", (F.col("id") % 7).alias("a_extra"), "user_message", "session_id", "id")
+    return store.in_order(rows, "review_session").select("id", F.to_json(F.struct("*")).alias("line"))
 
 
 @query("j08_before_after", "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 5 ELSE 0 END AS before, CASE WHEN file_id % 3 = 0 THEN 7 ELSE 0 END AS after FROM (SELECT doc_id AS file_id FROM documents)")
@@ -365,7 +366,7 @@ query("x35_complexity", "SELECT c_custkey AS id, " + _pick_sql("'O(n)'", "'O(n^2
 query("x36_signals", "SELECT c_custkey AS id, " + _pick_sql("false", "true", "false", "false", "false") + " AS cache, " + _pick_sql("false", "true", "false", "false", "false") + " AS refactor FROM customer")(_answer(lambda a: [answers.signals(a)["ai_caching_opportunity"].alias("cache"), answers.signals(a)["ai_refactor_needed"].alias("refactor")]))
 query("x37_quality_lines", "SELECT c_custkey AS id, " + _pick_sql("0", "1", "0", "0", "1") + " AS issues, " + _pick_sql("0", "1", "0", "0", "0") + " AS recommendations, " + _pick_sql("8.1234::DOUBLE", "7.5", "7.0", "7.0", "7.0") + " AS score FROM customer")(_answer(lambda a: [F.size(answers.quality_lines(a)["issues"]).alias("issues"), F.size(answers.quality_lines(a)["recommendations"]).alias("recommendations"), answers.quality_lines(a)["score"].alias("score")]))
 query("x38_suggestion_lines", "SELECT c_custkey AS id, " + _pick_sql("'1,2,3'", "'1,2,3,5'", "'1'", "'1'", "'1'") + " AS ids FROM customer")(_answer(lambda a: [F.array_join(F.transform(answers.suggestion_lines(a), lambda s: s["suggestion_id"].cast("string")), ",").alias("ids")]))
-query("x30_mended_paths", "SELECT c_custkey AS id, '{\"path\": \"C:/a/b\"}' AS fixed FROM customer")(lambda spark, sf: example_answers(spark, sf).select("id", repair.mended_paths(F.lit('{"path": "C:\\a\\b"}')).alias("fixed")))
+query("x30_mended_paths", "SELECT c_custkey AS id, '{\"path\": \"C:/' || c_custkey || '/b\", \"note\": \"é\"}' AS fixed FROM customer")(lambda spark, sf: tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), repair.mended_paths(F.concat(F.lit('{"path": "C:\\'), F.col("c_custkey"), F.lit('\\b", "note": "é"}'))).alias("fixed")))
 query("x42_confirmation", "SELECT c_custkey AS id, [true, false, false, true][c_custkey % 4 + 1] AS confirmed FROM customer")(
     lambda spark, sf: tables.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -474,11 +475,19 @@ def x51(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"))
 
 
-@query("x60_merged_config", "SELECT '{\"a\": {\"b\": 2, \"c\": 1}, \"d\": 3}' AS config")
-def x60(spark: SparkSession, sf: str) -> DataFrame:
-    import json
+_X60 = (
+    ('{"a": {"b": 1, "c": {"x": %s}}, "d": 0}', '{"a": {"b": 2, "c": {"y": "é"}}, "e": [1, 2]}'),
+    ('{"a": {"b": %s}, "d": 0}', '{"a": 5, "d": null}'),
+    ('{"a": 1, "n": %s}', "no settings"),
+)
 
-    return spark.range(1).select(F.lit(json.dumps(answers.merged_config({"a": {"b": 1, "c": 1}}, {"a": {"b": 2}, "d": 3}))).alias("config"))
+
+@query("x60_merged_config", """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '{"a":{"b":2,"c":{"x":' || c_nationkey || ',"y":"é"}},"d":0,"e":[1,2]}' WHEN 1 THEN '{"a":5,"d":null}' ELSE '{"a":1,"n":' || c_nationkey || '}' END AS config FROM customer""")
+def x60(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings of each customer merged over the defaults."""
+    pick = lambda side: F.replace(F.element_at(F.array(*[F.lit(x[side]) for x in _X60]), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit("%s"), F.col("c_nationkey").cast("string"))
+    rows = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), pick(0).alias("defaults"), pick(1).alias("own"))
+    return rows.select("id", answers.merged_settings(F.col("defaults"), F.col("own")).alias("config"))
 
 
 # second pass on code, streams
@@ -533,9 +542,14 @@ def k25(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("ord long, target string, action string, data map<string,string>").json(path).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("k21_k22_markdown", "SELECT '# report' || chr(10) || '- **n**: 2' || chr(10) || '## items' || chr(10) || '- a' || chr(10) || '- b' AS text")
+@query("k21_k22_markdown", with_issues("SELECT requirement_id, '# summary' || chr(10) || '- **total**: ' || count(*) || chr(10) || '- **critical**: ' || CASE WHEN bool_or(severity = 'critical') THEN 'True' ELSE 'False' END || chr(10) || '## sources' || chr(10) || string_agg(DISTINCT '- ' || source, chr(10) ORDER BY '- ' || source) || chr(10) || '# last' || chr(10) || '- **line**: ' || arg_max(line, ord) || chr(10) || '- **note**: None' AS text FROM issues GROUP BY requirement_id"))
 def k21(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(F.lit(reports.as_markdown({"report": {"n": 2, "items": ["a", "b"]}})).alias("text"))
+    """A nested report of each requirement as Markdown."""
+    sources = F.array_sort(F.collect_set("source")).alias("sources")
+    found = tables.issues(spark, sf).groupBy("requirement_id").agg(F.count("*").alias("total"), F.bool_or(F.col("severity") == "critical").alias("critical"), sources, F.max_by("line", "ord").alias("line"))
+    report = F.struct(F.struct("total", "critical", "sources").alias("summary"), F.struct("line", F.lit(None).cast("string").alias("note")).alias("last"))
+    rows = found.select("requirement_id", report.alias("report"))
+    return rows.select("requirement_id", reports.markdown_of(F.col("report"), rows.schema["report"].dataType).alias("text"))
 
 
 @query("x08_changed_ranges", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS first, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS last FROM documents")
