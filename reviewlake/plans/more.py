@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, repair, rules, text, vectors
@@ -521,6 +521,24 @@ def w02(spark: SparkSession, sf: str) -> DataFrame:
     return bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("n")).unionByName(good.agg(F.lit("good").alias("kind"), F.count("*").alias("n")))
 
 
+@query("w02_delivered", "SELECT event_type AS receiver, event_id AS id, event_id % 5 = 0 AS dead, CASE WHEN event_id % 5 <> 0 THEN row_number() OVER (PARTITION BY event_type, event_id % 5 = 0 ORDER BY event_id) END AS position FROM events")
+def w02_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as messages to their type, delivered in three micro-batches; positions in the receivers' queues."""
+    source, out = scratch(spark, "mail"), scratch(spark, "delivered")
+    content = F.when(F.col("event_id") % 5 == 0, "broken {").otherwise(F.concat(F.lit('{"a": '), F.col("event_id"), F.lit("}")))
+    rows = tables.table(spark, sf, "events").select(F.col("event_type").alias("receiver"), F.col("event_id").alias("ord"), F.col("event_id").alias("id"), content.alias("content"))
+    most = rows.agg(F.max("ord")).first()[0] or 0
+    for k in range(3):
+        rows.filter(F.least(F.lit(2), F.floor(F.col("ord") * 3 / (most + 1))) == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    if not runs.deliver(stream, "a int", out, scratch(spark, "delivered-state")):
+        raise TimeoutError("the stream did not end in time")
+    queue = spark.read.option("basePath", f"{out}/queue").parquet(f"{out}/queue")
+    order = Window.partitionBy("receiver").orderBy("batch", "ord")
+    good = queue.select("receiver", "id", F.lit(False).alias("dead"), F.row_number().over(order).cast("long").alias("position"))
+    return good.unionByName(spark.read.parquet(f"{out}/dead").select("receiver", "id", F.lit(True).alias("dead"), F.lit(None).cast("long").alias("position")))
+
+
 @query("w10_available_stream", f"WITH {ISSUES_SQL} SELECT requirement_id, count(*) AS n FROM (SELECT DISTINCT requirement_id, run_id FROM issues) GROUP BY requirement_id")
 def w10(spark: SparkSession, sf: str) -> DataFrame:
     """A file stream processed to its end under a timeout, deduplicated by state."""

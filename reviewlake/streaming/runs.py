@@ -132,7 +132,41 @@ def dead_letters(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame
     """Messages whose content reads as ``schema``, and the others for a dead-letter sink."""
     parsed = messages.withColumn("parsed", F.from_json("content", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("parsed").isNull() | F.col("parsed._corrupt_record").isNotNull()
-    return parsed.filter(~bad), messages.join(parsed.filter(bad).select("id"), "id", "left_semi") if not messages.isStreaming else parsed.filter(bad).drop("parsed")
+    return parsed.filter(~bad), parsed.filter(bad).drop("parsed")
+
+
+def _write_good(batch: DataFrame, path: str) -> None:
+    """Messages in order of receiver and ``ord``: files in order, rows in order within them, also of one busy receiver."""
+    batch.repartitionByRange("receiver", "ord").sortWithinPartitions("receiver", "ord").write.mode("overwrite").parquet(path)
+
+
+def _write_dead(batch: DataFrame, path: str) -> None:
+    batch.write.mode("overwrite").parquet(path)
+
+
+def deliver(messages: DataFrame, schema: str, path: str, checkpoint: str, timeout: float = 1200.0) -> bool:
+    """Queues of a message stream (receiver, ord, id, content) and its dead letters, each message once; false when the timeout came first.
+
+    Each micro-batch writes what reads as ``schema`` to ``path/queue/batch=<id>`` and the rest to
+    ``path/dead/batch=<id>``. A batch that is replayed, because the stream died between the two or
+    before its end was noted, writes over its own folders. By (batch, receiver, ord) a receiver's
+    messages are first in, first out.
+    """
+
+    def both(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            good, bad = dead_letters(held, schema)
+            _write_good(good.select("receiver", "ord", "id", "parsed"), f"{path}/queue/batch={number}")
+            _write_dead(bad.select("receiver", "ord", "id", "content"), f"{path}/dead/batch={number}")
+        finally:
+            held.unpersist()
+
+    query = messages.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    done = query.awaitTermination(int(timeout))
+    if not done:
+        query.stop()
+    return bool(done)
 
 
 def dedupe_requests(requests: DataFrame) -> DataFrame:
