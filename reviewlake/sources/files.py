@@ -143,3 +143,17 @@ def expired(files: DataFrame, days: int = 30, now: Column | None = None) -> Data
     """Files older than the retention time."""
     now = F.current_timestamp() if now is None else now
     return files.filter(F.col("modificationTime") < now - F.make_dt_interval(F.lit(days)))
+
+
+def delete_expired(files: DataFrame, days: int = 30, now: Column | None = None) -> int:
+    """Delete files (path, modificationTime) older than the retention time; how many there were.
+
+    Paths pass the driver one partition at a time. A file that is gone already is not counted.
+    """
+    jvm = files.sparkSession._jvm
+    conf = files.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for row in expired(files, days, now).select("path").toLocalIterator():
+        where = jvm.org.apache.hadoop.fs.Path(row.path)
+        removed += bool(where.getFileSystem(conf).delete(where, False))
+    return removed

@@ -180,6 +180,35 @@ def progress_changes(progress: DataFrame) -> DataFrame:
     return progress.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.col("completed"))).drop("before")
 
 
+PROGRESS = "run_id string, ord long, completed long"
+_PROGRESS = Row("run_id", "ord", "completed")
+
+
+class ProgressTracker(StatefulProcessor):
+    """State of a run: the count that was last told."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.told = handle.getValueState("told", "completed long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.told.get()[0] if self.told.exists() else None
+        last = before
+        for m in sorted(rows, key=lambda m: m["ord"]):
+            if m["completed"] != last:
+                last = m["completed"]
+                yield _PROGRESS(key[0], m["ord"], last)
+        if last != before:
+            self.told.update((last,))
+
+    def close(self) -> None:
+        pass
+
+
+def progress_events(progress: DataFrame) -> DataFrame:
+    """``progress_changes`` on a stream (run_id, ord, completed); the last count of each run is state, across micro-batches."""
+    return progress.select("run_id", "ord", "completed").groupBy("run_id").transformWithState(ProgressTracker(), PROGRESS, "append", "none")
+
+
 def dispatch(requirements: DataFrame) -> DataFrame:
     """The four analysis requests of each requirement."""
     kinds = ("static_scan_request", "quality_analysis_request", "security_analysis_request", "performance_analysis_request")
