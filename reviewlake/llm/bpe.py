@@ -23,12 +23,14 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import arrow_schema, spread, texts_of
+from .common import arrow_schema, spread
 
 #: Words, and fragments, whose encoding a worker remembers, and bytes of them; it forgets all when either is full.
 CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20
 
 
+#: Bytes of ids that one batch may carry.
+BATCH_BYTES = 32 << 20
 #: Stands for the end of a word where words are encoded by ranks; white space, so no word holds it.
 WORD_END = "\n"
 
@@ -201,22 +203,32 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
     schema = T.StructType([docs.schema["doc_id"], *_ENCODED, *([T.StructField("token_ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     target = arrow_schema(schema)
 
+    def made(ids: pa.Array, counts: list[int], digests: list[str], decoded_digests: list[str], packed: list[bytes]) -> pa.RecordBatch:
+        columns = [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded_digests, pa.string())]
+        if with_ids:
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
+        return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, target, strict=True)], schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
+            first, size = 0, 0
             counts, digests, decoded_digests, packed = [], [], [], []
-            for text in texts_of(batch.column(1)):
-                ids, decoded = coder.encode(text)
+            for k, text in enumerate(batch.column(1)):
+                ids, decoded = coder.encode(text.as_py() or "")
                 counts.append(len(ids) // 4)
                 digests.append(hashlib.sha256(ids).hexdigest())
                 decoded_digests.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
                     packed.append(ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded_digests)]
-            if with_ids:
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, target, strict=True)], schema=target)
+                    size += len(ids)
+                if size > BATCH_BYTES:  # places in a list column are 32-bit numbers, and a batch is held whole
+                    yield made(batch.column(0).slice(first, k + 1 - first), counts, digests, decoded_digests, packed)
+                    first, size = k + 1, 0
+                    counts, digests, decoded_digests, packed = [], [], [], []
+            if first < batch.num_rows:
+                yield made(batch.column(0).slice(first), counts, digests, decoded_digests, packed)
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ import time
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from reviewlake.llm import html, licenses, secrets, simhash, toxicity
+from reviewlake.llm import bpe, html, licenses, secrets, simhash, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -112,3 +112,13 @@ def test_deep_markup_takes_linear_time():
     for piece in ("<div><i>", "<i><b></i>", "<table><tr><td>", "<p><ul><li>", "<div></i>"):
         html.main_text(piece * 100_000 + "text" + "</div>" * 50_000)
     assert time.perf_counter() - began < 60
+
+
+def test_ids_of_long_batches_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 40)
+    rows = [(k, "some words that follow each other " * (k % 4) or None) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = {r.doc_id: r for r in bpe.encode(df).collect()}
+    got = bpe.encode(df, with_ids=True).collect()
+    assert sorted(r.doc_id for r in got) == list(range(30)) and all(len(r.token_ids) == r.n_tokens and r.ids_sha256 == whole[r.doc_id].ids_sha256 for r in got)
+    assert {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame([(r.doc_id, r.token_ids) for r in got], "doc_id long, token_ids array<int>")).collect()}[3].startswith("some</w> words</w>")
