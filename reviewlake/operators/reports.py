@@ -106,6 +106,24 @@ def table_text(rows: DataFrame, target: str, width: int = 80, limit: int = 1000)
     return "\n".join([line(columns), "|" + "|".join("-" * (w + 2) for w in widths) + "|", *map(line, data)])
 
 
+def table_lines(rows: DataFrame, target: str, width: int = 80) -> DataFrame:
+    """The rows' own columns, ``part`` and ``line``: a table as lines of text, columns in the target's order.
+
+    Part 0 is the head, 1 the rule below it, 2 a row. The widths, one number for each column, are
+    read first; each row is then written where it lies. Of an empty table head and rule are left.
+    """
+    columns = ordered_columns(target, rows.columns)
+    cells = [cell(F.col(c), width) for c in columns]
+    found = rows.agg(*[F.coalesce(F.max(F.length(c)), F.lit(0)) for c in cells]).first()
+    widths = [max(len(c), w) for c, w in zip(columns, found, strict=True)]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.rpad(c, w, " ") for c, w in zip(cells, widths, strict=True)]), F.lit(" |"))
+    head = "| " + " | ".join(c.ljust(w) for c, w in zip(columns, widths, strict=True)) + " |"
+    rule = "|" + "|".join("-" * (w + 2) for w in widths) + "|"
+    top = rows.sparkSession.createDataFrame([(0, head), (1, rule)], "part int, line string")
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns]
+    return top.select(*none, "part", "line").unionByName(rows.select(*columns, F.lit(2).alias("part"), row.alias("line")))
+
+
 def markdown_summary(issues: DataFrame) -> DataFrame:
     """``(severity, source, markdown)``: up to five issues of each pair as list items and how many more there are."""
     item = F.concat(F.lit("- "), F.coalesce("description", F.lit("")), F.when(F.col("line").isNotNull(), F.concat(F.lit(" (line "), F.col("line").cast("string"), F.lit(")"))).otherwise(""))

@@ -124,6 +124,18 @@ def truncate(table: DataFrame, children: DataFrame | None = None, foreign: str |
     return table.limit(0), emptied
 
 
+def delete_pages(rows: DataFrame, page: int = 100) -> DataFrame:
+    """``(page, n)``: what deleting all rows page by page removes, from pages counted from 1; full ones but for the last.
+
+    Only the number of rows is needed, since no order is asked of the pages.
+    """
+    total = rows.agg(F.count("*").alias("total"))
+    pages = total.select("total", F.explode(F.sequence(F.lit(1).cast("long"), F.call_function("div", F.col("total") + page - 1, F.lit(page)))).alias("page")) if page > 0 else None
+    if pages is None:
+        raise ValueError("a page holds one row at least")
+    return pages.filter("page >= 1 and total > 0").select("page", F.least(F.lit(page), F.col("total") - (F.col("page") - 1) * page).cast("long").alias("n"))
+
+
 def vector_rows(patterns: DataFrame, embed_with: Callable[[Column], Column] = embed, layers: tuple[str, ...] = tuple(LAYERS)) -> DataFrame:
     """A vector object per pattern and layer: text, vector and the stored properties, null properties empty."""
     patterns = patterns.withColumns({f: F.lit(None).cast("string") for lines in LAYERS.values() for _, f in lines if f not in patterns.columns})

@@ -151,9 +151,9 @@ def k12(spark: SparkSession, sf: str) -> DataFrame:
     return store.update(rows, rows.filter("sqlite_id % 9 = 0").select("sqlite_id", F.lit("layer99").alias("vector_layer")), ["vector_layer"], "sqlite_id").select("sqlite_id", "vector_layer")
 
 
-@query("k16_delete_all_vectors", "SELECT 0::BIGINT AS n")
+@query("k16_delete_all_vectors", "SELECT p AS page, least(100, n - (p - 1) * 100)::BIGINT AS n FROM (SELECT count(*) AS n FROM embeddings) , range(1, 1000000) t(p) WHERE (p - 1) * 100 < n")
 def k16(spark: SparkSession, sf: str) -> DataFrame:
-    return store.truncate(tables.vectors(spark, sf))[0].agg(F.count("*").alias("n"))
+    return store.delete_pages(tables.vectors(spark, sf))
 
 
 # predicates and joins
@@ -301,12 +301,13 @@ def t12(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("file_id").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("a13_union_header", "SELECT 'extra,key,name' AS headers")
+@query("a13_union_header", "SELECT 'customer' AS target, c_custkey AS id, to_json({'balance': c_acctbal > 0, 'name': c_name}) AS line FROM customer UNION ALL SELECT 'order', o_orderkey, to_json({'owner': o_custkey, 'status': o_orderstatus}) FROM orders")
 def a13(spark: SparkSession, sf: str) -> DataFrame:
-    nation = tables.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("key"))
-    region = tables.table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("x").alias("extra"))
-    joined = reports.grouped_union({"nation": nation, "region": region})
-    return spark.range(1).select(F.lit(",".join(c for c in joined.columns if c != "target")).alias("headers"))
+    """Customers and orders under the union of their columns; each row as it was."""
+    customers = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("balance"))
+    orders = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"))
+    rows = reports.grouped_union({"customer": customers, "order": orders})
+    return rows.select("target", "id", F.to_json(F.struct(*(c for c in rows.columns if c not in ("target", "id")))).alias("line"))
 
 
 @query("u02_merged_sets", with_issues("SELECT run_id, len(list(DISTINCT requirement_id)) AS n FROM issues GROUP BY run_id"))
@@ -458,10 +459,14 @@ def x44(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array_join(reports.paths_in(said), ",").alias("paths"))
 
 
-@query("x46_tables", "SELECT 5 AS lines")
+@query(
+    "x46_tables",
+    "WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS a, c_mktsegment AS b FROM customer), w AS (SELECT greatest(8, max(length(a))) AS wa, greatest(7, max(length(b))) AS wb FROM c) "
+    "SELECT 2 AS part, '| ' || rpad(a, wa::INT, ' ') || ' | ' || rpad(b, wb::INT, ' ') || ' |' AS line FROM c, w UNION ALL SELECT 0, '| ' || rpad('customer', wa::INT, ' ') || ' | ' || rpad('segment', wb::INT, ' ') || ' |' FROM w UNION ALL SELECT 1, '|' || repeat('-', (wa + 2)::INT) || '|' || repeat('-', (wb + 2)::INT) || '|' FROM w",
+)
 def x46(spark: SparkSession, sf: str) -> DataFrame:
-    shown = reports.table_text(tables.table(spark, sf, "region").orderBy("r_regionkey").limit(3), "other")
-    return spark.range(1).select(F.lit(len(shown.splitlines())).alias("lines"))
+    rows = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment"))
+    return reports.table_lines(rows, "other").select("part", "line")
 
 
 @query("x48_labels", with_issues("SELECT DISTINCT severity, CASE severity WHEN 'critical' THEN '🚨 严重' WHEN 'high' THEN '🔴 高' WHEN 'medium' THEN '🟡 中' ELSE '🟢 低' END AS label, source, source AS source_label FROM issues"))

@@ -127,3 +127,12 @@ def test_csv_and_json_exports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "runs/run_id=r1")).count() == 2
     assert reports.as_markdown({"a": {"b": 1, "c": [1, 2]}}).splitlines() == ["# a", "- **b**: 1", "## c", "- 1", "- 2"]
     assert "| z" in reports.table_text(rows, "other")
+    assert sorted((r.part, r.line) for r in reports.table_lines(rows, "other").select("part", "line").collect()) == [(min(k, 2), line) for k, line in enumerate(reports.table_text(rows, "other").splitlines())]
+    assert reports.table_lines(rows.limit(0), "other").count() == 2
+
+
+def test_pages_of_a_bulk_delete(spark):
+    from reviewlake.operators import store
+
+    for n, want in ((0, []), (1, [1]), (100, [100]), (101, [100, 1]), (250, [100, 100, 50])):
+        assert [r.n for r in store.delete_pages(spark.range(n)).orderBy("page").collect()] == want
