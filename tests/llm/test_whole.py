@@ -182,7 +182,10 @@ def test_model_scores_by_brute_force(spark, sf):
     fits = []
     for prior in languagemodel.PRIORS:
         want = {i: math.log10((words[t[0]] + 1) / (n + v + 1)) + sum(log_p(t, prior, 0.0)) for i, t in rows}
-        if all(abs(got[i] - w) < 0.01 * abs(w) + 1 for i, w in want.items()):  # false hits make single tokens likelier
+        off = {i: abs(got[i] - w) for i, w in want.items()}
+        # a false hit makes a pair twice as frequent as it is; a text that repeats it all over shows that
+        near = sum(off[i] < 0.01 * abs(w) + 1 for i, w in want.items())
+        if near >= 0.99 * len(want) and all(off[i] < 0.05 * abs(w) + 3 for i, w in want.items()) and abs(sum(got.values()) - sum(want.values())) < 0.005 * abs(sum(want.values())):
             fits.append(prior)
     # false hits of the filter may tip the balance between priors that are as good as each other
     assert fits and max(likely[f] for f in fits) > 1.005 * max(likely.values())
