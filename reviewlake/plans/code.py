@@ -29,6 +29,31 @@ def c02(spark: SparkSession, sf: str) -> DataFrame:
     return tables.files(spark, sf).select("file_id", lines.scan_language(F.col("content")).alias("language"))
 
 
+# Fixed values of the rules, written out for the SQL alone, so that a wrong word in the operators shows.
+_PERFORMANCE = {
+    "python": ("def ", "import ", "class ", "self.", "__init__", "lambda:", "yield "),
+    "cpp": ("#include", "namespace", "std::", "cout", "cin", "template<", "using namespace"),
+    "c": ("#include", "printf", "scanf", "malloc", "free", "struct ", "typedef"),
+}
+_QUALITY = {
+    "python": ("def ", "import ", "class ", "self.", "__init__"),
+    "cpp": ("#include", "namespace", "std::", "cout", "cin"),
+    "c": ("#include", "printf", "scanf", "malloc", "free"),
+}
+_IO = {
+    "file_io": ("open(", "read(", "write(", "close()"),
+    "database_io": ("execute(", "query(", "select", "insert", "update"),
+    "network_io": ("requests.", "urllib.", "socket.", "httpx."),
+}
+_CONTEXT = {
+    "web_application": ("flask", "django", "fastapi"),
+    "authentication_present": ("password", "auth", "jwt", "oauth"),
+    "database_usage": ("sql", "database", "sqlite", "mysql", "postgres"),
+    "network_operations": ("requests", "http", "socket", "urllib", "aiohttp"),
+    "encryption_usage": ("encrypt", "hash", "bcrypt", "sha", "cipher"),
+}
+
+
 def _marks_sql(marks: dict[str, tuple[str, ...]]) -> str:
     one = lambda k, words: " + ".join(f"contains({'content' if k == 'python' else 'lower(content)'}, '{w}')::INT" for w in words)
     return ", ".join(f"{one(k, words)} AS {k}_n" for k, words in marks.items())
@@ -37,12 +62,12 @@ def _marks_sql(marks: dict[str, tuple[str, ...]]) -> str:
 _BEST = "CASE WHEN greatest(python_n, cpp_n, c_n) = 0 THEN 'unknown' WHEN python_n = greatest(python_n, cpp_n, c_n) THEN 'python' WHEN cpp_n = greatest(python_n, cpp_n, c_n) THEN 'cpp' ELSE 'c' END"
 
 
-@query("c03_performance_language", W + f"SELECT file_id, {_BEST} AS language FROM (SELECT file_id, {_marks_sql(lines.PERFORMANCE_MARKS)} FROM files)")
+@query("c03_performance_language", W + f"SELECT file_id, {_BEST} AS language FROM (SELECT file_id, {_marks_sql(_PERFORMANCE)} FROM files)")
 def c03(spark: SparkSession, sf: str) -> DataFrame:
     return tables.files(spark, sf).select("file_id", lines.performance_language(F.col("content")).alias("language"))
 
 
-@query("c04_quality_language", W + f"SELECT file_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.cpp' THEN 'cpp' ELSE {_BEST} END AS language FROM (SELECT file_id, path, {_marks_sql(lines.QUALITY_MARKS)} FROM files)")
+@query("c04_quality_language", W + f"SELECT file_id, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.cpp' THEN 'cpp' ELSE {_BEST} END AS language FROM (SELECT file_id, path, {_marks_sql(_QUALITY)} FROM files)")
 def c04(spark: SparkSession, sf: str) -> DataFrame:
     return tables.files(spark, sf).select("file_id", lines.quality_language(F.col("content"), F.regexp_extract("path", r"(\.[^.]*)$", 1)).alias("language"))
 
@@ -78,14 +103,14 @@ def c11(spark: SparkSession, sf: str) -> DataFrame:
     "c12_recursive_calls",
     WL
     + f"""SELECT file_id, function_name, line_no AS line_number, s AS call_expression FROM (SELECT l.*, last_value(CASE WHEN s LIKE 'def %' THEN trim(regexp_extract(split_part(text, 'def ', 2), '^([^(]*)', 1)) END IGNORE NULLS) OVER (PARTITION BY l.file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS function_name
-    FROM lines l JOIN (SELECT file_id FROM (SELECT file_id, {_marks_sql(lines.PERFORMANCE_MARKS)} FROM files) WHERE {_BEST} = 'python') p ON p.file_id = l.file_id) WHERE s NOT LIKE 'def %' AND function_name <> '' AND contains(text, function_name) AND contains(text, '(')""",
+    FROM lines l JOIN (SELECT file_id FROM (SELECT file_id, {_marks_sql(_PERFORMANCE)} FROM files) WHERE {_BEST} = 'python') p ON p.file_id = l.file_id) WHERE s NOT LIKE 'def %' AND function_name <> '' AND contains(text, function_name) AND contains(text, '(')""",
 )
 def c12(spark: SparkSession, sf: str) -> DataFrame:
     return lines.python_recursion(tables.files(spark, sf))
 
 
 #: C definitions with their names, and the second of the first two closing lines in a row within 50 lines.
-_C_SCOPES = f"""c AS (SELECT l.*, lag(s) OVER (PARTITION BY l.file_id ORDER BY line_no) AS before FROM lines l JOIN (SELECT file_id FROM (SELECT file_id, {_marks_sql(lines.PERFORMANCE_MARKS)} FROM files) WHERE {_BEST} IN ('c', 'cpp')) p ON p.file_id = l.file_id),
+_C_SCOPES = f"""c AS (SELECT l.*, lag(s) OVER (PARTITION BY l.file_id ORDER BY line_no) AS before FROM lines l JOIN (SELECT file_id FROM (SELECT file_id, {_marks_sql(_PERFORMANCE)} FROM files) WHERE {_BEST} IN ('c', 'cpp')) p ON p.file_id = l.file_id),
 d AS (SELECT file_id, line_no, regexp_extract(trim(split_part(text, '(', 1)), '(\\S+)$', 1) AS name FROM c WHERE regexp_matches(text, 'void |int |bool |char |double |float ') AND contains(text, '(') AND contains(text, '{{') AND contains(trim(split_part(text, '(', 1)), ' ')),
 e AS (SELECT d.file_id, d.line_no, any_value(d.name) AS name, min(c.line_no) AS closed FROM d LEFT JOIN c ON c.file_id = d.file_id AND c.line_no > d.line_no AND c.line_no <= d.line_no + 50 AND c.s = '}}' AND c.before = '}}' GROUP BY d.file_id, d.line_no) """
 
@@ -114,7 +139,7 @@ def c09(spark: SparkSession, sf: str) -> DataFrame:
 
 def _io_sql() -> str:
     parts = []
-    for kind, marks in lines.IO_MARKS.items():
+    for kind, marks in _IO.items():
         case = " ".join(f"WHEN contains(lower(text), '{m}') THEN '{m}'" for m in marks)
         parts.append(f"SELECT file_id, line_no AS line_number, '{kind}' AS io_type, s AS operation, CASE {case} END AS pattern_matched FROM lines")
     return WL + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE pattern_matched IS NOT NULL"
@@ -158,7 +183,7 @@ def c19(spark: SparkSession, sf: str) -> DataFrame:
     return lines.style_check(tables.files(spark, sf))
 
 
-@query("c20_security_context", W + "SELECT dir, " + ", ".join(f"bool_or({_has('lower(content)', *words)}) AS {flag}" for flag, words in lines.CONTEXT_WORDS.items()) + " FROM (SELECT *, split_part(path, '/', 1) AS dir, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path) AS rn FROM files) WHERE rn <= 5 GROUP BY dir")
+@query("c20_security_context", W + "SELECT dir, " + ", ".join(f"bool_or({_has('lower(content)', *words)}) AS {flag}" for flag, words in _CONTEXT.items()) + " FROM (SELECT *, split_part(path, '/', 1) AS dir, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY path) AS rn FROM files) WHERE rn <= 5 GROUP BY dir")
 def c20(spark: SparkSession, sf: str) -> DataFrame:
     return lines.security_context(tables.files(spark, sf).withColumn("dir", F.split_part("path", F.lit("/"), F.lit(1))), "dir")
 

@@ -498,11 +498,12 @@ def x60(spark: SparkSession, sf: str) -> DataFrame:
 # second pass on code, streams
 
 
-@query("r06_detections", FILES + "SELECT file_id, count(*) AS n FROM (SELECT file_id, 1 FROM files WHERE file_id % 4 = 3) GROUP BY file_id")
+@query("r06_detections", FILES + "SELECT file_id, count(*) AS n FROM files WHERE length(content) % 11 > 7 GROUP BY file_id")
 def r06(spark: SparkSession, sf: str) -> DataFrame:
-    """Classifier rows above the confidence bound on each file's first three chunks, deduplicated."""
-    chunks = tables.files(spark, sf).select("file_id", F.posexplode(F.slice(chunking.line_chunks(F.col("content")), 1, 3)).alias("chunk", "code"))
-    scored = chunks.withColumn("confidence", F.when(F.col("file_id") % 4 == 3, 0.9).otherwise(0.5)).filter("confidence > 0.7")
+    """Classifier rows above the confidence bound on each file's first three chunks, deduplicated; what the classifier says is read off the file's length."""
+    said = (F.length("content") % 11).cast("double") / 10
+    chunks = tables.files(spark, sf).select("file_id", said.alias("confidence"), F.posexplode(F.slice(chunking.line_chunks(F.col("content")), 1, 3)).alias("chunk", "code"))
+    scored = chunks.filter("confidence > 0.7")
     found = scored.select("file_id", F.col("chunk").alias("ord"), F.lit("ai_detected_issue").alias("type"), F.lit("").alias("location"), F.lit("same").alias("description"), rules.detection_severity(F.lit("x"), F.col("code"), F.col("confidence")).alias("severity"))
     return dedupe.dedupe_vulnerabilities(found, "file_id").groupBy("file_id").agg(F.count("*").alias("n"))
 
