@@ -194,7 +194,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "quer
     before, number = None, 0
     while True:
         asked = state.select("query_id", "vector", "bound")
-        met = asked.mapInArrow(visits(number), _VISIT).join(index.packed, ["cell", "slice"]).select("ids", "rows", "other_ids", "other_rows").mapInArrow(multiply, _FOUND)
+        # Spark takes the visits to be no larger than the queries, of which each makes many: they are never for broadcast
+        visited = asked.mapInArrow(visits(number), _VISIT).hint("merge").join(index.packed, ["cell", "slice"])
+        met = visited.select("ids", "rows", "other_ids", "other_rows").mapInArrow(multiply, _FOUND)
         new = _least(met, k).withColumnRenamed("hits", "new")
         ahead = asked.mapInArrow(look(number), looked)
         both = F.slice(F.array_sort(F.concat("hits", F.coalesce("new", empty))), 1, k)

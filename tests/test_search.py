@@ -86,6 +86,24 @@ def test_vectors_are_not_moved_again_for_queries(spark, monkeypatch):
     index.packed.unpersist()
 
 
+def test_visits_are_shuffled_whatever_their_estimated_size(spark, monkeypatch, tmp_path):
+    """Each query visits many cells, so the visits outgrow the estimate that Spark makes from the queries."""
+    r = random.Random(5)
+    spark.createDataFrame(clustered(r, 300, 4, 10, 0.1), VECTORS).write.parquet(f"{tmp_path}/v")
+    rows = spark.read.parquet(f"{tmp_path}/v")
+    joins, least = [], search._least
+
+    def kept(met, k):
+        plan = met._jdf.queryExecution().sparkPlan().toString().splitlines()
+        joins.append(next(line for line in plan if "Join" in line))
+        return least(met, k)
+
+    monkeypatch.setattr(search, "CELL_ROWS", 20)
+    monkeypatch.setattr(search, "_least", kept)
+    assert search.nearest(rows.withColumnRenamed("sqlite_id", "query_id"), rows, 3, exclude_self=True).count() == 900
+    assert joins and all("SortMergeJoin" in j for j in joins), joins
+
+
 def test_empty_sides_and_repeated_runs(spark):
     rows = spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(30)], VECTORS)
     asked = rows.withColumnRenamed("sqlite_id", "query_id")
