@@ -49,6 +49,19 @@ def test_one_huge_text_does_not_end_the_sample(spark, monkeypatch):
     assert not any(k % 4 == 0 and k != first for k in kept) and sum(k % 4 != 0 for k in kept) == 300
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """The distributed fit is that of all rows in memory, whatever a sample would hold."""
+    for name in ("SAMPLE_TOXIC", "SAMPLE_CLEAN"):
+        monkeypatch.setattr(toxicity, name, 10)
+    docs, labels = labelled(spark)
+    got = toxicity.fitted(docs, labels)
+    rows = [(r.doc_id, r.text, r.toxic) for r in docs.join(labels, "doc_id").filter(~toxicity.held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD)).collect()]
+    want = toxicity.train(rows)
+    assert got.learned and "=moron" in got.weights and got.model.seen == want.model.seen
+    assert got.weights.keys() == want.weights.keys() and all(abs(got.weights[k] - w) < 1e-9 for k, w in want.weights.items())
+    assert abs(got.coef - want.coef).max() < 1e-6
+
+
 def test_keep_one_with_clashing_columns(spark):
     rows = [(1, "some words that are here", 7, 8, 9, "a"), (2, "some words that are here", 1, 2, 3, "b"), (3, "quite another text altogether now", 4, 5, 6, "c"), (3, "a third text under that number", 4, 5, 6, "d"), (None, "no id", 0, 0, 0, "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, __rl_gone int, gone int, Twice int, row string")
