@@ -38,10 +38,9 @@ RANGES_A_TASK = 4
 PER_DOUBLING, TOP_LEVEL = 1, 40
 #: Tokens of training text for each hash group, and the bounds on their number.
 GROUP_TOKENS, LEAST_GROUPS, MOST_GROUPS = 1 << 20, 16, 1 << 20
-#: Weights that the word model may have in a pair's probability; the one that suits the training texts best is taken, each
-#: token judged by the other occurrences of its pair. So many texts are sampled for it: the choice is one among few.
+#: Weights that the word model may have in a pair's probability; the one that suits all training texts best is taken, each
+#: token judged by the other occurrences of its pair.
 PRIORS = (5.0, 20.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0)
-PRIOR_TEXTS = 5_000
 #: Most frequent tokens whose exact counts are broadcast; the others are joined.
 HEAD_TOKENS = 200_000
 #: Distinct tokens, and word pairs, that a task holds before it passes their counts on.
@@ -214,21 +213,29 @@ class Model:
 
     def score_all(self, texts: list[np.ndarray], exact: np.ndarray, prior: float, found: list[bytes | None] | None = None) -> np.ndarray:
         """log10 probability of each text, given the hashes of its tokens and their exact counts where known."""
-        if not texts:
-            return np.zeros(0)
-        own, seen, before, first = self._counts(texts, exact, found)
+        return self._scores(*self._counts(texts, exact, found), prior) if texts else np.zeros(0)
+
+    def _scores(self, own: np.ndarray, seen: np.ndarray, before: np.ndarray, first: np.ndarray, prior: float) -> np.ndarray:
         word = (own + 1.0) / (self.n + self.v + 1.0)
         p = np.where(first, word, self._pair(word, seen, before, prior))
         return np.add.reduceat(np.log10(np.minimum(p, 1.0)), np.flatnonzero(first))
 
-    def left_out(self, texts: list[np.ndarray], exact: np.ndarray, found: list[bytes | None] | None = None) -> list[float]:
-        """For each of ``PRIORS`` the log10 likelihood of training texts, each token without its own occurrence."""
+    def score_each(self, texts: list[np.ndarray], exact: np.ndarray, training: np.ndarray, found: list[bytes | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``PRIORS`` a column: ``score_all`` of each text, and the left-out likelihood of those that are training texts.
+
+        Left out: the log10 likelihood of a text's tokens after its first, each without its own occurrence; zero for other texts.
+        """
         if not texts:
-            return [0.0] * len(PRIORS)
-        own, seen, before, first = self._counts(texts, exact, found)
-        own, seen, before = (np.maximum(x[~first] - 1.0, 0.0) for x in (own, seen, before))
+            return np.zeros((0, len(PRIORS))), np.zeros((0, len(PRIORS)))
+        counts = own, seen, before, first = self._counts(texts, exact, found)
+        scores = np.stack([self._scores(*counts, prior) for prior in PRIORS], axis=1)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        judged = ~first & training[row]
+        row = row[judged]
+        own, seen, before = (np.maximum(x[judged] - 1.0, 0.0) for x in (own, seen, before))
         word = (own + 1.0) / (self.n + self.v + 1.0)
-        return [float(np.log10(self._pair(word, seen, before, prior)).sum()) for prior in PRIORS]
+        left = [np.bincount(row, weights=np.log10(self._pair(word, seen, before, prior)), minlength=len(texts)) for prior in PRIORS]
+        return scores, np.stack(left, axis=1)
 
 
 def exact_counts(head: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
@@ -495,21 +502,10 @@ def head_count(counted: DataFrame, most: int = HEAD_TOKENS) -> int:
     return 0
 
 
-def best_prior(drawn: DataFrame, shared) -> float:
-    """The prior of best left-out likelihood over ``drawn``, training texts with the levels that the shared model lacks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                split = [tokens_of(t) for t in texts_of(piece.column(0))]
-                exact = np.concatenate([exact_counts(head, t) for t in split])
-                sums = model.left_out([word_hashes(t) for t in split], exact, piece.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(PRIORS)), pa.int32()), pa.array(sums, pa.float64())], names=["k", "sum"])
-
-    sums = drawn.select("text", "levels").mapInArrow(run, "k int, sum double").groupBy("k").agg(F.sum("sum")).collect()
-    return PRIORS[max(map(tuple, sums), key=lambda x: (x[1], -x[0]))[0]] if sums else PRIORS[0]
+def best_prior(rows: DataFrame) -> int:
+    """Place of the prior of best left-out likelihood over all training texts, from rows with ``left``; the first of equals."""
+    sums = rows.agg(*[F.sum(F.col("left")[k]) for k in range(len(PRIORS))]).first()
+    return max(range(len(PRIORS)), key=lambda k: (sums[k] or 0.0, -k))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -534,13 +530,8 @@ def score(docs: DataFrame) -> DataFrame:
     head = dict(map(tuple, counted.filter(F.col("n") > least).collect()))
     head = {bytes(k): c for k, c in head.items()}
     shared = spark.sparkContext.broadcast((model, head))
-    trained = head.get(END) or counted.filter(F.col("token") == F.lit(END)).agg(F.max("n")).first()[0] or 0
-    share = min(1.0, PRIOR_TEXTS / max(1, trained))
-    drawn = texts.filter(~F.col("held_out"))
-    drawn = drawn if share == 1.0 else drawn.sample(share, 7)
     if not broadcast:
-        drawn, texts = probed(settle(drawn), kept, opens, groups), probed(texts, kept, opens, groups)
-    prior = best_prior(drawn, shared)
+        texts = probed(texts, kept, opens, groups)
     unseen = -math.log10(n + v + 1.0)
     rare = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("n", T.IntegerType())])
     schema = T.StructType(
@@ -551,7 +542,8 @@ def score(docs: DataFrame) -> DataFrame:
             T.StructField("n_tokens", T.LongType()),
             T.StructField("known", T.LongType()),
             T.StructField("base", T.DoubleType()),
-            T.StructField("score", T.DoubleType()),
+            T.StructField("scores", T.ArrayType(T.DoubleType())),
+            T.StructField("left", T.ArrayType(T.DoubleType())),
             T.StructField("rare", T.ArrayType(rare)),
         ]
     )
@@ -577,14 +569,17 @@ def score(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
                 structs = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.binary()), pa.array([p[1] for p in flat], pa.int32())], names=["token", "n"])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), structs).cast(target.field("rare").type)
-                columns = [piece.column(0), piece.column(1), piece.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model.score_all(hashes, np.concatenate(exact), prior, piece.column(4).to_pylist()), pa.float64()), lists]
+                training = ~np.array(piece.column(2).to_pylist(), dtype=bool)
+                scores, left = (pa.array(list(x), target.field("left").type) for x in model.score_each(hashes, np.concatenate(exact), training, piece.column(4).to_pylist()))
+                columns = [piece.column(0), piece.column(1), piece.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), scores, left, lists]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    rows = texts.mapInArrow(run, schema)
+    # scores by each prior in one pass over the texts; all training texts then tell which prior it is
+    rows = settle(texts.mapInArrow(run, schema))
+    rows = rows.withColumn("score", F.col("scores")[best_prior(rows)]).drop("scores", "left")
     fixed = [F.col("doc_id"), F.col("held_out"), F.col("n_tokens")]
     if whole:
         return rows.select(*fixed, F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
-    rows = settle(rows)
     tail = rows.select("row", F.explode("rare").alias("r")).select("row", "r.token", F.col("r.n").alias("times"))
     sums = tail.join(counted.filter(F.col("n") <= least), "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("add"))
     return rows.drop("rare").join(sums, "row", "left").select(

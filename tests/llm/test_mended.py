@@ -8,7 +8,7 @@ import time
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from reviewlake.llm import bpe, html, licenses, secrets, simhash, toxicity
+from reviewlake.llm import bpe, html, languagemodel, licenses, secrets, simhash, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,6 +62,17 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert abs(got.coef - want.coef).max() < 1e-6
 
 
+def test_the_prior_is_chosen_on_every_training_text(spark, monkeypatch):
+    docs, _ = labelled(spark)
+    judged, best = [], languagemodel.best_prior
+    monkeypatch.setattr(languagemodel, "best_prior", lambda rows: judged.extend(rows.collect()) or best(rows))
+    scores = {r.doc_id: r.score for r in languagemodel.score(docs).collect()}
+    sums = [sum(r.left[k] for r in judged) for k in range(len(languagemodel.PRIORS))]
+    k = sums.index(max(sums))
+    assert len(judged) == 400 and all((r.left[0] < 0) != r.held_out for r in judged)
+    assert all(scores[r.doc_id] == r.scores[k] for r in judged)
+
+
 def test_keep_one_with_clashing_columns(spark):
     rows = [(1, "some words that are here", 7, 8, 9, "a"), (2, "some words that are here", 1, 2, 3, "b"), (3, "quite another text altogether now", 4, 5, 6, "c"), (3, "a third text under that number", 4, 5, 6, "d"), (None, "no id", 0, 0, 0, "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, __rl_gone int, gone int, Twice int, row string")
