@@ -1,6 +1,6 @@
 """Splitting and packing of text under character and token budgets.
 
-Packing is sequential, so these run in Python on Arrow batches, row by row, without a shuffle.
+Packing is sequential, so these run in Python on Arrow batches, a few rows at a time, without a shuffle.
 A token counter is any function from text to a number; ``quarter`` is the fallback.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,17 +132,26 @@ def by_lines(text: str, limit: int) -> list[str]:
     return ["\n".join(c) for c in chunks]
 
 
+#: Rows of a batch whose values are Python objects at a time.
+SLICE = 128
+
+
+def _sliced(f: Callable, target: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``f`` of each row; what lies in Arrow's form is a batch, what are Python objects a slice of it."""
+    out = [pa.array([f(*row) for row in zip(*(c.slice(at, SLICE).to_pylist() for c in columns), strict=True)], target) for at in range(0, len(columns[0]), SLICE)]
+    return pa.concat_arrays(out) if out else pa.array([], target)
+
+
 def _mapped(f: Callable, kind: str) -> Callable[..., Column]:
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([f(*row) for row in zip(*series, strict=True)], dtype=object)
+    target = pa.list_(pa.string()) if kind == "array<string>" else pa.string()
 
-    def one(a: pd.Series) -> pd.Series:
-        return run(a)
+    def one(a: pa.Array) -> pa.Array:
+        return _sliced(f, target, a)
 
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return run(a, b)
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _sliced(f, target, a, b)
 
-    return lambda *columns: F.pandas_udf(one if len(columns) == 1 else two, kind)(*columns)
+    return lambda *columns: F.arrow_udf(one if len(columns) == 1 else two, kind)(*columns)
 
 
 def unit_list(text: Column) -> Column:
