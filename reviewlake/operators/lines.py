@@ -6,7 +6,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -349,27 +348,36 @@ def hardening(files: DataFrame, most: int = 8) -> DataFrame:
     return files.select("file_id", F.inline(F.slice(rows, 1, most)))
 
 
+#: Files of a batch whose lines are Python objects at a time.
+SLICE = 128
+
+
 def python_functions(files: DataFrame, n: int = 10) -> DataFrame:
     """Texts of each file's first ``n`` Python functions: file_id, position, name, code.
 
     A definition runs to the next line that is not indented deeper (comments aside).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, k + 1, name, code) for i, text in zip(batch["file_id"], batch["content"], strict=True) for k, (name, code) in enumerate(_functions(text or "")[:n])]
-            yield pd.DataFrame(out, columns=["file_id", "position", "name", "code"])
+            for at in range(0, batch.num_rows, SLICE):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                out = [(i, k, name, code) for i, text in zip(ids, texts, strict=True) for k, (name, code) in enumerate(_functions(text or "", n), 1)]
+                columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["file_id", "position", "name", "code"])
 
-    return files.select("file_id", "content").mapInPandas(run, "file_id long, position int, name string, code string")
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "content").mapInArrow(run, "file_id long, position int, name string, code string")
 
 
-def _functions(text: str) -> list[tuple[str, str]]:
+def _functions(text: str, most: int) -> list[tuple[str, str]]:
     found: list[list[str]] = []
     depth: int | None = None
     for line in text.split("\n"):
         bare = line.strip()
         indent = len(line) - len(line.lstrip())
         if bare.startswith("def "):
+            if len(found) == most:
+                break
             depth = indent
             found.append([line])
         elif depth is not None:
