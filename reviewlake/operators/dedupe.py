@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,38 +120,30 @@ PLAN_FIELDS = ("type", "description", "recommendation", "priority", "expected_ef
 PLAN_CATEGORIES = ("immediate_optimizations", "algorithmic_improvements", "architectural_changes")
 
 
-def _merge_plan(items: pd.DataFrame) -> pd.DataFrame:
-    """Sequential merge of one plan's items, which come in category and list order."""
-    rank = VULNERABILITY_RANK
-    best: dict[str, dict] = {}
-    for row in items.sort_values(["category_ord", "pos"]).to_dict("records"):
-        key = re.sub(r"\s+", " ", f"{row['type'] or 'general'}|{row['description'] or ''}|{row['recommendation'] or ''}".strip().lower())
-        old = best.get(key)
-        if old is None:
-            best[key] = row
-            continue
-        # the item of higher priority gives the values, the other one fills its gaps
-        higher = rank.get(row["priority"], 3) > rank.get(old["priority"], 3)
-        main, rest = (row, old) if higher else (old, row)
-        best[key] = main | {f: main[f] or rest[f] or "" for f in ("expected_effect", "location", "reason")}
-    found = pd.DataFrame(list(best.values()), columns=items.columns)
-    found["position"] = range(len(found))
-    found["weight"] = [-rank.get(p, 3) for p in found["priority"]]
-    found = found.sort_values(["category_ord", "weight", "position"], kind="stable")
-    found["position"] = found.groupby("category_ord").cumcount() + 1
-    return found[found["position"] <= 5][["plan_id", "category", "position", *PLAN_FIELDS]]
-
-
 def merge_plans(items: DataFrame) -> DataFrame:
     """Optimisation items of each plan, deduplicated across its three categories, five per category.
 
-    ``items``: plan_id, category, pos and the plan fields. A plan is one model's answer, so a
-    group is a few dozen rows.
+    ``items``: plan_id, category, pos and the plan fields. Items of one text are merged in category
+    and list order: one of higher priority than all before gives the values, the others fill its
+    gaps, so a gap is filled by the last such item that has the field, else by the first item at all.
     """
-    order = F.array_position(F.array(*map(F.lit, PLAN_CATEGORIES)), F.col("category"))
-    schema = "plan_id long, category string, position long, " + ", ".join(f"{f} string" for f in PLAN_FIELDS)
-    text = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in PLAN_FIELDS]
-    return items.select("plan_id", "category", order.cast("int").alias("category_ord"), "pos", *text).groupBy("plan_id").applyInPandas(_merge_plan, schema)
+    gaps = ("expected_effect", "location", "reason")
+    ordered = F.array_position(F.array(*map(F.lit, PLAN_CATEGORIES)), F.col("category")).cast("int")
+    field = {f: F.coalesce(F.col(f), F.lit("")) for f in PLAN_FIELDS}
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in VULNERABILITY_RANK.items() for x in pair]), field["priority"]), F.lit(3))
+    said = F.concat_ws("|", F.when(field["type"] == "", "general").otherwise(field["type"]), field["description"], field["recommendation"])
+    key = F.lower(F.trim(F.regexp_replace(said, r"(?U)[\s\x1C-\x1F]+", " ")))
+    place = F.struct(F.coalesce(ordered, F.lit(len(PLAN_CATEGORIES) + 1)).alias("category_ord"), F.col("pos").alias("pos"))
+    rows = items.select(F.col("plan_id").cast("long").alias("plan_id"), "category", place.alias("place"), rank.alias("rank"), key.alias("key"), *[c.alias(f) for f, c in field.items()])
+    before = F.max("rank").over(Window.partitionBy("plan_id", "key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("leads", F.when(F.col("rank") > F.coalesce(before, F.lit(0)), F.col("rank")))
+    filled = [F.coalesce(F.max_by(f, F.when(F.col(f) != "", F.col("leads"))), F.min_by(f, F.when(F.col(f) != "", F.col("place"))), F.lit("")).alias(f) for f in gaps]
+    kept = ["category", "place", "rank", *[f for f in PLAN_FIELDS if f not in gaps]]
+    merged = rows.groupBy("plan_id", "key").agg(F.min("place").alias("first"), F.max_by(F.struct(*kept), "leads").alias("main"), *filled).select("plan_id", "first", "main.*", *gaps)
+    merged = merged.withColumn("category_ord", F.col("place.category_ord")).filter(F.col("category_ord") <= len(PLAN_CATEGORIES))
+    placed = first_per(merged, ["plan_id", "category_ord"], [F.desc("rank"), F.col("first")], 5)
+    position = F.row_number().over(Window.partitionBy("plan_id", "category_ord").orderBy(F.desc("rank"), "first")).cast("long")
+    return placed.select("plan_id", "category", position.alias("position"), *PLAN_FIELDS)
 
 
 def dedupe_remediation(fixes: DataFrame, hardening: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:

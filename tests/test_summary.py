@@ -136,3 +136,8 @@ def test_pages_of_a_bulk_delete(spark):
 
     for n, want in ((0, []), (1, [1]), (100, [100]), (101, [100, 1]), (250, [100, 100, 50])):
         assert [r.n for r in store.delete_pages(spark.range(n)).orderBy("page").collect()] == want
+
+
+def test_merge_plans_runs_without_python_groups(spark):
+    df = spark.createDataFrame([(1, dedupe.PLAN_CATEGORIES[0], 0, *["x"] * len(dedupe.PLAN_FIELDS))], "plan_id long, category string, pos long, " + ", ".join(f"{f} string" for f in dedupe.PLAN_FIELDS))
+    assert "InPandas" not in dedupe.merge_plans(df)._jdf.queryExecution().executedPlan().toString()
