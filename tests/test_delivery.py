@@ -66,3 +66,15 @@ def test_retention_deletes_old_reports(spark, tmp_path):
     assert sorted(p.parent.name for p in tmp_path.glob("*/*.json")) == ["run0", "run2", "run4"]
     assert files.delete_expired(files.reports(spark, str(tmp_path))) == 0
     assert files.delete_expired(files.reports(spark, str(tmp_path)), now=F.current_timestamp() + F.expr("interval 31 days")) == 3
+
+
+def test_positions_of_a_busy_receiver_are_numbered_by_stretches(spark, tmp_path):
+    rows = [("a", k % 3, k, k) for k in range(400)] + [("b", 0, 7, 1000)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would lay stretches of so few rows together
+    try:
+        got = runs.positions(spark.createDataFrame(rows, "receiver string, batch int, ord long, id long").repartition(3), f"{tmp_path}/cut").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert spark.read.parquet(f"{tmp_path}/cut").filter("receiver = 'a'").select("stretch").distinct().count() > 1
+    order = [r.id for r in sorted(got, key=lambda r: (r.receiver, r.position))]
+    assert order == [r[3] for r in sorted(rows)] and sorted(r.position for r in got) == [1, *range(1, 401)]
