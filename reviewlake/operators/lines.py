@@ -153,10 +153,14 @@ LOOPS = ("for ", "while ")
 
 def nested_loops(files: DataFrame) -> DataFrame:
     """Loop lines with the first deeper-indented loop line among the next 19: line_number, outer_loop, inner_loop."""
-    rows = files.select("file_id", F.split("content", "\n", -1).alias("all")).select("file_id", "all", F.posexplode("all").alias("pos", "text")).filter(_has(F.col("text"), *LOOPS))
+    rows = files.filter(_has(F.col("content"), *LOOPS)).select("file_id", F.split("content", "\n", -1).alias("all"))
+    marked = F.filter(F.transform("all", lambda x, k: F.when(_has(x, *LOOPS), k)), lambda k: k.isNotNull())
+    # loop lines alone leave the row, each with the loop lines near it, never with the file
+    loops = rows.select("file_id", F.inline(F.transform(marked, lambda k: F.struct(k.alias("pos"), F.get("all", k).alias("text"), F.filter(F.slice("all", k + 2, F.lit(19)), lambda x: _has(x, *LOOPS)).alias("near")))))
     indent = _indent(F.col("text"))
-    inner = F.get(F.filter(F.slice("all", F.col("pos") + 2, 19), lambda x: (_strip(x) != "") & (_indent(x) > indent) & _has(x, *LOOPS)), F.lit(0))
-    return rows.select("file_id", (F.col("pos") + 1).alias("line_number"), _strip(F.col("text")).alias("outer_loop"), _strip(inner).alias("inner_loop"), F.lit(2).alias("nesting_level")).filter(F.col("inner_loop").isNotNull())
+    inner = F.get(F.filter("near", lambda x: _indent(x) > indent), F.lit(0))
+    found = loops.select("file_id", (F.col("pos") + 1).alias("line_number"), "text", inner.alias("inner")).filter(F.col("inner").isNotNull())
+    return found.select("file_id", "line_number", _strip(F.col("text")).alias("outer_loop"), _strip(F.col("inner")).alias("inner_loop"), F.lit(2).alias("nesting_level"))
 
 
 def python_recursion(files: DataFrame) -> DataFrame:
