@@ -110,3 +110,19 @@ def test_empty_sides_and_repeated_runs(spark):
     assert search.nearest(asked, rows.limit(0), 5).count() == 0 and search.nearest(asked.limit(0), rows, 5).count() == 0
     one, two = (sorted(map(tuple, search.nearest(asked, rows.repartition(n), 3, exclude_self=True).collect())) for n in (1, 7))
     assert one == two and len(one) == 90
+
+
+@pytest.mark.parametrize("shape", ["clusters", "nothing alike", "copies"])
+def test_cells_travel_in_groups(spark, monkeypatch, shape):
+    """Several cells in each of several groups, asked by every row, against brute force; a query's cells of a group are one visit."""
+    monkeypatch.setattr(search, "CELL_ROWS", 20)
+    monkeypatch.setattr(search, "GROUP_BYTES", 8 * 6 * 100)
+    r = random.Random(11)
+    rows = clustered(r, 700, 6, {"clusters": 25, "nothing alike": 700, "copies": 3}[shape], {"clusters": 0.1, "nothing alike": 1.0, "copies": 0.0}[shape])
+    vectors = spark.createDataFrame(rows, VECTORS).repartition(3)
+    index = search.Cells.of(vectors)
+    sizes = [index.count[index.group == g].sum() for g in np.unique(index.group[index.group >= 0])]
+    assert sum(sizes) == len(rows) and all(n <= 100 or (index.group == g).sum() == 1 for n, g in zip(sizes, np.unique(index.group[index.group >= 0]), strict=True))
+    assert shape == "copies" or 5 < len(sizes) < (index.count > 0).sum() / 2
+    index.packed.unpersist()
+    assert found(search.search(spark.createDataFrame(rows, "query_id long, vector array<double>"), vectors, 10, exclude_self=True)) == brute(rows, rows, 10, True)

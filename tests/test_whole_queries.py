@@ -90,3 +90,9 @@ def test_validation_of_every_task(spark, sf):
             want.update((r.ord, "warning", f"{at}curated_issue weak field {k}") for k in ingest.WEAK if blank(k))
     got = Counter(tuple(r) for r in Q["f12_validation"](spark, sf).select("ord", "level", "message").collect())
     assert got == want and {level for _, level, _ in got} == {"error", "warning"}
+
+
+def test_every_vector_asks_for_its_neighbours(spark, sf):
+    ids = {r.sqlite_id for r in tables.vectors(spark, sf).select("sqlite_id").collect()}
+    got = Counter(r.query_id for r in Q["t06_knn"](spark, sf).collect())
+    assert got.keys() == ids and set(got.values()) == {10} and any(i % 20 for i in ids)
